@@ -131,29 +131,38 @@ def episodes(alerts: DataFrame, session: str, ts_us: str, window_us: int, tie: s
 
 
 def greedy_cap(alerts: DataFrame, session: str, ts_us: str, limit: int, window_us: int = 60_000_000,
-               tie: str = "id") -> DataFrame:
+               tie: str = "id", admitted: str | None = None) -> DataFrame:
     """Greedy trailing-window limit per session.
 
+    ``admitted`` names a flag of rows that passed earlier (the last window of a stream); they count
+    but are not returned.
+
     Each decision depends on the ones before it, but a silence longer than the window empties the
     limiter. Sessions are cut at such silences into independent episodes; an episode's alerts are
     sorted by Spark and streamed with ``limit`` times of state, so it is never held in memory.
     """
     cut = episodes(alerts, session, ts_us, window_us, tie)
     ordered = cut.repartition(session, "_episode").sortWithinPartitions(session, "_episode", ts_us, tie)
-    names = alerts.columns
+    names = [n for n in alerts.columns if n != admitted]
+    schema = alerts.select(*names).schema
 
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, deque()
         for pdf in batches:
             keep = []
-            for key, start, t in zip(pdf[session], pdf["_episode"], pdf[ts_us]):
+            passed = pdf[admitted] if admitted else [False] * len(pdf)
+            for key, start, t, before in zip(pdf[session], pdf["_episode"], pdf[ts_us], passed):
                 if (key, start) != current:
                     current, recent = (key, start), deque()
-                verdict, recent = greedy_admit([t], limit, window_us, recent)
-                keep.append(verdict[0])
+                if before:
+                    recent.append(t)
+                    keep.append(False)
+                else:
+                    verdict, recent = greedy_admit([t], limit, window_us, recent)
+                    keep.append(verdict[0])
             yield pdf.loc[keep, names]
 
-    return ordered.select(*names, "_episode").mapInPandas(admit, alerts.schema)
+    return ordered.select(*alerts.columns, "_episode").mapInPandas(admit, schema)
 
 
 # ---- push ----------------------------------------------------------------------------------

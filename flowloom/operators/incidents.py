@@ -79,31 +79,27 @@ def incident_alerts(rows: DataFrame) -> DataFrame:
     return rows.select("connection", "alert_id").distinct()
 
 
-def merge_into(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Fold new merged incidents into the stored ones; used per micro-batch."""
-    old, new = current.alias("o"), changes.alias("n")
-    joined = old.join(new, F.col("o.connection") == F.col("n.connection"), "full")
+def fold_incidents(deltas: DataFrame) -> DataFrame:
+    """Incidents from several already merged parts, such as one per micro-batch.
 
-    def first(c: str) -> Column:
-        return F.coalesce(f"o.{c}", f"n.{c}").alias(c)
+    All measures are mergeable, so parts are only ever appended and folded when read.
+    """
+    attack = F.when(F.col("attack_type") != "Unknown", F.col("attack_type"))
+    tagged = deltas.withColumn("_attack", attack).withColumn("_rank", values.merge_rank(F.col("severity")))
 
-    def last(c: str) -> Column:
-        value = F.when(F.coalesce(F.col(f"n.{c}"), F.lit("")) != "", F.col(f"n.{c}"))
-        return F.coalesce(value, F.col(f"o.{c}")).alias(c)
+    def first(name: str) -> Column:
+        return F.min_by(name, "first_ts_us").alias(name)
 
-    empty = F.array().cast("array<string>")
-    rank = F.greatest(values.merge_rank(F.col("o.severity")), values.merge_rank(F.col("n.severity")))
-    attack = F.when(F.coalesce(F.col("n.attack_type"), F.lit("Unknown")) != "Unknown", F.col("n.attack_type"))
-    sources = F.array_sort(F.array_union(F.coalesce("o.sources", empty), F.coalesce("n.sources", empty)))
-    return joined.select(
-        first("connection"), F.least("o.first_ts_us", "n.first_ts_us").alias("first_ts_us"),
-        F.greatest("o.last_ts_us", "n.last_ts_us").alias("last_ts_us"),
-        *[first(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "disposition")],
-        sources.alias("sources"),
-        F.greatest("o.confidence", "n.confidence").alias("confidence"),
-        (F.coalesce("o.alerts", F.lit(0)) + F.coalesce("n.alerts", F.lit(0))).cast("bigint").alias("alerts"),
-        F.coalesce(attack, F.col("o.attack_type"), F.lit("Unknown")).alias("attack_type"), last("summary"),
-        values.severity_of_rank(rank).alias("severity"), F.array_contains(sources, "llm").alias("from_ai"))
+    grouped = tagged.groupBy("connection").agg(
+        F.min("first_ts_us").alias("_first"), F.max("last_ts_us").alias("_last"),
+        *[first(n) for n in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "disposition")],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
+        F.max("_rank").alias("_rank"), F.max("confidence").alias("confidence"), F.sum("alerts").alias("alerts"),
+        F.coalesce(_last("_attack", "last_ts_us"), F.lit("Unknown")).alias("attack_type"),
+        _last("summary", "last_ts_us").alias("summary"))
+    return grouped.withColumnsRenamed({"_first": "first_ts_us", "_last": "last_ts_us"}).withColumn(
+        "severity", values.severity_of_rank(F.col("_rank"))).withColumn(
+        "from_ai", F.array_contains("sources", "llm")).drop("_rank")
 
 
 def search_incidents(incidents: DataFrame, since_us: int | None = None, disposition: str | None = None,

@@ -74,7 +74,7 @@ SELECT cast(o_orderkey AS bigint) AS flow_id, '10.0.1.' || (o_custkey % 200 + 1)
   '45.33.' || (o_custkey % 3) || '.' || (o_custkey % 50 + 1) AS dst_ip,
   CASE WHEN o_orderkey % 4 <> 0 THEN 'host' || (o_orderkey % 13) || '.example.net' END AS tls_sni,
   'q' || (o_orderkey % 5) || '.example.com' AS dns_query,
-  least(10.0, floor(o_totalprice/500)/100) AS anomaly_score, CASE WHEN o_orderkey % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol
+  least(10.0, floor(o_totalprice/5000)/10) AS anomaly_score, CASE WHEN o_orderkey % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol
 FROM orders""",
     "x_obs": f"""
 SELECT *, n % 4 = 0 AS is_malicious, floor(abs(bal)/10)/1000 AS confidence,

@@ -160,7 +160,7 @@ class Tables:
             F.when(ok % 4 == 0, F.lit(None)).otherwise(
                 F.concat(F.lit("host"), _text(ok % 13), F.lit(".example.net"))).cast("string").alias("tls_sni"),
             F.array(F.concat(F.lit("q"), _text(ok % 5), F.lit(".example.com")), F.lit("bad name")).alias("dns_queries"),
-            F.least(F.lit(10.0), F.floor(F.col("o_totalprice") / 500) / 100).alias("anomaly_score"),
+            F.least(F.lit(10.0), F.floor(F.col("o_totalprice") / 5000) / 10).alias("anomaly_score"),
             F.when(ok % 2 == 0, "TCP").otherwise("UDP").alias("protocol"))
 
     @cached_property

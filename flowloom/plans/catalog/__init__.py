@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     from flowloom.plans.catalog import (  # noqa: F401
-        aggregates, detection, flowbuild, joins, scalars)
+        aggregates, detection, flowbuild, joins, learning, live, scalars)
 
     return dict(_REGISTRY)
 

@@ -180,10 +180,9 @@ SELECT o.flow_id, least(10.0, round(CASE WHEN g.flow_id IS NULL THEN anomaly_sco
  + CASE WHEN anomaly_score>=5 THEN anomaly_score*0.4*0.25 ELSE 0 END END, 2)) AS severity_score FROM x_order_flows o LEFT JOIN g ON o.flow_id=g.flow_id"""
 
 
-@query("agg_20_hybrid_severity", f"SELECT flow_id, floor(severity_score*10+0.001)/10 AS severity_score FROM ({_HYBRID})")
+@query("agg_20_hybrid_severity", _HYBRID)
 def _(t):
-    return FI.hybrid_severity(t.order_flows, t.findings).select(
-        "flow_id", (F.floor(c("severity_score") * 10 + 0.001) / 10).alias("severity_score"))
+    return FI.hybrid_severity(t.order_flows, t.findings).select("flow_id", "severity_score")
 
 
 @query("agg_21_port_entropy", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions import net, values
 from flowloom.schemas import SENSOR_EVENT
@@ -20,9 +21,11 @@ def parse_lines(lines: DataFrame, column: str = "value", schema: str = SENSOR_EV
     quoted = F.from_json(F.concat(F.lit('{"s":'), bare, F.lit("}")), "s STRING")["s"]
     text = F.when(bare.startswith('"'), F.trim(quoted)).otherwise(bare)
     keep = lines.withColumn("_text", text).where(F.col("_text").startswith("{"))
-    # permissive parsing keeps broken rows; the corrupt-record column tells them apart
-    parsed = F.from_json("_text", schema + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
-    return keep.select(parsed.alias("e")).where(F.col("e").isNotNull() & F.col("e._bad").isNull()).select("e.*").drop("_bad")
+    # As the only element of an array, a record with anything after it fails to parse.
+    record = T.ArrayType(T.DataType.fromDDL(schema))
+    parsed = F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), record)
+    return keep.select(parsed.alias("r")).where(F.size("r") == 1).select(
+        F.get("r", F.lit(0)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
 def read_events(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -85,10 +85,11 @@ def is_lan_destination(ip: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     """IPv4 text to BIGINT, null for anything else."""
-    part = F.split(ip, r"\.")
+    parts = [F.substring_index(ip, ".", 1), F.substring_index(F.substring_index(ip, ".", 2), ".", -1),
+             F.substring_index(F.substring_index(ip, ".", -2), ".", 1), F.substring_index(ip, ".", -1)]
     value = F.lit(0).cast("bigint")
-    for i, weight in enumerate((1 << 24, 1 << 16, 1 << 8, 1)):
-        value = value + F.get(part, F.lit(i)).cast("bigint") * F.lit(weight).cast("bigint")
+    for part, weight in zip(parts, (1 << 24, 1 << 16, 1 << 8, 1)):
+        value = value + part.try_cast("bigint") * F.lit(weight).cast("bigint")
     return F.when(is_ipv4(ip), value)
 
 

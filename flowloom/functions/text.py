@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 
 def array_entropy(values: Column) -> Column:
-    """Shannon entropy (bits) of an array's elements; 0 for an empty or null array."""
-    n = F.size(values)
-    return F.when(
-        n > 0,
-        F.aggregate(
-            F.array_distinct(values),
-            F.lit(0.0),
-            lambda acc, v: acc - _plogp(F.size(F.filter(values, lambda x: x == v)) / n),
-        ),
-    ).otherwise(F.lit(0.0))
-
-
-def _plogp(p: Column) -> Column:
-    return p * F.log2(p)
+    """Shannon entropy (bits) of an array's elements; 0 for an empty or null array.
+
+    In the sorted array the r-th copy of an element adds ``r·log2 r - (r-1)·log2(r-1)`` to
+    ``Σ c·log2 c``; its rank r is its distance from the first copy. Entropy is
+    ``log2 n - (Σ c·log2 c) / n``.
+    """
+    def weight(r: Column) -> Column:
+        return F.when(r > 1, r * F.log2(r) - F.when(r > 2, (r - 1) * F.log2(r - 1)).otherwise(0.0)).otherwise(0.0)
+
+    ordered = F.sort_array(values)
+    ranks = F.transform(ordered, lambda v, i: (i + 2 - F.array_position(ordered, v)).cast("double"))
+    total = F.aggregate(F.filter(ranks, lambda r: r > 1), F.lit(0.0), lambda acc, r: acc + weight(r))
+    n = F.size(values).cast("double")
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - total / n)).otherwise(F.lit(0.0))
 
 
 def characters(text: Column) -> Column:

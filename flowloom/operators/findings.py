@@ -180,24 +180,26 @@ def targets(kinds: list[tuple[str, Column]], limit: int = 6) -> Column:
     """Distinct valid (kind, value) targets in priority order as an array built inside the row."""
     from flowloom.functions import net, text
 
-    entries = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.trim(F.coalesce(v, F.lit(""))).alias("value")) for k, v in kinds])
-    valid = F.filter(entries, lambda e: F.when(e["kind"] == "ip", net.is_ip(e["value"])).otherwise(
-        text.looks_like_domain(e["value"])))
-    names = F.transform(valid, lambda e: e["value"])
-    first = F.filter(valid, lambda e, i: F.array_position(names, e["value"]) == i + 1)
-    typed = F.transform(first, lambda e: F.struct(
-        e["kind"].alias("kind"), e["value"].alias("value"),
-        F.when(e["kind"] == "ip", net.is_external_ip(e["value"])).otherwise(True).alias("public")))
-    return F.slice(typed, 1, limit)
+    def entry(kind: str, value: Column) -> Column:
+        v = F.trim(value)
+        valid = net.is_ip(v) if kind == "ip" else text.looks_like_domain(v)
+        public = net.is_external_ip(v) if kind == "ip" else F.lit(True)
+        return F.when(value.isNotNull() & valid, F.struct(
+            F.lit(kind).alias("kind"), v.alias("value"), public.alias("public")))
+
+    return F.slice(F.array_distinct(F.array_compact(F.array(*[entry(k, v) for k, v in kinds]))), 1, limit)
+
+
+_EVIDENCE_IPS = ["src_ip", "dst_ip", "dest_ip", "ip"]
+_EVIDENCE_NAMES = ["domain", "hostname", "apex", "dns_query", "tls_sni"]
 
 
 def finding_targets(findings: DataFrame, flows: DataFrame, limit: int = 6) -> DataFrame:
     """Addresses and names worth a look-up: the evidence first, then the flow."""
-    joined = with_flow(findings, flows.select("flow_id", "src_ip", "dst_ip", "tls_sni", "dns_queries"))
-    seen = [("ip", F.get_json_object("evidence", f"$.{k}")) for k in ("src_ip", "dst_ip", "dest_ip", "ip")]
-    seen += [("domain", F.get_json_object("evidence", f"$.{k}"))
-             for k in ("domain", "hostname", "apex", "dns_query", "tls_sni")]
+    fields = ", ".join(f"{n} STRING" for n in _EVIDENCE_IPS + _EVIDENCE_NAMES)
+    read = findings.select("finding_id", "flow_id", F.from_json("evidence", fields).alias("ev"))
+    joined = with_flow(read, flows.select("flow_id", "src_ip", "dst_ip", "tls_sni", "dns_queries"))
+    seen = [("ip", F.col(f"ev.{k}")) for k in _EVIDENCE_IPS] + [("domain", F.col(f"ev.{k}")) for k in _EVIDENCE_NAMES]
     seen += [("ip", F.col("src_ip")), ("ip", F.col("dst_ip")), ("domain", F.col("tls_sni")),
              ("domain", F.get("dns_queries", F.lit(0))), ("domain", F.get("dns_queries", F.lit(1)))]
     return joined.select("finding_id", F.posexplode(targets(seen, limit)).alias("position", "t")).select(

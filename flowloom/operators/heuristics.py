@@ -68,42 +68,47 @@ def triage(events: DataFrame, window_us: int = WINDOW_US, min_ssh: int = 8, min_
            min_ports: int = 15, ts: str = "ts_us", tie: str = "seq") -> DataFrame:
     """All heuristics in their order of precedence, one hit per event at most.
 
-    A counter only sees the events that no earlier check answered, so the passes are chained: each
-    one runs on what is left and splits it into hits and the rest.
+    A counter only sees the events that no earlier check answered. The three rolling passes run one
+    after the other over all rows; in each, only the rows still open feed the window.
     """
     rows = events.where((F.coalesce("src_ip", F.lit("")) != "") & (F.coalesce("dst_ip", F.lit("")) != ""))
-    cols = rows.columns
-    kind = rows.withColumn("_kw", keyword_hit())
-    words = kind.where(F.col("_kw").isNotNull()).select(
-        *cols, F.when(F.col("_kw") == "scan", "PortScan").otherwise(brute_label(F.col("dst_port"))).alias("attack_type"),
-        F.lit("high").alias("severity"), F.when(F.col("_kw") == "scan", 0.85).otherwise(0.88).alias("confidence"),
-        F.when(F.col("_kw") == "scan", "nmap_scan_signature").otherwise(F.concat(
-            brute_indicator(F.col("dst_port")), F.lit(",brute_tool_signature"))).alias("indicators"))
-    left = kind.where(F.col("_kw").isNull()).drop("_kw")
-
-    def hit(df: DataFrame, attack: Column, severity: str, confidence: Column, indicators: Column) -> DataFrame:
-        return df.select(*cols, attack.alias("attack_type"), F.lit(severity).alias("severity"),
-                         F.round(confidence, 2).alias("confidence"), indicators.alias("indicators"))
-
-    n = F.col("_n")
-    text_n = n.cast("string")
-    ssh = rolling_count(left.where(is_ssh_event()), "src_ip", ts, window_us, "_n", tie)
-    ssh_hits = hit(ssh.where(n >= min_ssh), F.lit("SSH-Patator"), "high", F.least(F.lit(0.95), 0.5 + n * 0.04),
-                   F.concat(F.lit("ssh_syn_burst,count="), text_n))
-    left = left.where(~F.coalesce(is_ssh_event(), F.lit(False))).unionByName(ssh.where(n < min_ssh).drop("_n"))
-
-    on_auth = F.col("dst_port").isin(*K.BRUTE_PORTS)
-    auth = rolling_count(left.where(on_auth), ["src_ip", "dst_port"], ts, window_us, "_n", tie)
-    auth_hits = hit(auth.where(n >= min_auth), brute_label(F.col("dst_port")), "high",
-                    F.least(F.lit(0.92), 0.45 + n * 0.04),
-                    F.concat(brute_indicator(F.col("dst_port")), F.lit(",burst="), text_n))
-    left = left.where(~F.coalesce(on_auth, F.lit(False))).unionByName(auth.where(n < min_auth).drop("_n"))
-
-    tcp = (F.upper(F.coalesce("protocol", F.lit("TCP"))) == "TCP") & (F.col("dst_port") > 0)
-    ports = rolling_distinct(left.where(tcp), "src_ip", ts, "dst_port", window_us, "_n", tie)
-    port_hits = hit(ports.where(n >= min_ports), F.lit("PortScan"), "medium", F.least(F.lit(0.9), 0.4 + n * 0.03),
-                    F.concat(F.lit("port_scan_entropy,unique_ports="), text_n))
-    return words.unionByName(ssh_hits).unionByName(auth_hits).unionByName(port_hits)
+    port = F.col("dst_port")
+    step = rows.withColumn("_hit", keyword_hit())
+
+    def passed(counted: DataFrame, feeds: Column, minimum: int, name: str) -> DataFrame:
+        return counted.withColumn("_hit", F.when(
+            F.col("_hit").isNull() & feeds & (F.col(f"_{name}") >= minimum), name).otherwise(F.col("_hit")))
+
+    ssh_feed = F.col("_hit").isNull() & F.coalesce(is_ssh_event(), F.lit(False))
+    step = passed(rolling_count(step, "src_ip", ts, window_us, "_ssh", tie, feeds=ssh_feed),
+                  F.coalesce(is_ssh_event(), F.lit(False)), min_ssh, "ssh")
+    on_auth = F.coalesce(port.isin(*K.BRUTE_PORTS), F.lit(False))
+    step = passed(rolling_count(step, ["src_ip", "dst_port"], ts, window_us, "_auth", tie,
+                                feeds=F.col("_hit").isNull() & on_auth), on_auth, min_auth, "auth")
+    tcp = F.coalesce((F.upper(F.coalesce("protocol", F.lit("TCP"))) == "TCP") & (port > 0), F.lit(False))
+    step = passed(rolling_distinct(step, "src_ip", ts, "dst_port", window_us, "_ports", tie,
+                                   feeds=F.col("_hit").isNull() & tcp), tcp, min_ports, "ports")
+
+    hit = F.col("_hit")
+
+    def rate(cap: float, base: float, slope: float, name: str) -> Column:
+        return F.round(F.least(F.lit(cap), base + F.col(f"_{name}") * slope), 2)
+
+    def counted(prefix, name: str) -> Column:
+        start = prefix if isinstance(prefix, Column) else F.lit(prefix)
+        return F.concat(start, F.lit("="), F.col(f"_{name}").cast("string"))
+
+    return step.where(hit.isNotNull()).select(
+        *rows.columns,
+        F.when(hit.isin("scan", "ports"), "PortScan").when(hit == "ssh", "SSH-Patator").otherwise(brute_label(port)).alias("attack_type"),
+        F.when(hit == "ports", "medium").otherwise("high").alias("severity"),
+        F.when(hit == "scan", 0.85).when(hit == "brute", 0.88).when(hit == "ssh", rate(0.95, 0.5, 0.04, "ssh"))
+        .when(hit == "auth", rate(0.92, 0.45, 0.04, "auth")).otherwise(rate(0.9, 0.4, 0.03, "ports")).alias("confidence"),
+        F.when(hit == "scan", "nmap_scan_signature")
+        .when(hit == "brute", F.concat(brute_indicator(port), F.lit(",brute_tool_signature")))
+        .when(hit == "ssh", counted("ssh_syn_burst,count", "ssh"))
+        .when(hit == "auth", counted(F.concat(brute_indicator(port), F.lit(",burst")), "auth"))
+        .otherwise(counted("port_scan_entropy,unique_ports", "ports")).alias("indicators"))
 
 
 def rolling_port_entropy(events: DataFrame, window_us: int = 300_000_000, ts: str = "ts_us", tie: str = "seq",

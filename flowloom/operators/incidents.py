@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import constants as K
 from flowloom.functions import values
 from flowloom.functions.text import connection_key
+from flowloom.session import literal_frame
 
 
 def source_name(name: Column) -> Column:
@@ -122,7 +123,7 @@ def disposition_counts(incidents: DataFrame) -> DataFrame:
     """Incidents per disposition, all six listed."""
     counts = incidents.groupBy(F.coalesce("disposition", F.lit("open")).alias("disposition")).agg(
         F.count(F.lit(1)).alias("n"))
-    names = incidents.sparkSession.createDataFrame([(d,) for d in K.DISPOSITIONS], "disposition STRING")
+    names = literal_frame(incidents.sparkSession, [(d,) for d in K.DISPOSITIONS], "disposition STRING")
     return names.join(counts, "disposition", "left").select("disposition", F.coalesce("n", F.lit(0)).alias("n"))
 
 

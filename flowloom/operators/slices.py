@@ -29,20 +29,29 @@ def sliced(df: DataFrame, ts: str, width: int, lookback: int = 0, lookahead: int
     return df.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(first, last)))
 
 
-def _arrivals_and_expiries(df: DataFrame, keys: list[str], ts: str, span: int, tie: str,
-                           width: int, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Two entries per row and slice: phase 0 adds it at its time, phase 1 removes it ``span`` later.
+def _entries(ts: str, span: int, arrival: Column, expiry: Column) -> Column:
+    """A row's entries: ``arrival`` is added at its time, ``expiry`` (when not 0) ``span`` later.
 
-    An expiry sorts after arrivals of the same instant, so both ends of the frame are inclusive.
+    The row itself travels with the arrival. An expiry sorts after arrivals of the same instant, so
+    both ends of the frame are inclusive.
     """
+    first = F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), arrival.cast("int").alias("d"),
+                     F.col("_row").alias("row"))
+    last = F.struct((F.col(ts) + span).alias("at"), F.lit(1).alias("phase"), expiry.cast("int").alias("d"),
+                    F.lit(None).alias("row"))
+    return F.explode(F.when(expiry != 0, F.array(first, last)).otherwise(F.array(first)))
+
+
+def _arrivals_and_expiries(df: DataFrame, keys: list[str], ts: str, span: int, tie: str, width: int,
+                           extra: dict[str, Column] | None = None, feeds: Column | None = None) -> DataFrame:
+    """Two entries per row and slice; a row that does not feed the window only looks at it."""
     payload = F.struct(*[F.col(c) for c in df.columns])
     base = sliced(df.withColumn("_row", payload), ts, width, lookback=span)
-    entry = F.explode(F.array(
-        F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), F.lit(1).alias("d"),
-                 F.col("_row").alias("row")),
-        F.struct((F.col(ts) + span).alias("at"), F.lit(1).alias("phase"), F.lit(-1).alias("d"),
-                 F.lit(None).alias("row")),
-    ))
+    counts = F.lit(1) if feeds is None else F.coalesce(feeds, F.lit(False)).cast("int")
+    if feeds is not None:  # copies into the next slice are context: only feeding rows are needed there
+        base = base.withColumn("_feeds", counts).where((F.col("_feeds") == 1) | (F.col("_slice") == F.col("_own")))
+        counts = F.col("_feeds")
+    entry = _entries(ts, span, counts, -counts)
     keep = [F.col(k) for k in keys] + [F.col(tie).alias("_tie"), "_own", "_slice"]
     for name, expr in (extra or {}).items():
         keep.append(expr.alias(name))
@@ -59,13 +68,14 @@ def _own_rows(entries: DataFrame, *values: Column) -> DataFrame:
 
 
 def rolling_count(df: DataFrame, keys, ts: str, span: int, out: str = "n", tie: str | None = None,
-                  width: int | None = None) -> DataFrame:
+                  width: int | None = None, feeds: Column | None = None) -> DataFrame:
     """Rows of the key in ``[ts - span, ts]`` that came no later than this row.
 
-    ``ts`` and ``span`` are integers of one unit. ``tie`` orders rows of the same instant.
+    ``ts`` and ``span`` are integers of one unit. ``tie`` orders rows of the same instant. With
+    ``feeds`` only such rows are counted, while all rows come back with the count.
     """
     keys, tie = _names(keys), tie or ts
-    entries = _arrivals_and_expiries(df, keys, ts, span, tie, width or span * SLICES_PER_SPAN)
+    entries = _arrivals_and_expiries(df, keys, ts, span, tie, width or span * SLICES_PER_SPAN, feeds=feeds)
     w = (Window.partitionBy(*keys, "_slice").orderBy("_at", "_phase", "_tie")
          .rowsBetween(Window.unboundedPreceding, 0))
     return _own_rows(entries.withColumn("_n", F.sum("_d").over(w)),
@@ -81,7 +91,7 @@ def forward_count(df: DataFrame, keys, ts: str, span: int, out: str = "n",
 
 
 def rolling_distinct(df: DataFrame, keys, ts: str, value: str, span: int, out: str = "n",
-                     tie: str | None = None, width: int | None = None) -> DataFrame:
+                     tie: str | None = None, width: int | None = None, feeds: Column | None = None) -> DataFrame:
     """Distinct ``value`` of the key in ``[ts - span, ts]``.
 
     A value is present from an occurrence until ``span`` after it; an occurrence that falls inside
@@ -89,21 +99,17 @@ def rolling_distinct(df: DataFrame, keys, ts: str, value: str, span: int, out: s
     """
     keys, tie = _names(keys), tie or ts
     width = width or span * SLICES_PER_SPAN
-    base = sliced(df.withColumn("_row", F.struct(*df.columns)), ts, width, lookback=span)
-    base = base.repartition(*keys, "_slice")
-    near = Window.partitionBy(*keys, "_slice", value).orderBy(ts, tie)
+    counts = F.lit(True) if feeds is None else F.coalesce(feeds, F.lit(False))
+    base = sliced(df.withColumn("_row", F.struct(*df.columns)).withColumn("_feeds", counts), ts, width, lookback=span)
+    base = base.where(F.col("_feeds") | (F.col("_slice") == F.col("_own"))).repartition(*keys, "_slice")
+    near = Window.partitionBy(*keys, "_slice", value, "_feeds").orderBy(ts, tie)
     fresh = F.coalesce(F.col(ts) - F.lag(ts).over(near) > span, F.lit(True))
     ends = F.coalesce(F.lead(ts).over(near) - F.col(ts) > span, F.lit(True))
-    marked = base.withColumn("_fresh", fresh.cast("int")).withColumn("_ends", ends.cast("int"))
-    entry = F.explode(F.when(F.col("_ends") == 1, F.array(
-        F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), F.col("_fresh").alias("d"),
-                 F.col("_row").alias("row")),
-        F.struct((F.col(ts) + span).alias("at"), F.lit(1).alias("phase"), F.lit(-1).alias("d"),
-                 F.lit(None).alias("row")),
-    )).otherwise(F.array(
-        F.struct(F.col(ts).alias("at"), F.lit(0).alias("phase"), F.col("_fresh").alias("d"),
-                 F.col("_row").alias("row")))))
-    entries = marked.select(*keys, "_own", "_slice", F.col(tie).alias("_tie"), entry.alias("_e")).select(
+    marked = base.withColumn("_fresh", (F.col("_feeds") & fresh).cast("int")).withColumn(
+        "_ends", -(F.col("_feeds") & ends).cast("int"))
+    entries = marked.select(
+        *keys, "_own", "_slice", F.col(tie).alias("_tie"),
+        _entries(ts, span, F.col("_fresh"), F.col("_ends")).alias("_e")).select(
         *keys, "_own", "_slice", "_tie", F.col("_e.at").alias("_at"),
         F.col("_e.phase").alias("_phase"), F.col("_e.d").alias("_d"), F.col("_e.row").alias("_row"))
     w = (Window.partitionBy(*keys, "_slice").orderBy("_at", "_phase", "_tie")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import constants as K
 from flowloom.functions import net
 from flowloom.functions.text import matches_domain
-from flowloom.session import broadcast_if_small
+from flowloom.session import broadcast_if_small, literal_frame
 
 BLOCK_BITS = 16
 
@@ -57,7 +57,7 @@ def mark_whitelisted(flows: DataFrame, cidrs=K.WHITELIST_CIDRS, domains=K.WHITEL
 
 def networks_frame(spark, cidrs: list[str]) -> DataFrame:
     rows = [(c, *net.cidr_bounds(c)) for c in cidrs]
-    return spark.createDataFrame(rows, "cidr STRING, lo BIGINT, hi BIGINT")
+    return literal_frame(spark, rows, "cidr STRING, lo BIGINT, hi BIGINT")
 
 
 def disjoint_blocks(networks: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.session import spread
+
 
 def _big(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
@@ -23,11 +25,17 @@ def _text(c) -> Column:
 class Tables:
     """Lazy access to the given parquet tables and the views derived from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+    def __init__(self, spark: SparkSession, sf_dir: str, wide_reads: bool = False):
+        self.spark, self.dir, self.wide_reads = spark, sf_dir.rstrip("/"), wide_reads
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(table) if self.wide_reads else table
+
+    @cached_property
+    def wide(self) -> "Tables":
+        """The same views over rebalanced tables, for queries with heavy work per row."""
+        return type(self)(self.spark, self.dir, True)
 
     @cached_property
     def flows(self) -> DataFrame:

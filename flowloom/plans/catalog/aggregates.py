@@ -213,7 +213,7 @@ d AS (SELECT finding_id, kind, value, min(p) AS p FROM e WHERE value IS NOT NULL
 r AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY p) AS position FROM d)
 SELECT finding_id, position, kind, value, NOT (kind='ip' AND value LIKE '10.%') AS public FROM r WHERE position<=6""")
 def _(t):
-    return FI.finding_targets(t.findings, t.order_flows)
+    return FI.finding_targets(t.wide.findings, t.order_flows)
 
 
 @query("agg_30_verdict_merge", """

@@ -11,6 +11,7 @@ from flowloom.operators import rules as R
 from flowloom.operators import whitelist as W
 from flowloom.plans.adapter_sql import INTERNAL, IP_NUM
 from flowloom.plans.catalog import query
+from flowloom.session import literal_frame
 
 SRC_IN, DST_IN = INTERNAL.format(c="src_ip"), INTERNAL.format(c="dst_ip")
 WL_PORTS = " OR ".join(f"(dst_port={p} AND protocol='{q}')" for p, q in K.WHITELIST_PORTS)
@@ -26,7 +27,7 @@ WL_FLAG = (f"({_ranges(['45.33.0.0/27'], 'dst_ip')} OR {WL_PORTS} OR coalesce(tl
 
 
 def white(t):
-    return W.mark_whitelisted(t.flows, cidrs=["45.33.0.0/27"])
+    return W.mark_whitelisted(t.wide.flows, cidrs=["45.33.0.0/27"])
 
 
 @query("flt_07_whitelist_predicate", f"""
@@ -56,7 +57,7 @@ def _(t):
 @query("join_02_cidr_membership", f"""
 SELECT dst_ip, count(*) AS flows FROM x_flows WHERE {_ranges(NETS, 'dst_ip')} GROUP BY 1""")
 def _(t):
-    hit = W.mark_networks(t.flows.select("dst_ip"), "dst_ip", W.networks_frame(t.spark, NETS))
+    hit = W.mark_networks(t.wide.flows.select("dst_ip"), "dst_ip", W.networks_frame(t.spark, NETS))
     return hit.where("in_network").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("flows"))
 
 
@@ -64,7 +65,7 @@ def _(t):
 SELECT dst_port, count(*) AS flows, count(*) FILTER (WHERE dst_port IN (80,443) AND {_ranges(NETS, 'dst_ip')}) AS cdn
 FROM x_flows GROUP BY 1""")
 def _(t):
-    return W.mark_cdn(t.flows, cidrs=NETS).groupBy("dst_port").agg(
+    return W.mark_cdn(t.wide.flows, cidrs=NETS).groupBy("dst_port").agg(
         F.count(F.lit(1)).alias("flows"), F.count_if("is_cdn").alias("cdn"))
 
 
@@ -73,14 +74,14 @@ SELECT page_id, host FROM x_hosts WHERE host LIKE '%.example.org' OR host = 'exa
  OR host IN (SELECT host FROM x_hosts WHERE page_id % 50 = 0)""")
 def _(t):
     exact = t.hosts.where("page_id % 50 = 0").select(F.col("host").alias("pattern"))
-    wild = t.spark.createDataFrame([("*.example.org",)], "pattern STRING")
+    wild = literal_frame(t.spark, [("*.example.org",)], "pattern STRING")
     return W.matching_hosts(t.hosts, exact.unionByName(wild)).select("page_id", "host")
 
 
 @query("join_05_port_protocol_semi", f"""
 SELECT flow_id, dst_port, protocol FROM x_flows WHERE {WL_PORTS}""")
 def _(t):
-    listed = t.spark.createDataFrame(K.WHITELIST_PORTS, "dst_port BIGINT, protocol STRING")
+    listed = literal_frame(t.spark, K.WHITELIST_PORTS, "dst_port BIGINT, protocol STRING")
     return t.flows.join(F.broadcast(listed), ["dst_port", "protocol"], "left_semi").select(
         "flow_id", "dst_port", "protocol")  # a literal list of five pairs
 
@@ -119,7 +120,7 @@ FROM s WHERE connections>={conn} AND gaps>={conn}-1 AND m>0 AND sd/m<={jitter}/1
 
 @query("rule_03_beacon", _beacon_sql(4, 1000, 12_000_000, 90))
 def _(t):
-    return R.beacons(t.flows, 4, 90, 1000, 12_000_000)
+    return R.beacons(t.wide.flows, 4, 90, 1000, 12_000_000)
 
 
 @query("rule_04_slow_beacon", _beacon_sql(3, 1800, 8_640_000, 60))
@@ -146,7 +147,7 @@ def _(t):
 SELECT src_ip, count(DISTINCT dst_ip) AS targets FROM x_flows WHERE dst_port IN (445,3389,5985) AND {SRC_IN} AND {DST_IN}
 GROUP BY 1 HAVING count(DISTINCT dst_ip)>=10""")
 def _(t):
-    return R.lateral_movement(t.flows, min_targets=10)
+    return R.lateral_movement(t.wide.flows, min_targets=10)
 
 
 _LABEL = "split_part(dns_query,'.',1)"
@@ -171,7 +172,7 @@ bent AS (SELECT lab, -sum(n/t*log2(n/t)) AS e FROM (SELECT lab, b, count(*)::dou
 WITH {_entropy_cte('x_flows', _LABEL)}
 SELECT flow_id, dns_query AS domain, round(e,2) AS entropy FROM x_flows JOIN ent ON lab={_LABEL} WHERE e>=3.1""")
 def _(t):
-    return R.entropic_labels(t.dns, 3.1)
+    return R.entropic_labels(t.wide.dns, 3.1)
 
 
 @query("rule_09_arp_requests", """
@@ -192,7 +193,7 @@ def _(t):
 WITH m AS (SELECT avg(bytes_sent) AS m FROM x_flows WHERE bytes_sent>0)
 SELECT flow_id, dst_ip, bytes_sent, round(m,0) AS baseline_mean FROM x_flows, m WHERE bytes_sent>m*1.9 AND {SRC_IN} AND NOT {DST_IN}""")
 def _(t):
-    return R.exfiltration(t.flows, 1.9)
+    return R.exfiltration(t.wide.flows, 1.9)
 
 
 @query("rule_12_port_mismatch", """
@@ -211,7 +212,7 @@ WITH {_bigram_cte('x_flows', _LABEL)}
 SELECT flow_id, dns_query AS domain, round({_CV},2) AS cv_ratio, round(e,2) AS bigram_entropy
 FROM x_flows JOIN bent ON lab={_LABEL} WHERE {_CV}>3 OR e>3.6""")
 def _(t):
-    return R.generated_domains(t.dns, 3, 3.6)
+    return R.generated_domains(t.wide.dns, 3, 3.6)
 
 
 @query("rule_14_tls_without_sni", f"""
@@ -260,7 +261,7 @@ SELECT rule_id, severity, severity_score, count(*) AS n, count(DISTINCT flow_id)
  UNION ALL SELECT 'CLEARTEXT-001','high',8.0,flow_id FROM x_flows WHERE application_layer='HTTP' AND dst_port<>443 AND http_host LIKE 'login%'
  UNION ALL SELECT 'LONGCONN-001','high',8.0,flow_id FROM x_flows WHERE protocol='TCP' AND duration_ms>=28800000) GROUP BY 1,2,3""")
 def _(t):
-    found = FI._with_rule_fields(R.single_flow_hits(t.flows), F.col("rule_id"), F.lit("all"))
+    found = FI._with_rule_fields(R.single_flow_hits(t.wide.flows), F.col("rule_id"), F.lit("all"))
     return found.groupBy("rule_id", "severity", "severity_score").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("flow_id").alias("flows"))
 
@@ -278,5 +279,5 @@ _PORT_PARAMS = {
 @query("set_01_all_rule_findings")
 def _(t):
     """Every rule at once, counted per rule."""
-    found = FI.rule_findings(t.flows, t.arp, t.observables, **_PORT_PARAMS)
+    found = FI.rule_findings(t.wide.flows, t.arp, t.observables, **_PORT_PARAMS)
     return found.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))

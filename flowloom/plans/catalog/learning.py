@@ -34,7 +34,7 @@ SELECT flow_id, dst_port::double AS dst_port, round(ln(1+duration_ms),4) AS dura
  hour(make_timestamp(start_us))::double AS time_of_day_hour, CASE protocol WHEN 'TCP' THEN 1 WHEN 'UDP' THEN 2 ELSE 0 END::double AS protocol_encoded,
  floor(rate) AS flow_bytes_per_s FROM (SELECT *, packets_recv/greatest(packets_sent,1) AS down, (bytes_sent+bytes_recv)/sec AS rate FROM s) JOIN e USING (src_ip)""")
 def _(t):
-    out = FT.compact_features(t.flows)
+    out = FT.compact_features(t.wide.flows)
     digits4 = ["dst_port", "duration_ms_log", "fwd_packets", "bwd_packets", "fwd_bytes_log", "bwd_bytes_log", "down_up_ratio",
                "iat_mean", "iat_std", "iat_max", "dst_port_entropy", "is_external_dst", "time_of_day_hour", "protocol_encoded"]
     return out.select("flow_id", *_rounded(digits4), F.floor("flow_bytes_per_s").cast("double").alias("flow_bytes_per_s"))
@@ -183,7 +183,7 @@ FOREST_FEATURES = ["dst_port", "duration_ms_log", "fwd_packets", "bwd_packets",
 
 
 def forest_input(t):
-    rows = labelled.with_label(dataset(t)).withColumn("Flow Bytes/s", FT.finite(F.col("`Flow Bytes/s`")))
+    rows = labelled.with_label(dataset(t.wide)).withColumn("Flow Bytes/s", FT.finite(F.col("`Flow Bytes/s`")))
     return FT.compact_features_from_dataset(rows, "row_id")
 
 

@@ -11,7 +11,7 @@ from flowloom.operators import heuristics as H
 from flowloom.operators import incidents as I
 from flowloom.operators.slices import forward_count, recent_gap
 from flowloom.plans.catalog import query
-from flowloom.session import shared_dir
+from flowloom.session import shared_dir, spread
 from flowloom.sources import capture, sensor
 from flowloom.streaming import live, rolling
 
@@ -146,7 +146,7 @@ def sensor_lines(t):
     line = (F.when(c("seq") % 5 == 1, F.concat(F.lit("  "), body, F.lit(","))).when(c("seq") % 5 == 2, packed)
             .when(c("seq") % 5 == 3, F.concat(F.lit("["), body, F.lit(","))).when(c("seq") % 45 == 4, F.concat(body, F.lit("}}bad{")))
             .otherwise(body))
-    return e.select(line.alias("value"))
+    return spread(e.select(line.alias("value")))
 
 
 @query("src_04_sensor_log_scan", """

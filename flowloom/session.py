@@ -73,3 +73,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that has fewer splits than the cluster has cores, before heavy per-row work.
+
+    Large inputs have many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores)
+
+
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A parameter list as a local relation, so that it costs no job of its own."""
+    import pyarrow as pa
+
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: list(v) for n, v in zip(names, columns)}), schema)

@@ -16,16 +16,14 @@ def parse_lines(lines: DataFrame, column: str = "value", schema: str = SENSOR_EV
     Takes plain JSON lines, the lines of a JSON array (framing brackets and trailing commas) and
     JSON packed into a JSON string. Lines that hold no event are skipped.
     """
-    bare = F.trim(F.regexp_replace(F.trim(F.col(column)), r"^\[\s*(?=[{\"])|,\s*$|(?<=[}\"])\s*\]\s*,?\s*$", ""))
-    bare = F.regexp_replace(bare, r",$", "")
-    quoted = F.from_json(F.concat(F.lit('{"s":'), bare, F.lit("}")), "s STRING")["s"]
-    text = F.when(bare.startswith('"'), F.trim(quoted)).otherwise(bare)
-    keep = lines.withColumn("_text", text).where(F.col("_text").startswith("{"))
-    # As the only element of an array, a record with anything after it fails to parse.
+    bare = F.regexp_replace(F.col(column), r"^\s*\[?\s*(?=[{\"])|(?<=[}\"])[\s,\]]+$", "")
+    quoted = F.get_json_object(F.concat(F.lit('{"s":'), bare, F.lit("}")), "$.s")
+    text = F.when(bare.startswith('"'), quoted).otherwise(bare)
+    # As part of an array, a record followed by anything but another record fails to parse, and a
+    # failed line explodes to nothing; a whole array on one line gives all its events.
     record = T.ArrayType(T.DataType.fromDDL(schema))
-    parsed = F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), record)
-    return keep.select(parsed.alias("r")).where(F.size("r") == 1).select(
-        F.get("r", F.lit(0)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), record)
+    return lines.select(F.explode(parsed).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
 def read_events(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

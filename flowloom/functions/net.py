@@ -34,7 +34,7 @@ _V6 = r"^(?=.*:.*:)[0-9a-fA-F:]+(?::\d{1,3}(?:\.\d{1,3}){3})?$"
 _V6_GLOBAL = r"^[23][0-9a-fA-F]{3}:"
 _V6_GLOBAL_EXCEPT = (
     r"^(?:2001:(?:0{0,3}[0-9a-fA-F]?|00[0-9a-fA-F]{2}|0?1[0-9a-fA-F]{2}|[0-9a-fA-F]{2})?:"
-    r"|2001:0?db8:|2002:|3fff:0?[0-9a-fA-F]{0,3}:)"
+    r"|2001:0?db8:|2002:)"
 )
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +32,48 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
+def _draw_splits(points: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+                 rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random non-constant feature per node with its bounds; feature -1 where all are constant.
+
+    Features are drawn and redrawn a few times; only nodes that keep meeting constants look at all.
+    """
+    count, width = len(starts), points.shape[1]
+    chosen = np.full(count, -1)
+    low, high = np.zeros(count), np.zeros(count)
+    open_nodes = np.flatnonzero(sizes > 1)
+    for _ in range(4):
+        if not len(open_nodes):
+            return chosen, low, high
+        pick = rng.integers(0, width, len(open_nodes))
+        lengths = sizes[open_nodes]
+        edges = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        inside = np.arange(lengths.sum()) - np.repeat(edges, lengths) + np.repeat(starts[open_nodes], lengths)
+        values = points[rows[inside], np.repeat(pick, lengths)]
+        lo, hi = np.minimum.reduceat(values, edges), np.maximum.reduceat(values, edges)
+        good = hi > lo
+        hit = open_nodes[good]
+        chosen[hit], low[hit], high[hit] = pick[good], lo[good], hi[good]
+        open_nodes = open_nodes[~good]
+    for node in open_nodes:
+        block = points[rows[starts[node]:starts[node] + sizes[node]]]
+        lo, hi = block.min(axis=0), block.max(axis=0)
+        varied = np.flatnonzero(hi > lo)
+        if len(varied):
+            pick = rng.choice(varied)
+            chosen[node], low[node], high[node] = pick, lo[pick], hi[pick]
+    return chosen, low, high
+
+
 def grow_tree(points: np.ndarray, seed: int) -> pd.DataFrame:
     """Grow one tree level by level; nodes are numbered as in a heap.
 
-    Per level all open nodes are handled together: rows sorted by node, bounds by ``reduceat``, a
-    random non-constant feature and a uniform threshold per node.
+    Per level all open nodes are handled together: row numbers sorted by node, a random non-constant
+    feature and a uniform threshold per node.
     """
     rng = np.random.default_rng(seed)
     limit = math.ceil(math.log2(max(len(points), 2)))
+    rows = np.arange(len(points))
     node_of = np.zeros(len(points), dtype=np.int64)
     nodes, features, thresholds, paths = [], [], [], []
 
@@ -49,35 +84,27 @@ def grow_tree(points: np.ndarray, seed: int) -> pd.DataFrame:
         paths.append(depth + average_path(sizes))
 
     for depth in range(limit + 1):
-        if not len(points):
+        if not len(rows):
             break
         order = np.argsort(node_of, kind="stable")
-        points, node_of = points[order], node_of[order]
+        rows, node_of = rows[order], node_of[order]
         ids, starts, sizes = np.unique(node_of, return_index=True, return_counts=True)
         if depth == limit:
             leaf(ids, sizes, depth)
             break
-        low = np.minimum.reduceat(points, starts, axis=0)
-        high = np.maximum.reduceat(points, starts, axis=0)
-        varied = high > low
-        split = varied.any(axis=1) & (sizes > 1)
+        chosen, lo, hi = _draw_splits(points, rows, starts, sizes, rng)
+        split = chosen >= 0
         leaf(ids[~split], sizes[~split], depth)
-        if not split.any():
-            break
-        draw = np.where(varied, rng.random(varied.shape), -1.0)
-        chosen = draw.argmax(axis=1)
-        at = np.arange(len(ids))
-        lo, hi = low[at, chosen], high[at, chosen]
-        cut = lo + (hi - lo) * rng.random(len(ids))
+        cut = (lo + (hi - lo) * rng.random(len(ids))).astype(points.dtype)
         cut = np.where(cut >= hi, lo, cut)
         nodes.append(ids[split])
         features.append(chosen[split])
-        thresholds.append(cut[split])
+        thresholds.append(cut[split].astype(float))
         paths.append(np.zeros(int(split.sum())))
-        which = np.repeat(at, sizes)
+        which = np.repeat(np.arange(len(ids)), sizes)
         keep = split[which]
-        points, node_of, which = points[keep], node_of[keep], which[keep]
-        right = points[np.arange(len(points)), chosen[which]] > cut[which]
+        rows, node_of, which = rows[keep], node_of[keep], which[keep]
+        right = points[rows, chosen[which]] > cut[which]
         node_of = 2 * node_of + 1 + right
     return pd.DataFrame({
         "node": np.concatenate(nodes).astype("int32"), "feature": np.concatenate(features).astype("int32"),
@@ -139,7 +166,7 @@ def _pack(node_rows: pd.DataFrame, names: list[str], sample_size: int) -> Forest
 
 
 def assign_to_trees(df: DataFrame, keys: list[str], rows: int, trees: int, sample_size: int,
-                    seed: int = 42, oversample: float = 1.1) -> DataFrame:
+                    seed: int = 42) -> DataFrame:
     """Rows repeated for the trees that sample them; most rows of a large input are dropped here.
 
     The expected draws per row are ``trees * sample_size / rows``; draws and tree ids come from
@@ -148,7 +175,8 @@ def assign_to_trees(df: DataFrame, keys: list[str], rows: int, trees: int, sampl
     if rows <= sample_size:
         return df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
             "_draw", F.lit(0).cast("bigint"))
-    rate = trees * sample_size * oversample / rows
+    # a margin of three standard deviations, so that nearly every tree reaches its sample size
+    rate = trees * (sample_size + 3.2 * math.sqrt(sample_size)) / rows
     whole, part = int(rate), rate - int(rate)
     u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     draws = F.lit(whole) + (u < part).cast("int")
@@ -161,19 +189,25 @@ def assign_to_trees(df: DataFrame, keys: list[str], rows: int, trees: int, sampl
 
 def train_nodes(df: DataFrame, names: list[str], keys: list[str], rows: int, trees: int = 300,
                 sample_size: int = 4096, seed: int = 42) -> DataFrame:
-    """Node table of the forest; every group is one tree's bounded sample."""
-    psi = min(sample_size, rows)
-    sampled = assign_to_trees(df.select(*{*keys, *names}), keys, rows, trees, psi, seed)
+    """Node table of the forest; every group is one tree's bounded sample.
 
-    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        if len(pdf) > psi:
-            pdf = pdf.nsmallest(psi, "_draw") if pdf["_draw"].nunique() > 1 else pdf.head(psi)
-        grown = grow_tree(pdf[names].to_numpy(dtype=float), seed * 100_003 + tree)
+    Values travel in single precision, which halves the shuffle and is enough to place splits.
+    """
+    psi = min(sample_size, rows)
+    vector = F.array(*[F.col(n).cast("float") for n in names]).alias("x")
+    sampled = assign_to_trees(df.select(*keys, vector), keys, rows, trees, psi, seed)
+    width = len(names)
+
+    def grow(key: tuple, table: pa.Table) -> pa.Table:
+        tree = int(key[0].as_py())
+        points = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        if len(points) > psi:
+            points = points[np.argsort(table["_draw"].to_numpy(), kind="stable")[:psi]]
+        grown = grow_tree(points, seed * 100_003 + tree)
         grown.insert(0, "tree", np.int32(tree))
-        return grown
+        return pa.Table.from_pandas(grown, preserve_index=False)
 
-    return sampled.select("tree", "_draw", *names).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return sampled.select("tree", "_draw", "x").groupBy("tree").applyInArrow(grow, NODE_SCHEMA)
 
 
 def load_forest(nodes: DataFrame, names: list[str], sample_size: int) -> Forest:

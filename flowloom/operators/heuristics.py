@@ -65,19 +65,30 @@ def keyword_hit() -> Column:
 
 
 def triage(events: DataFrame, window_us: int = WINDOW_US, min_ssh: int = 8, min_auth: int = 10,
-           min_ports: int = 15, ts: str = "ts_us", tie: str = "seq") -> DataFrame:
-    """All heuristics in their order of precedence, one hit per event at most.
+           min_ports: int = 15, ts: str = "ts_us", tie: str = "seq", settled: str | None = None) -> DataFrame:
+    """All heuristics in their order of precedence, one hit per event at most; ``rule`` names it.
 
     A counter only sees the events that no earlier check answered. The three rolling passes run one
     after the other over all rows; in each, only the rows still open feed the window.
+
+    ``settled`` names a flag of rows judged before (the recent rows of a stream): their ``rule`` is
+    in ``known_rule`` and is taken over instead of being worked out from a shortened past.
     """
     rows = events.where((F.coalesce("src_ip", F.lit("")) != "") & (F.coalesce("dst_ip", F.lit("")) != ""))
     port = F.col("dst_port")
-    step = rows.withColumn("_hit", keyword_hit())
+    judged: list[str] = []
+
+    def or_known(hit: Column, *names: str) -> Column:
+        judged.extend(names)
+        if settled is None:
+            return hit
+        return F.when(F.col(settled), F.when(F.col("known_rule").isin(*judged), F.col("known_rule"))).otherwise(hit)
+
+    step = rows.withColumn("_hit", or_known(keyword_hit(), "scan", "brute"))
 
     def passed(counted: DataFrame, feeds: Column, minimum: int, name: str) -> DataFrame:
-        return counted.withColumn("_hit", F.when(
-            F.col("_hit").isNull() & feeds & (F.col(f"_{name}") >= minimum), name).otherwise(F.col("_hit")))
+        fresh = F.when(F.col("_hit").isNull() & feeds & (F.col(f"_{name}") >= minimum), name).otherwise(F.col("_hit"))
+        return counted.withColumn("_hit", or_known(fresh, name))
 
     ssh_feed = F.col("_hit").isNull() & F.coalesce(is_ssh_event(), F.lit(False))
     step = passed(rolling_count(step, "src_ip", ts, window_us, "_ssh", tie, feeds=ssh_feed),
@@ -99,7 +110,7 @@ def triage(events: DataFrame, window_us: int = WINDOW_US, min_ssh: int = 8, min_
         return F.concat(start, F.lit("="), F.col(f"_{name}").cast("string"))
 
     return step.where(hit.isNotNull()).select(
-        *rows.columns,
+        *rows.columns, hit.alias("rule"),
         F.when(hit.isin("scan", "ports"), "PortScan").when(hit == "ssh", "SSH-Patator").otherwise(brute_label(port)).alias("attack_type"),
         F.when(hit == "ports", "medium").otherwise("high").alias("severity"),
         F.when(hit == "scan", 0.85).when(hit == "brute", 0.88).when(hit == "ssh", rate(0.95, 0.5, 0.04, "ssh"))

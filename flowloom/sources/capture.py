@@ -9,9 +9,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions import net
 from flowloom.schemas import PACKETS
@@ -37,7 +38,7 @@ def only_captures(files: DataFrame) -> DataFrame:
 
 def packets(files: DataFrame) -> DataFrame:
     """One row per decoded packet of each file, in file order (``seq``); malformed packets are skipped."""
-    return only_captures(files).select("path", "content").mapInPandas(_decode_files, PACKETS)
+    return only_captures(files).select("path", "content").mapInArrow(_decoder(), PACKETS)
 
 
 def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
@@ -97,26 +98,36 @@ def closed_chunks(files: DataFrame, processed: DataFrame, quiet_seconds: int = 1
 
 # ---- decoding inside a task ----------------------------------------------------------------
 
-_COLUMNS = [part.strip().split(" ")[0] for part in PACKETS.split(",")]
-
-
-def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
+def _decoder():
+    """The task function: capture files in, packet batches out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(T.DataType.fromDDL(PACKETS))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+                for rows in _file_rows(path, content.as_buffer().to_pybytes()):
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return decode
+
+
+def _file_rows(path: str, data: bytes) -> Iterator[list[dict]]:
+    rows = []
+    for seq, (ts, frame, size) in enumerate(frames(data)):
+        try:
+            row = decode_frame(frame)
+        except (struct.error, IndexError, ValueError):
+            continue
+        if row:
+            row.update(file=path, seq=seq, ts=ts, frame_len=size)
+            rows.append(row)
+        if len(rows) >= ROWS_PER_BATCH:
+            yield rows
             rows = []
-            for seq, (ts, frame, size) in enumerate(frames(bytes(content))):
-                try:
-                    row = decode_frame(frame)
-                except (struct.error, IndexError, ValueError):
-                    continue
-                if row:
-                    row.update(file=path, seq=seq, ts=ts, frame_len=size)
-                    rows.append(row)
-                if len(rows) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+    if rows:
+        yield rows
 
 
 def frames(data: bytes) -> Iterator[tuple[float, bytes, int]]:

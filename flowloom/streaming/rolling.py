@@ -25,7 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 @dataclass
 class Rolling:
-    """``operator`` gets the rows with a flag ``fresh`` and returns rows that still carry it."""
+    """``operator`` gets the rows with a flag ``fresh`` and returns rows that still carry it.
+
+    ``keep`` chooses the rows to remember from all rows and the batch's result; ``memo`` names a text
+    column that remembered rows carry and fresh rows have as null.
+    """
 
     operator: Callable[[DataFrame], DataFrame]
     ts: str
@@ -33,9 +37,12 @@ class Rolling:
     out: str
     context: str
     keep: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    memo: str | None = None
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if self.memo:
+            batch = batch.withColumn(self.memo, F.lit(None).cast("string"))
         rows = batch.withColumn("fresh", F.lit(True))
         before = f"{self.context}/batch={batch_id - 1}"
         if exists(spark, before):
@@ -63,11 +70,20 @@ def rolling_entropy_stream(out: str, context: str, span_us: int = 300_000_000) -
     return Rolling(lambda rows: rolling_port_entropy(rows, span_us), "ts_us", span_us, out, context)
 
 
-def triage_stream(out: str, context: str, span_us: int = 60_000_000, **limits) -> Rolling:
-    """Burst heuristics with their precedence."""
+def triage_stream(out: str, context: str, span_us: int = 60_000_000, tie: str = "seq", **limits) -> Rolling:
+    """Burst heuristics with their precedence; remembered rows keep the rule that answered them."""
     from flowloom.operators.heuristics import triage
 
-    return Rolling(lambda rows: triage(rows, span_us, **limits), "ts_us", span_us, out, context)
+    def judge(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumn("_settled", ~F.col("fresh"))
+        return triage(marked, span_us, tie=tie, settled="_settled", **limits).drop("_settled", "known_rule")
+
+    def remember(rows: DataFrame, passed: DataFrame) -> DataFrame:
+        answered = passed.select(tie, "rule")
+        return rows.join(answered, tie, "left").withColumn(
+            "known_rule", F.coalesce("known_rule", "rule")).drop("rule", "fresh")
+
+    return Rolling(judge, "ts_us", span_us, out, context, keep=remember, memo="known_rule")
 
 
 def rate_limit_stream(out: str, context: str, session: str, limit: int, window_us: int = 60_000_000) -> Rolling:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import values
+from flowloom.session import ship
 
 
 def anomaly_alerts(scored: DataFrame, threshold: float = 5.0, session_id: str = "") -> DataFrame:
@@ -141,6 +142,7 @@ def greedy_cap(alerts: DataFrame, session: str, ts_us: str, limit: int, window_u
     limiter. Sessions are cut at such silences into independent episodes; an episode's alerts are
     sorted by Spark and streamed with ``limit`` times of state, so it is never held in memory.
     """
+    ship(alerts.sparkSession)
     cut = episodes(alerts, session, ts_us, window_us, tie)
     ordered = cut.repartition(session, "_episode").sortWithinPartitions(session, "_episode", ts_us, tie)
     names = [n for n in alerts.columns if n != admitted]

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.values import calibrated_score
-from flowloom.session import stored
+from flowloom.operators.features import exact_fits
+from flowloom.session import ship, stored
 
 NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, path DOUBLE"
 MAX_MODEL_BYTES = 512 << 20
@@ -193,6 +194,7 @@ def train_nodes(df: DataFrame, names: list[str], keys: list[str], rows: int, tre
 
     Values travel in single precision, which halves the shuffle and is enough to place splits.
     """
+    ship(df.sparkSession)
     psi = min(sample_size, rows)
     vector = F.array(*[F.col(n).cast("float") for n in names]).alias("x")
     sampled = assign_to_trees(df.select(*keys, vector), keys, rows, trees, psi, seed)
@@ -217,6 +219,7 @@ def load_forest(nodes: DataFrame, names: list[str], sample_size: int) -> Forest:
 
 def score(df: DataFrame, forest: Forest, out: str = "decision") -> DataFrame:
     """Add the decision value. Batches stream through an Arrow function; nothing is cached or cut."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -255,8 +258,9 @@ def hash_sample(df: DataFrame, keys: list[str], rows: int, wanted: int, seed: in
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed + 7)), F.lit(1 << 30)) < bound)
 
 
-def calibration_bounds(scored: DataFrame, exact: bool = True) -> DataFrame:
+def calibration_bounds(scored: DataFrame, exact: bool | None = None) -> DataFrame:
     """d_min, d_max with their headroom, and quantiles of benign decision values, in one row."""
+    exact = exact_fits(scored) if exact is None else exact
     cuts = [0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999]
     quantiles = F.percentile("decision", F.array(*map(F.lit, cuts))) if exact else \
         F.percentile_approx("decision", cuts, 10_000)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import net, values
+from flowloom.session import ship
 
 VERDICT_FIELDS = ["vt", "abuse", "new_domain", "pulses", "sandbox", "scanner", "known_good", "vulns"]
 
@@ -83,6 +84,7 @@ def enrich_with(df: DataFrame, key: str, fn: Callable[[pd.Series], pd.DataFrame]
     ``fn`` gets a batch of keys and returns a frame in ``schema``. ``lookups_at_once`` bounds the
     number of tasks, and so of concurrent callers.
     """
+    ship(df.sparkSession)
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
     if lookups_at_once:
         distinct = distinct.repartition(lookups_at_once, key)

@@ -27,6 +27,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, wide_reads: bool = False):
         self.spark, self.dir, self.wide_reads = spark, sf_dir.rstrip("/"), wide_reads
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times are UTC
 
     def read(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -21,12 +21,15 @@ class Query:
 _REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register the decorated ``Tables -> DataFrame`` function under ``name``."""
+def query(name: str, sql: str | None = None, views: bool = True):
+    """Register the decorated ``Tables -> DataFrame`` function under ``name``.
+
+    ``views=False`` is for SQL that already defines the adapter views it uses.
+    """
     def register(fn: Callable[[Tables], DataFrame]):
         if name in _REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        _REGISTRY[name] = Query(name, fn, with_views(sql) if sql else None)
+        _REGISTRY[name] = Query(name, fn, with_views(sql) if sql and views else sql)
         return fn
 
     return register

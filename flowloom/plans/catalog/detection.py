@@ -276,7 +276,23 @@ _PORT_PARAMS = {
 }
 
 
-@query("set_01_all_rule_findings")
+def _counts(rule_id: str, severity: str, sql: str) -> str:
+    return f"SELECT '{rule_id}' AS rule_id, '{severity}' AS severity, count(*) AS n FROM ({sql}) HAVING count(*)>0"
+
+
+def _all_rules_sql() -> str:
+    """The rules' own SQL, counted; rules over single flows come from their shared query."""
+    from flowloom.plans.catalog import _REGISTRY
+
+    grouped = {"PORTSCAN-001": "rule_01_portscan_horizontal", "PORTSCAN-002": "rule_02_host_sweep", "BEACON-001": "rule_03_beacon",
+               "BEACON-002": "rule_04_slow_beacon", "DNSTUNNEL-002": "rule_06_dns_frequency", "LATERAL-001": "rule_07_lateral_movement",
+               "DNSTUNNEL-003": "rule_08_dns_entropy", "ARPSPOOFING-001": "rule_09_arp_requests", "ARPSPOOFING-002": "rule_10_arp_storm",
+               "EXFIL-001": "rule_11_exfiltration", "DGATOP-001": "rule_13_generated_domain", "NEWDOMAIN-001": "rule_16_new_domain"}
+    parts = [_counts(rid, R.RULES[rid].severity, _REGISTRY[name].sql) for rid, name in grouped.items()]
+    return " UNION ALL ".join(parts) + f" UNION ALL SELECT rule_id, severity, n FROM ({_REGISTRY['prj_09_rule_findings'].sql})"
+
+
+@query("set_01_all_rule_findings", _all_rules_sql(), views=False)
 def _(t):
     """Every rule at once, counted per rule."""
     found = FI.rule_findings(t.wide.flows, t.arp, t.observables, **_PORT_PARAMS)

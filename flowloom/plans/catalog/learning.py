@@ -14,6 +14,7 @@ from flowloom.operators import forest as IF
 from flowloom.plans import training
 from flowloom.plans.adapter_sql import INTERNAL
 from flowloom.plans.catalog import query
+from flowloom.session import stored
 from flowloom.sources import labelled
 
 c = F.col
@@ -34,7 +35,7 @@ SELECT flow_id, dst_port::double AS dst_port, round(ln(1+duration_ms),4) AS dura
  hour(make_timestamp(start_us))::double AS time_of_day_hour, CASE protocol WHEN 'TCP' THEN 1 WHEN 'UDP' THEN 2 ELSE 0 END::double AS protocol_encoded,
  floor(rate) AS flow_bytes_per_s FROM (SELECT *, packets_recv/greatest(packets_sent,1) AS down, (bytes_sent+bytes_recv)/sec AS rate FROM s) JOIN e USING (src_ip)""")
 def _(t):
-    out = FT.compact_features(t.wide.flows)
+    out = FT.compact_features(t.wide.flows, stored(FT.port_entropy(t.flows), "entropy"))
     digits4 = ["dst_port", "duration_ms_log", "fwd_packets", "bwd_packets", "fwd_bytes_log", "bwd_bytes_log", "down_up_ratio",
                "iat_mean", "iat_std", "iat_max", "dst_port_entropy", "is_external_dst", "time_of_day_hour", "protocol_encoded"]
     return out.select("flow_id", *_rounded(digits4), F.floor("flow_bytes_per_s").cast("double").alias("flow_bytes_per_s"))

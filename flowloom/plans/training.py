@@ -73,8 +73,12 @@ def evaluate(model: Model, labelled: DataFrame, keys: list[str], label: str = "L
 
 def run(labelled: DataFrame, names: list[str], keys: list[str], label: str = "Label", preset: str = "all",
         **options) -> tuple[Model, dict[str, DataFrame]]:
-    """Train on the benign rows, then evaluate on all of them; a preset bounds the training rows."""
-    cleaned = FT.clean_dataset(labelled, names)
+    """Train on the benign rows, then evaluate on all of them; a preset bounds the training rows.
+
+    Cleaning ends in a shuffle over whole rows and every later step reads its result, so the cleaned
+    rows are written once.
+    """
+    cleaned = stored(FT.clean_dataset(labelled.select(*dict.fromkeys([*keys, *names, label])), names), "cleaned")
     benign = cleaned.where(FT.is_benign(F.col(label)))
     limit = PRESETS[preset]
     if limit:

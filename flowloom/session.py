@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +95,20 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     names = [field.strip().split(" ")[0] for field in schema.split(",")]
     columns = list(zip(*rows)) if rows else [[] for _ in names]
     return spark.createDataFrame(pa.table({n: list(v) for n, v in zip(names, columns)}), schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the workers, once per application, for functions that run there.
+
+    Spark's file distribution carries it, as ``--py-files`` would; the archive stays on the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_flowloom_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="flowloom-")) / "flowloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in root.rglob("*.py"):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._flowloom_shipped = True

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from flowloom.functions import net
 from flowloom.schemas import PACKETS
+from flowloom.session import ship
 
 # fixed values: leading bytes of capture files, both byte orders and both time resolutions
 CLASSIC = {
@@ -38,6 +39,7 @@ def only_captures(files: DataFrame) -> DataFrame:
 
 def packets(files: DataFrame) -> DataFrame:
     """One row per decoded packet of each file, in file order (``seq``); malformed packets are skipped."""
+    ship(files.sparkSession)
     return only_captures(files).select("path", "content").mapInArrow(_decoder(), PACKETS)
 
 

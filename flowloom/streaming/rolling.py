@@ -43,6 +43,7 @@ class Rolling:
         spark = batch.sparkSession
         if self.memo:
             batch = batch.withColumn(self.memo, F.lit(None).cast("string"))
+        batch = batch.persist()  # read by the operator, the memory of recent rows and their bound
         rows = batch.withColumn("fresh", F.lit(True))
         before = f"{self.context}/batch={batch_id - 1}"
         if exists(spark, before):
@@ -57,6 +58,7 @@ class Rolling:
         (seen.crossJoin(F.broadcast(newest))  # one row
          .where(F.col(self.ts) >= F.col("_newest") - self.span).drop("_newest")
          .write.mode("overwrite").parquet(f"{self.context}/batch={batch_id}"))
+        batch.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import net, text
+from flowloom.operators.slices import recent_gap
 
 KEY = ["file", "lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
 ROWS_PER_SLICE = 5_000_000
@@ -27,6 +28,11 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     })
 
 
+def _side() -> Column:
+    """Who counts as the sender: ICMP packets of a conversation all count as forward."""
+    return F.when(F.col("protocol") == "ICMP", "*").otherwise(F.col("src_ip"))
+
+
 def packet_gaps(packets: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``gap`` to the flow's previous packet and ``dir_gap`` to the previous one of the same sender.
 
@@ -54,9 +60,9 @@ def packet_gaps(packets: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
         .select(*KEY, "_slice", "t.seq", "t.ts", "t.src_ip", F.lit(True).alias("_context"))
     )
     rows = base.withColumn("_context", F.lit(False)).unionByName(context, allowMissingColumns=True)
-    rows = rows.repartition(*KEY, "_slice")
+    rows = rows.withColumn("_side", _side()).repartition(*KEY, "_slice")
     flow = Window.partitionBy(*KEY, "_slice").orderBy("seq")
-    sender = Window.partitionBy(*KEY, "_slice", "src_ip").orderBy("seq")
+    sender = Window.partitionBy(*KEY, "_slice", "_side").orderBy("seq")
     dir_gap = F.col("ts") - F.lag("ts").over(sender)
     return rows.withColumn("gap", F.col("ts") - F.lag("ts").over(flow)).withColumn(
         "dir_gap", F.when(dir_gap >= 0, dir_gap)).where(~F.col("_context")).drop("_context", "_slice")
@@ -80,7 +86,7 @@ def _pop_std(n: Column, total: Column, squares: Column) -> Column:
 def build_flows(packets: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Flow reconstruction.
 
-    Packets aggregate per (flow key, sender) first: who is forward depends only on the sender of the
+    Packets aggregate per (flow key, sender) first: which are forward depends only on the sender of the
     flow's first packet, so at most two partial rows per flow meet in the second aggregation and no
     packet is joined back to its flow.
     """
@@ -99,9 +105,9 @@ def build_flows(packets: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
     def last(value: Column) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), ordered))
 
-    sender = gaps.groupBy(*KEY, "src_ip").agg(
+    sender = gaps.groupBy(*KEY, "_side").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.min_by(F.struct("ts", "src_port", "dst_ip", "dst_port"), "seq").alias("first"),
+        F.min_by(F.struct("ts", "src_ip", "src_port", "dst_ip", "dst_port"), "seq").alias("first"),
         F.max_by("ts", "seq").alias("last_ts"),
         *_moments("len", length, F.count(F.lit(1))),
         *_moments("gap", F.col("gap"), F.count("gap")),
@@ -121,9 +127,9 @@ def build_flows(packets: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
         F.array_sort(F.collect_set("user_agent")).alias("agents"),
     )
     # Second level: at most two rows per flow.
-    lead = F.min_by(F.struct("src_ip", "first"), "first_seq")
+    lead = F.min_by(F.struct("_side", "first"), "first_seq")
     flows = sender.groupBy(*KEY).agg(lead.alias("lead"), F.collect_list(F.struct(*[
-        c for c in sender.columns if c not in KEY or c == "src_ip"])).alias("sides"))
+        c for c in sender.columns if c not in KEY])).alias("sides"))
     return _combine(flows)
 
 
@@ -136,8 +142,8 @@ def _combine(flows: DataFrame) -> DataFrame:
     """Forward and backward halves side by side, then the flow columns."""
     pick = flows.select(
         *KEY, "lead",
-        F.get(F.filter("sides", lambda s: s["src_ip"] == F.col("lead.src_ip")), F.lit(0)).alias("f"),
-        F.get(F.filter("sides", lambda s: s["src_ip"] != F.col("lead.src_ip")), F.lit(0)).alias("b"),
+        F.get(F.filter("sides", lambda s: s["_side"] == F.col("lead._side")), F.lit(0)).alias("f"),
+        F.get(F.filter("sides", lambda s: s["_side"] != F.col("lead._side")), F.lit(0)).alias("b"),
     )
 
     def f(name: str, default=None) -> Column:
@@ -179,7 +185,7 @@ def _combine(flows: DataFrame) -> DataFrame:
 
     columns = {
         "file": F.col("file"),
-        "src_ip": F.col("lead.src_ip"), "dst_ip": F.col("lead.first.dst_ip"),
+        "src_ip": F.col("lead.first.src_ip"), "dst_ip": F.col("lead.first.dst_ip"),
         "src_port": F.col("lead.first.src_port"), "dst_port": F.col("lead.first.dst_port"),
         "protocol": F.col("protocol"),
         "start_time": F.timestamp_micros(start_us), "end_time": F.timestamp_micros(end_us),
@@ -225,22 +231,33 @@ def build_observables(packets: DataFrame) -> DataFrame:
         F.min_by("ts", "seq").alias("first_seen"), F.count(F.lit(1)).alias("occurrence_count"))
 
 
-def idle_flows(packets: DataFrame, idle: str = "5 seconds", mirror: bool = True) -> DataFrame:
+def idle_flows(packets: DataFrame, idle_seconds: float = 5, mirror: bool = True) -> DataFrame:
     """Directed flows closed by an idle gap, on a batch or a watermarked stream (column ``time``).
 
-    ``mirror`` keeps the packet-only view's convention of reporting received = sent.
+    A batch also gets the deviation and extremes of the gaps between packets; on a stream, where no
+    row sees its predecessor, the mean gap follows from the flow's span. ``mirror`` keeps the
+    packet-only view's convention of reporting received = sent.
     """
     key = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+    idle = f"{int(idle_seconds * 1000)} milliseconds"
+    rows = packets.where((F.col("src_ip") != "") & (F.col("dst_ip") != ""))
     length = F.col("length").cast("double")
-    grouped = packets.where((F.col("src_ip") != "") & (F.col("dst_ip") != "")).groupBy(
-        *key, F.session_window("time", idle).alias("w")).agg(
+    measures = [
         F.count(F.lit(1)).alias("packets_sent"), F.sum("length").cast("bigint").alias("bytes_sent"),
         F.min("length").alias("pkt_len_min"), F.max("length").alias("pkt_len_max"),
-        F.stddev_pop(length).alias("pkt_len_std"), F.min("time").alias("start_time"),
-        F.max("time").alias("end_time"))
+        F.stddev_pop(length).alias("pkt_len_std"), F.min("time").alias("start_time"), F.max("time").alias("end_time")]
+    if not packets.isStreaming:
+        rows = recent_gap(rows.withColumn("_us", F.unix_micros("time")), key, "_us", int(idle_seconds * 1e6) - 1, "_gap")
+        gap = F.when(F.col("_gap") > 0, F.col("_gap") / 1e6)
+        measures += [F.coalesce(f(gap), F.lit(0.0)).alias(n) for n, f in (
+            ("iat_mean", F.avg), ("iat_std", F.stddev_pop), ("iat_max", F.max), ("iat_min", F.min), ("fwd_iat_total", F.sum))]
+    out = rows.groupBy(*key, F.session_window("time", idle).alias("w")).agg(*measures)
     span = F.unix_micros("end_time") - F.unix_micros("start_time")
-    out = grouped.withColumn("duration_ms", F.floor(span / 1000).cast("bigint")).withColumn(
-        "iat_mean", F.when(F.col("packets_sent") > 1, span / 1e6 / (F.col("packets_sent") - 1)).otherwise(0.0))
+    out = out.withColumn("duration_ms", F.floor(span / 1000).cast("bigint"))
+    if packets.isStreaming:
+        out = out.withColumn("iat_mean", F.when(
+            F.col("packets_sent") > 1, span / 1e6 / (F.col("packets_sent") - 1)).otherwise(0.0))
     received = (F.col("packets_sent"), F.col("bytes_sent")) if mirror else (F.lit(0), F.lit(0))
-    return out.withColumns({"packets_recv": received[0].cast("bigint"), "bytes_recv": received[1].cast("bigint"),
-                            "is_external_dst": net.is_external_ip(F.col("dst_ip"))}).drop("w")
+    return out.withColumns({
+        "packets_recv": received[0].cast("bigint"), "bytes_recv": received[1].cast("bigint"), "fwd_iat_mean": F.col("iat_mean"),
+        "is_external_dst": net.is_external_ip(F.col("dst_ip"))}).drop("w")

@@ -105,9 +105,10 @@ def fold_incidents(deltas: DataFrame) -> DataFrame:
 
 def search_incidents(incidents: DataFrame, since_us: int | None = None, disposition: str | None = None,
                      source: str | None = None, text: str | None = None, limit: int | None = 200) -> DataFrame:
+    """Newest incidents first; an incident's time is that of its first alert."""
     out = incidents
     if since_us:
-        out = out.where(F.col("last_ts_us") > since_us)
+        out = out.where(F.col("first_ts_us") > since_us)
     if disposition:
         out = out.where(F.col("disposition") == disposition)
     if source:
@@ -115,7 +116,7 @@ def search_incidents(incidents: DataFrame, since_us: int | None = None, disposit
     if text and text.strip():
         hay = F.lower(F.concat_ws(" ", "src_ip", "dst_ip", "attack_type", "summary", "protocol", "disposition"))
         out = out.where(F.contains(hay, F.lit(text.strip().lower())))
-    out = out.orderBy(F.desc("last_ts_us"), F.asc("connection"))
+    out = out.orderBy(F.desc("first_ts_us"), F.asc("connection"))
     return out.limit(limit) if limit else out
 
 

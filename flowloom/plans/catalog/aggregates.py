@@ -155,8 +155,8 @@ def _(t):
 
 
 @query("flt_05_incident_search", f"""
-WITH {INCIDENT_SQL} SELECT connection, attack_type FROM inc WHERE last_ts_us > 1704844800000000 AND disposition='open' AND contains(sources,'suricata')
- AND contains(lower(concat_ws(' ',src_ip,dst_ip,attack_type,summary,protocol,disposition)), 'sig 3') ORDER BY last_ts_us DESC, connection LIMIT 200""")
+WITH {INCIDENT_SQL} SELECT connection, attack_type FROM inc WHERE first_ts_us > 1704844800000000 AND disposition='open' AND contains(sources,'suricata')
+ AND contains(lower(concat_ws(' ',src_ip,dst_ip,attack_type,summary,protocol,disposition)), 'sig 3') ORDER BY first_ts_us DESC, connection LIMIT 200""")
 def _(t):
     return I.search_incidents(incidents(t), 1704844800 * 1_000_000, "open", "suricata", " SIG 3 ").select("connection", "attack_type")
 

@@ -12,7 +12,7 @@ from flowloom.plans.catalog import query
 _HEADS = """
 heads AS (SELECT fkey, arg_min(src_ip, seq) AS f_src, arg_min(dst_ip, seq) AS f_dst, arg_min(src_port, seq) AS f_sport,
   arg_min(dst_port, seq) AS f_dport FROM x_keyed GROUP BY 1),
-p AS (SELECT k.*, k.src_ip = h.f_src AS fwd, f_src, f_dst, f_sport, f_dport FROM x_keyed k JOIN heads h USING (fkey))"""
+p AS (SELECT k.*, k.src_ip = h.f_src OR k.protocol='ICMP' AS fwd, f_src, f_dst, f_sport, f_dport FROM x_keyed k JOIN heads h USING (fkey))"""
 _ENDS = "f_src AS src_ip, f_dst AS dst_ip, f_sport AS src_port, f_dport AS dst_port, protocol"
 _GROUP = "GROUP BY f_src, f_dst, f_sport, f_dport, protocol, fkey"
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
@@ -75,7 +75,7 @@ def _(t):
 
 _GAPS = """
 gaps AS (SELECT *, ts - lag(ts) OVER (PARTITION BY fkey ORDER BY seq) AS gap,
-  ts - lag(ts) OVER (PARTITION BY fkey, src_ip ORDER BY seq) AS dgap0 FROM p),
+  ts - lag(ts) OVER (PARTITION BY fkey, CASE WHEN protocol='ICMP' THEN '*' ELSE src_ip END ORDER BY seq) AS dgap0 FROM p),
 g AS (SELECT *, CASE WHEN dgap0>=0 THEN dgap0 END AS dgap FROM gaps)"""
 
 
@@ -124,7 +124,7 @@ def _(t):
 
 @query("win_02_direction_gap", """
 SELECT seq, src_ip, round(CASE WHEN g>=0 THEN g END,4) AS dir_gap FROM (
-  SELECT *, ts - lag(ts) OVER (PARTITION BY fkey, src_ip ORDER BY seq) AS g FROM x_keyed)""")
+  SELECT *, ts - lag(ts) OVER (PARTITION BY fkey, CASE WHEN protocol='ICMP' THEN '*' ELSE src_ip END ORDER BY seq) AS g FROM x_keyed)""")
 def _(t):
     return FL.packet_gaps(t.packets, SLICE).select("seq", "src_ip", F.round("dir_gap", 4).alias("dir_gap"))
 
@@ -146,12 +146,15 @@ def _(t):
 
 
 @query("str_04_idle_sessions", """
-WITH s AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w < 86400000000 THEN 0 ELSE 1 END AS fresh FROM x_events
+WITH s AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w < 86400000000 THEN 0 ELSE 1 END AS fresh, (ts_us - lag(ts_us) OVER w)/1e6 AS g FROM x_events
   WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us) AS sid FROM s)
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, min(ts_us) AS start_us, count(*) AS packets_sent, cast(sum(length) AS bigint) AS bytes_sent,
-  min(length) AS pkt_len_min, max(length) AS pkt_len_max, (max(ts_us)-min(ts_us))//1000 AS duration_ms, count(*) AS packets_recv FROM r GROUP BY 1,2,3,4,5,sid""")
+  min(length) AS pkt_len_min, max(length) AS pkt_len_max, (max(ts_us)-min(ts_us))//1000 AS duration_ms, count(*) AS packets_recv,
+  round(coalesce(avg(g) FILTER (WHERE fresh=0 AND g>0),0),3) AS iat_mean, round(coalesce(max(g) FILTER (WHERE fresh=0 AND g>0),0),3) AS iat_max,
+  round(coalesce(stddev_pop(g) FILTER (WHERE fresh=0 AND g>0),0),2) AS iat_std FROM r GROUP BY 1,2,3,4,5,sid""")
 def _(t):
-    return FL.idle_flows(t.events, "1 day").select(
+    return FL.idle_flows(t.events, 86400).select(
         *KEY, F.unix_micros("start_time").alias("start_us"), "packets_sent", "bytes_sent", "pkt_len_min", "pkt_len_max",
-        "duration_ms", "packets_recv")
+        "duration_ms", "packets_recv", F.round("iat_mean", 3).alias("iat_mean"), F.round("iat_max", 3).alias("iat_max"),
+        F.round("iat_std", 2).alias("iat_std"))

@@ -271,7 +271,7 @@ r AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port
 g AS (SELECT src_ip, dst_ip, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets_sent, cast(sum(length) AS bigint) AS bytes_sent FROM r GROUP BY src_ip, dst_ip, src_port, dst_port, protocol, sid)
 SELECT src_ip, dst_ip, start_us, packets_sent, bytes_sent FROM g WHERE last_us//1000 + 86400000 <= (SELECT max(ts_us)//1000 FROM x_events)""")
 def _(t):
-    flows = live.idle_flow_stream(stream_of(t, "events").events, "1 day", "0 seconds")
+    flows = live.idle_flow_stream(stream_of(t, "events").events, 86400, "0 seconds")
     return _to_table(t, flows, "idle").select("src_ip", "dst_ip", F.unix_micros("start_time").alias("start_us"), "packets_sent", "bytes_sent")
 
 

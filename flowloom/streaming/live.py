@@ -21,11 +21,11 @@ def watermarked(stream: DataFrame, ts: str = "time", delay: str = "2 minutes") -
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def idle_flow_stream(packets: DataFrame, idle: str = "5 seconds", delay: str = "5 seconds") -> DataFrame:
+def idle_flow_stream(packets: DataFrame, idle_seconds: float = 5, delay: str = "5 seconds") -> DataFrame:
     """Directed flows, each emitted once its idle gap is over."""
     from flowloom.operators.flows import idle_flows
 
-    return idle_flows(watermarked(packets, "time", delay), idle)
+    return idle_flows(watermarked(packets, "time", delay), idle_seconds)
 
 
 def signature_threshold_stream(packets: DataFrame, port: int, count: int, window: str = "60 seconds",

@@ -68,7 +68,7 @@ FRAMES = [
     (100.0, tcp(IP["a"], IP["b"], 12345, 80, 0x02)), (100.5, tcp(IP["b"], IP["a"], 80, 12345, 0x12, win=500)),
     (101.5, tcp(IP["a"], IP["b"], 12345, 80, 0x18, GET)), (101.25, tcp(IP["b"], IP["a"], 80, 12345, 0x11, b"ok")),
     (102.0, tcp(IP["a"], IP["x"], 5555, 443, 0x18, client_hello("www.example.org"))), (103.0, udp(IP["a"], IP["x"], 999, 53, dns_query("q.example.net"))),
-    (104.0, arp(1)), (104.5, ipv4(IP["a"], IP["b"], 1, b"\x08\x00\x00\x00abcd")), (105.0, b"\x00" * 14), (105.5, ether(b"\x45")),
+    (104.0, arp(1)), (104.5, ipv4(IP["a"], IP["b"], 1, b"\x08\x00\x00\x00abcd")), (104.75, ipv4(IP["b"], IP["a"], 1, b"\x00\x00\x00\x00abcdef")), (105.0, b"\x00" * 14), (105.5, ether(b"\x45")),
 ]
 
 
@@ -82,8 +82,8 @@ def test_decode_all_formats(spark, tmp_path):
     path = write(tmp_path, little=classic(FRAMES), big=classic(FRAMES, ">"), nano=classic(FRAMES, "<", 0xA1B23C4D), blocks=blocks(FRAMES), junk=b"not a capture", tiny=b"\xd4")
     rows = capture.read_packets(spark, path)
     per_file = {r.file.rsplit("/", 1)[1]: r["count"] for r in rows.groupBy("file").count().collect()}
-    assert per_file == {f"{n}.pcap": 8 for n in ("little", "big", "nano", "blocks")}
-    assert rows.select("seq", F.round("ts", 4), "src_ip", "dst_port", "payload_len", "sni", "http_host", "arp_op").distinct().count() == 8
+    assert per_file == {f"{n}.pcap": 9 for n in ("little", "big", "nano", "blocks")}
+    assert rows.select("seq", F.round("ts", 4), "src_ip", "dst_port", "payload_len", "sni", "http_host", "arp_op").distinct().count() == 9
     hello = rows.where("sni is not null").first()
     assert (hello.sni, hello.tls_version, hello.tls_ciphers, hello.tls_extensions, hello.tls_groups, hello.tls_formats) == (
         "www.example.org", 771, [4865, 4866], [0, 10, 11], [29, 23], [0])
@@ -109,12 +109,14 @@ def test_flows_from_capture(spark, tmp_path):
         import hashlib
         assert tls.ja3_hash == hashlib.md5(b"771,4865-4866,0-10-11,29-23,0").hexdigest()
         assert flows["UDP53"].dns_queries == ["q.example.net"] and flows["ICMP0"].application_layer == "ICMP"
+        ping = flows["ICMP0"]  # requests and answers all count as sent
+        assert (ping.packets_sent, ping.packets_recv, ping.bytes_sent, ping.bytes_recv, ping.fwd_iat_total) == (2, 0, 10, 0, 0.25)
 
 
 def test_observables_and_display(spark, tmp_path):
     decoded = capture.read_packets(spark, write(tmp_path, one=classic(FRAMES)))
     seen = {(r.type, r.value): r.occurrence_count for r in FL.build_observables(capture.ip_packets(decoded)).collect()}
-    assert seen[("domain", "example.com")] == 1 and seen[("ip", "192.168.1.1")] == 7 and seen[("user_agent", "probe")] == 1
+    assert seen[("domain", "example.com")] == 1 and seen[("ip", "192.168.1.1")] == 8 and seen[("user_agent", "probe")] == 1
     shown = {r.info: r for r in capture.display_rows(decoded).collect()}
     assert "HTTP TCP [SYN] len=0" in shown and "DNS query/response" in shown and "ICMP type=8" in shown
     assert shown["DNS query/response"].protocol == "DNS"

@@ -16,9 +16,9 @@ HOUR6 = 6 * 3_600_000_000
 
 
 @query("join_06_finding_to_flow", """
-SELECT finding_id, src_ip, dst_ip FROM x_findings f LEFT JOIN (SELECT * FROM x_order_flows WHERE flow_id % 5 <> 0) o ON f.flow_id=o.flow_id""")
+SELECT finding_id, src_ip, dst_ip FROM x_findings f LEFT JOIN (SELECT * FROM x_order_flows WHERE protocol = 'TCP') o ON f.flow_id=o.flow_id""")
 def _(t):
-    return FI.with_flow(t.findings, t.order_flows.where("flow_id % 5 <> 0")).select("finding_id", "src_ip", "dst_ip")
+    return FI.with_flow(t.findings, t.order_flows.where("protocol = 'TCP'")).select("finding_id", "src_ip", "dst_ip")
 
 
 @query("join_07_evidence_observables", """
@@ -87,9 +87,9 @@ def _(t):
 
 
 @query("join_12_unprocessed_files", """
-SELECT page_id FROM x_hosts WHERE host NOT IN (SELECT host FROM x_hosts WHERE page_id % 7 = 0)""")
+SELECT page_id FROM x_hosts WHERE host NOT IN (SELECT host FROM x_hosts WHERE host LIKE 't%')""")
 def _(t):
-    done = t.hosts.where("page_id % 7 = 0").select("host").distinct()
+    done = t.hosts.where("host LIKE 't%'").select("host").distinct()
     return t.hosts.join(done, "host", "left_anti").select("page_id")
 
 
@@ -120,15 +120,15 @@ def _(t):
 
 
 @query("join_15_observable_upsert", """
-WITH a AS (SELECT type, value, n AS occurrence_count, is_malicious, confidence, status FROM x_obs WHERE n % 3 <> 0),
-b AS (SELECT type, value, n % 5 = 0 AS is_malicious, least(1.0, confidence*1.5) AS confidence FROM x_obs WHERE n % 2 = 0)
+WITH a AS (SELECT type, value, n AS occurrence_count, is_malicious, confidence, status FROM x_obs WHERE status = 'pending'),
+b AS (SELECT type, value, n % 5 = 0 AS is_malicious, least(1.0, confidence*1.5) AS confidence FROM x_obs WHERE has_intel)
 SELECT coalesce(a.type,b.type) AS type, coalesce(a.value,b.value) AS value, coalesce(a.occurrence_count,1) AS occurrence_count, coalesce(b.is_malicious,a.is_malicious) AS is_malicious,
  greatest(coalesce(a.confidence,0.0),coalesce(b.confidence,0.0)) AS confidence, CASE WHEN b.value IS NOT NULL THEN 'complete' ELSE a.status END AS status,
  CASE WHEN a.value IS NULL THEN 'vt' WHEN b.value IS NULL THEN 'geo' ELSE 'geo,vt' END AS providers FROM a FULL JOIN b ON a.type=b.type AND a.value=b.value""")
 def _(t):
-    old = t.observables.where("n % 3 <> 0").select("type", "value", c("n").alias("occurrence_count"), "is_malicious", "confidence", "status",
+    old = t.observables.where("status = 'pending'").select("type", "value", c("n").alias("occurrence_count"), "is_malicious", "confidence", "status",
                                                    F.create_map(F.lit("geo"), F.lit("old")).alias("intel"))
-    new = t.observables.where("n % 2 = 0").select("type", "value", (c("n") % 5 == 0).alias("is_malicious"),
+    new = t.observables.where("has_intel").select("type", "value", (c("n") % 5 == 0).alias("is_malicious"),
                                                   F.least(F.lit(1.0), c("confidence") * 1.5).alias("confidence"),
                                                   F.create_map(F.lit("vt"), F.lit("new")).alias("intel"))
     out = TI.upsert_observables(old, new)
@@ -141,9 +141,9 @@ def _(t):
 
 
 @query("flt_14_false_positive_feedback", """
-SELECT source, count(*) AS n FROM x_findings WHERE NOT (CASE WHEN flow_id % 10 = 0 THEN true WHEN flow_id % 10 = 1 THEN false ELSE is_false_positive END) GROUP BY 1""")
+SELECT source, count(*) AS n FROM x_findings WHERE NOT (CASE severity WHEN 'low' THEN true WHEN 'info' THEN false ELSE is_false_positive END) GROUP BY 1""")
 def _(t):
-    marks = t.findings.where("flow_id % 10 < 2").select("finding_id", (c("flow_id") % 10 == 0).alias("is_false_positive"))
+    marks = t.findings.where("severity in ('low', 'info')").select("finding_id", (c("severity") == "low").alias("is_false_positive"))
     return FI.apply_feedback(t.findings, marks).where(~c("is_false_positive")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 

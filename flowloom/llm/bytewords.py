@@ -34,6 +34,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WEIGHT_LOWERED = _WEIGHT[_LOWER]
+#: Breaks words at every ASCII character that is neither a letter nor a digit.
+PLAIN_BREAKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 class _Powers:
@@ -85,7 +87,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of consecutive texts, and where each text's words begin (n + 1 positions).
 
     The hash is a polynomial over random byte weights modulo 2**64, then mixed.
@@ -93,7 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     borders = offsets[1:-1]

@@ -3,24 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm import neardup
+from flowloom.llm import decontaminate, langid, mixing, neardup, sharding
+from flowloom.llm.common import table
 from flowloom.session import stored
 
+#: Texts with a smaller share of known letter sequences than this are in no language that was learned.
+LEAST_LANGUAGE_SCORE = 0.2
+SOURCE_POWER = 0.5
+SHARDS = 8
+SEED = 20240607
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; null texts, texts without letters and unknown languages go."""
+    model = langid.learn(langid.teaching_rows(docs))
+    judged = langid.predict(docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares at least 0.8 of its five-word shingles stays."""
     return neardup.keep_one(docs, neardup.near_duplicates(docs, k=5, percent=80))
 
 
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as its source's rate draws, in shuffled order."""
+    return mixing.mix_sources(docs, mixing.tempered(docs, SOURCE_POWER)).select(*docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with row_number, shard and slot."""
+    return sharding.shard_rows(docs, SHARDS, SEED)
+
+
 STAGES = [
+    ("language_id", identify_language),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_to_weights),
+    ("sharding", assign_shards),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table in the shared folder before the next stage reads it."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowloom.llm.common import table
+from flowloom.llm.common import fold_of, table
+
+
+SHARDS = 8
+SEED = 20240607
+
+
+def op3_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the row law: counts differ by at most one."""
+    from flowloom.llm.sharding import crc_of, shard_rows, size_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", size_of("text").alias("size"), crc_of("text").alias("text_crc32"))
+    placed = shard_rows(docs, SHARDS, SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +31,52 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and how much of it was matched."""
+    from flowloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of the ids."""
+    from flowloom.llm.langid import learn, predict, teaching_rows
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(teaching_rows(docs))
+    held_out = (fold_of("doc_id", 4) == 2).alias("held_out")
+    return predict(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus mixed to square-root weights of its sources, as many rows as it has on average."""
+    from flowloom.llm.mixing import mix_sources, tempered
+
+    docs = table(spark, sf_dir, "documents")
+    return mix_sources(docs, tempered(docs, 0.5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_feistel": op3_feistel,
     "op5_hyperminhash": op5_hyperminhash,
+    "op6_latent_leaks": op6_latent_leaks,
+    "op9_language_filters": op9_language_filters,
+    "op10_poisson_mix": op10_poisson_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mixture again: the terms of each source's distribution from logarithms instead of a recurrence.
+MIX_SQL = """
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (SELECT sum(n) FROM sizes) * sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) / n AS rate FROM sizes),
+split AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS parts, rate / greatest(1, ceil(rate / 16)) AS rate FROM rates),
+steps AS (SELECT source, parts, rate, unnest(range(0, 97)) AS k FROM split),
+total AS (SELECT source, parts, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM steps),
+tables AS (SELECT source, any_value(parts) AS parts, list(below ORDER BY k) AS cumulated FROM total GROUP BY source),
+draws AS (SELECT d.*, cumulated, unnest(range(0, parts))::INT AS part, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key
+          FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+counted AS (SELECT *, ('0x' || substr(md5('11:' || key || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM draws),
+copies AS (SELECT *, unnest(range(0, len(list_filter(cumulated, c -> c <= u))))::INT AS copy FROM counted)
+SELECT doc_id, text, lang, source, n_chars, part, copy, md5('12:' || key || ':' || part || ':' || copy) AS shuffle_key FROM copies
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_poisson_mix": MIX_SQL}

@@ -11,31 +11,90 @@ from flowloom import constants as K
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_O3 = rf"\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-_O2 = rf"\.{_OCTET}\.{_OCTET}$"
-_O1 = rf"\.{_OCTET}$"
-
-# fixed values: IPv4 blocks that are not public Internet, as anchored patterns per scope
-_V4_PRIVATE = [
-    rf"(?:0|10|127){_O3}",
-    rf"(?:24\d|25[0-5]){_O3}",
-    rf"172\.(?:1[6-9]|2\d|3[01]){_O2}",
-    rf"(?:192\.168|169\.254|198\.1[89]){_O2}",
-    rf"192\.0\.0\.(?!9$|10$){_OCTET}$",
-    rf"(?:192\.0\.2|198\.51\.100|203\.0\.113){_O1}",
-]
-_V4_MULTICAST = rf"(?:22[4-9]|23\d){_O3}"
-_V4_INTERNAL_RE = "^(?:" + "|".join(_V4_PRIVATE + [_V4_MULTICAST]) + ")"
-_V4_PRIVATE_RE = "^(?:" + "|".join(_V4_PRIVATE) + ")"
-_V4_LAN_RE = "^(?:" + "|".join(_V4_PRIVATE + [rf"127{_O3}", rf"169\.254{_O2}"]) + ")"
-
-_V6 = r"^(?=.*:.*:)[0-9a-fA-F:]+(?::\d{1,3}(?:\.\d{1,3}){3})?$"
-# Global unicast is 2000::/3; inside it these stay non-public.
-_V6_GLOBAL = r"^[23][0-9a-fA-F]{3}:"
-_V6_GLOBAL_EXCEPT = (
-    r"^(?:2001:(?:0{0,3}[0-9a-fA-F]?|00[0-9a-fA-F]{2}|0?1[0-9a-fA-F]{2}|[0-9a-fA-F]{2})?:"
-    r"|2001:0?db8:|2002:)"
-)
+
+# fixed values: IPv4 networks that are not public Internet
+_V4_PRIVATE = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+               "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
+_V4_PUBLIC_WITHIN = ["192.0.0.9/32", "192.0.0.10/32"]
+_V4_LOOPBACK, _V4_LINK_LOCAL, _V4_MULTICAST = ["127.0.0.0/8"], ["169.254.0.0/16"], ["224.0.0.0/4"]
+
+# fixed values: IPv6 networks by class
+_V6_PRIVATE = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10"]
+_V6_PUBLIC_WITHIN = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+_V6_GLOBAL, _V6_SITE, _V6_LINK_LOCAL, _V6_MULTICAST = ["2000::/3"], ["fec0::/10"], ["fe80::/10"], ["ff00::/8"]
+_V6_MAPPED = "00000000000000000000ffff"
+
+
+def _v4_value(ip: Column) -> Column:
+    parts = [F.substring_index(ip, ".", 1), F.substring_index(F.substring_index(ip, ".", 2), ".", -1),
+             F.substring_index(F.substring_index(ip, ".", -2), ".", 1), F.substring_index(ip, ".", -1)]
+    value = F.lit(0).cast("bigint")
+    for part, weight in zip(parts, (1 << 24, 1 << 16, 1 << 8, 1)):
+        value = value + part.try_cast("bigint") * F.lit(weight).cast("bigint")
+    return value
+
+
+def ip_number(ip: Column) -> Column:
+    """IPv4 text to BIGINT, null for anything else."""
+    return F.when(ip.rlike(_V4), _v4_value(ip))
+
+
+def ip6_digits(ip: Column) -> Column:
+    """IPv6 text to its 32 hexadecimal digits, null for anything else; a scope after ``%`` is left out."""
+    base = F.lower(F.substring_index(ip, "%", 1))
+    last = F.substring_index(base, ":", -1)
+    number = ip_number(last)
+    tail = F.concat(F.lpad(F.hex(F.shiftright(number, 16)), 4, "0"), F.lit(":"), F.lpad(F.hex(number.bitwiseAND(0xFFFF)), 4, "0"))
+    plain = F.when(~base.contains("."), base).otherwise(F.lower(F.concat(F.substring(base, F.lit(1), F.length(base) - F.length(last)), tail)))
+
+    def groups(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def joined(halves: Column) -> Column:
+        head = groups(F.element_at(halves, 1))
+        rest = F.when(F.size(halves) > 1, groups(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
+        short = F.lit(8) - F.size(head) - F.size(rest)
+        right = F.when(F.size(halves) == 2, short >= 1).otherwise((F.size(halves) == 1) & (short == 0))
+        every = F.concat(head, F.array_repeat(F.lit("0"), short), rest)
+        return F.when(right & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                      F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    scope = F.substring(ip, F.length(F.substring_index(ip, "%", 1)) + 1, F.length(ip))
+    read = F.element_at(F.transform(F.array(F.split(plain, "::")), joined), 1)
+    return F.when(ip.contains(":") & ((scope == "") | scope.rlike("^%[^%]+$")), read)
+
+
+def _within(value: Column, networks: list[str]) -> Column:
+    """Whether an address, as a number or as hexadecimal digits, lies in one of the networks."""
+    hit = F.lit(False)
+    for network in map(ipaddress.ip_network, networks):
+        low, high = int(network.network_address), int(network.broadcast_address)
+        if network.version == 4:
+            hit = hit | value.between(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
+        else:
+            hit = hit | value.between(f"{low:032x}", f"{high:032x}")
+    return hit
+
+
+def _by_version(text: Column, v4, v6, other: Column) -> Column:
+    """``v4`` of an IPv4 number, ``v6`` of IPv6 digits, ``other`` for text that is neither; parsed once per row."""
+    number = ip_number(text)
+    digits = F.element_at(F.transform(F.array(ip6_digits(text)), lambda d: F.when(d.isNull(), other).otherwise(v6(d))), 1)
+    return F.when(number.isNotNull(), v4(number)).when(text.contains(":"), digits).otherwise(other)
+
+
+def _v4_private(n: Column) -> Column:
+    return _within(n, _V4_PRIVATE) & ~_within(n, _V4_PUBLIC_WITHIN)
+
+
+def _v6_private(d: Column) -> Column:
+    mapped = F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint")
+    own = _within(d, _V6_PRIVATE) & ~_within(d, _V6_PUBLIC_WITHIN)
+    return F.when(F.substring(d, 1, 24) == _V6_MAPPED, _v4_private(mapped)).otherwise(own)
+
+
+def _v6_internal(d: Column) -> Column:
+    return ~_within(d, [*_V6_GLOBAL, *_V6_SITE]) | _v6_private(d)
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -43,14 +102,15 @@ def is_ipv4(ip: Column) -> Column:
 
 
 def is_ip(value: Column) -> Column:
-    return F.coalesce(value.rlike(_V4) | value.rlike(_V6), F.lit(False))
+    yes = F.lit(True)
+    return F.coalesce(_by_version(value, lambda n: yes, lambda d: yes, F.lit(False)), F.lit(False))
 
 
 def is_internal_ip(ip: Column) -> Column:
     """Not public Internet. Empty counts as internal, unparsable text as external."""
     text = F.trim(ip)
-    v6 = text.rlike(_V6) & ~(text.rlike(_V6_GLOBAL) & ~F.lower(text).rlike(_V6_GLOBAL_EXCEPT))
-    return F.when(ip.isNull() | (text == ""), True).otherwise(text.rlike(_V4_INTERNAL_RE) | v6)
+    inside = _by_version(text, lambda n: _v4_private(n) | _within(n, _V4_MULTICAST), _v6_internal, F.lit(False))
+    return F.when(ip.isNull() | (text == ""), True).otherwise(inside)
 
 
 def is_external_ip(ip: Column) -> Column:
@@ -59,23 +119,21 @@ def is_external_ip(ip: Column) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """The report's narrower test: private ranges only; empty or unparsable text is not private."""
-    v6 = ip.rlike(_V6) & ~(ip.rlike(_V6_GLOBAL) & ~F.lower(ip).rlike(_V6_GLOBAL_EXCEPT)) \
-        & ~F.lower(ip).rlike("^ff")
-    return F.coalesce(ip.rlike(_V4_PRIVATE_RE) | v6, F.lit(False))
+    return F.coalesce(_by_version(ip, _v4_private, _v6_private, F.lit(False)), F.lit(False))
 
 
 def ip_scope(ip: Column) -> Column:
     """``none``, ``invalid``, ``loopback``, ``link_local``, ``multicast``, ``private``, ``public``."""
+    def v4(n: Column) -> Column:
+        return (F.when(_within(n, _V4_LOOPBACK), "loopback").when(_within(n, _V4_LINK_LOCAL), "link_local")
+                .when(_within(n, _V4_MULTICAST), "multicast").when(_v4_private(n), "private").otherwise("public"))
+
+    def v6(d: Column) -> Column:
+        return (F.when(_within(d, ["::1/128"]), "loopback").when(_within(d, _V6_LINK_LOCAL), "link_local")
+                .when(_within(d, _V6_MULTICAST), "multicast").when(_v6_internal(d), "private").otherwise("public"))
+
     text = F.trim(ip)
-    return (
-        F.when(ip.isNull() | (text == ""), "none")
-        .when(~is_ip(text), "invalid")
-        .when(text.rlike(rf"^127{_O3}") | (text == "::1"), "loopback")
-        .when(text.rlike(rf"^169\.254{_O2}") | F.lower(text).rlike("^fe[89ab]"), "link_local")
-        .when(text.rlike("^" + _V4_MULTICAST) | F.lower(text).rlike("^ff"), "multicast")
-        .when(is_internal_ip(text), "private")
-        .otherwise("public")
-    )
+    return F.when(ip.isNull() | (text == ""), "none").otherwise(_by_version(text, v4, v6, F.lit("invalid")))
 
 
 def is_lan_destination(ip: Column) -> Column:
@@ -83,16 +141,6 @@ def is_lan_destination(ip: Column) -> Column:
     return ip_scope(ip).isin("private", "loopback", "link_local")
 
 
-def ip_number(ip: Column) -> Column:
-    """IPv4 text to BIGINT, null for anything else."""
-    parts = [F.substring_index(ip, ".", 1), F.substring_index(F.substring_index(ip, ".", 2), ".", -1),
-             F.substring_index(F.substring_index(ip, ".", -2), ".", 1), F.substring_index(ip, ".", -1)]
-    value = F.lit(0).cast("bigint")
-    for part, weight in zip(parts, (1 << 24, 1 << 16, 1 << 8, 1)):
-        value = value + part.try_cast("bigint") * F.lit(weight).cast("bigint")
-    return F.when(is_ipv4(ip), value)
-
-
 def cidr_bounds(cidr: str) -> tuple[int, int]:
     """First and last address of an IPv4 network given as text (driver-side parameter)."""
     net = ipaddress.ip_network(cidr, strict=False)

@@ -41,8 +41,37 @@ ADDRESSES = [
 def test_internal_addresses_match_the_standard_library(spark):
     df = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string")
     got = {r.ip: r.i for r in df.select("ip", net.is_internal_ip(c("ip")).alias("i")).collect()}
-    skip = {"64:ff9b::1"}  # a translation prefix: reserved space whose last bits are a public address
-    assert {a: got[a] for a in ADDRESSES if a not in skip} == {a: internal(a) for a in ADDRESSES if a not in skip}
+    assert got == {a: internal(a) for a in ADDRESSES}
+
+
+ODD = ["aa:bb:cc:dd:ee:ff", "1:2:3", "::::", ":::", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", "::1:2:3:4:5:6:7:8",
+       ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "::1.2.3", "::256.1.1.1", "1.2.3.4::", "12345::", "g::1",
+       "2001:1::1", "2001:1::2", "2001:1::3", "2001:3::1", "2001:4:112::1", "2001:20::1", "2001:30::5", "2001:1ff::1", "2001:200::1", "2002:808:808::", "fec0::1", "FF02::FB", "FE80::A",
+       "1.2.3.4%x", "::%1", "2001:DB8::1", "100::1", "100:0:0:1::1", "64:ff9b:1::9", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "fc00::", "fdff::9", " 10.0.0.1 "]
+
+
+def test_addresses_of_every_form_match_the_standard_library(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = list(ODD)
+    for _ in range(400):
+        n = rng.choice([rng.getrandbits(128), rng.getrandbits(64), 0x2001 << 112 | rng.getrandbits(rng.choice([16, 90, 112])), 0xfe << 120 | rng.getrandbits(119)])
+        ip = ipaddress.IPv6Address(n)
+        texts += [rng.choice([ip.compressed, ip.exploded, ip.compressed.upper()])]
+        texts.append(":".join(rng.choice(["", "0", "ab", "1f2e", "xyz"]) for _ in range(rng.randint(1, 9))))
+    df = spark.createDataFrame([(a,) for a in texts], "ip string")
+    out = df.select("ip", net.is_internal_ip(c("ip")).alias("i"), net.is_ip(c("ip")).alias("v"), net.is_private_ip(c("ip")).alias("p")).collect()
+
+    def valid(s):
+        try:
+            return ipaddress.ip_address(s)
+        except ValueError:
+            return None
+
+    assert [(r.ip, r.i) for r in out] == [(a, internal(a)) for a in texts]
+    assert [(r.ip, r.v) for r in out] == [(a, valid(a) is not None) for a in texts]
+    assert [(r.ip, r.p) for r in out] == [(a, bool(valid(a) and valid(a).is_private)) for a in texts]
 
 
 @settings(max_examples=1, deadline=None)

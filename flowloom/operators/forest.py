@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.values import calibrated_score
-from flowloom.operators.features import exact_fits
 from flowloom.session import ship, stored
 
 NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, path DOUBLE"
@@ -233,19 +232,17 @@ def score(df: DataFrame, forest: Forest, out: str = "decision") -> DataFrame:
 
 
 def fit(df: DataFrame, names: list[str], keys: list[str], trees: int = 300, sample_size: int = 4096,
-        contamination: float = 0.08, seed: int = 42, max_offset_rows: int = 500_000) -> Forest:
+        contamination: float = 0.08, seed: int = 42) -> Forest:
     """Train on ``df`` (benign rows) and place the boundary so that ``contamination`` of it is flagged.
 
-    The boundary is a quantile of training scores; above ``max_offset_rows`` it comes from a hash
-    sample of that size, the same row limit the calibration uses.
+    The boundary is a quantile of all training scores (rank error 1/10,000).
     """
     rows = df.count()
     if rows == 0:
         raise ValueError("no rows to train on")
     forest = load_forest(train_nodes(df, names, keys, rows, trees, sample_size, seed), names, min(sample_size, rows))
     forest.offset = 0.0
-    probe = hash_sample(df, keys, rows, max_offset_rows, seed)
-    raw = score(probe, forest).agg(F.percentile_approx("decision", contamination, 10_000)).first()[0]
+    raw = score(df, forest).agg(F.percentile_approx("decision", contamination, 10_000)).first()[0]
     forest.offset = float(raw)
     return forest
 
@@ -258,12 +255,14 @@ def hash_sample(df: DataFrame, keys: list[str], rows: int, wanted: int, seed: in
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed + 7)), F.lit(1 << 30)) < bound)
 
 
-def calibration_bounds(scored: DataFrame, exact: bool | None = None) -> DataFrame:
-    """d_min, d_max with their headroom, and quantiles of benign decision values, in one row."""
-    exact = exact_fits(scored) if exact is None else exact
+def calibration_bounds(scored: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """d_min, d_max with their headroom, and quantiles of benign decision values, in one row.
+
+    Quantiles are exact or, with ``accuracy``, have a rank error of 1/accuracy.
+    """
     cuts = [0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999]
-    quantiles = F.percentile("decision", F.array(*map(F.lit, cuts))) if exact else \
-        F.percentile_approx("decision", cuts, 10_000)
+    quantiles = F.percentile("decision", F.array(*map(F.lit, cuts))) if accuracy is None else \
+        F.percentile_approx("decision", cuts, accuracy)
     base = scored.agg(F.min("decision").alias("lo"), F.max("decision").alias("hi"), quantiles.alias("q"))
     names = ["p0_1", "p1", "p5", "p50", "p95", "p99", "p99_9"]
     return base.select(
@@ -285,7 +284,7 @@ def fit_and_score_batch(df: DataFrame, names: list[str], keys: list[str], trees:
                         threshold: float = 5.0) -> DataFrame:
     """No trained model: train on four fifths of the batch (by key hash), then score all of it."""
     rows = df.count()
-    train = df if rows < 13 else hash_sample(df, keys, rows, max(10, int(rows * 0.8)), seed)
+    train = hash_sample(df, keys, rows, max(10, int(rows * 0.8)), seed)
     forest = fit(train, names, keys, trees, sample_size, contamination, seed)
     return anomaly_scores(df, forest, threshold=threshold)
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from flowloom import constants as K
 from flowloom.functions import values
 from flowloom.operators import evaluate as E
 from flowloom.operators import features as FT
@@ -139,14 +137,14 @@ WITH s AS (SELECT label, score>=5 AS h, is_attack AS a FROM x_scored), g AS (SEL
  UNION ALL SELECT 'all_attacks', count(*), count(*) FILTER (WHERE h), count(*) FILTER (WHERE NOT h) FROM s WHERE a)
 SELECT label, samples, tp, round(CASE WHEN tp+fn>0 THEN tp/(tp+fn) ELSE 0 END,6) AS recall FROM g WHERE samples>=50""")
 def _(t):
-    return E.per_label(t.scored_flows).select("label", "samples", "tp", F.round("recall", 6).alias("recall"))
+    return E.per_label(t.scored_flows, min_rows=50).select("label", "samples", "tp", F.round("recall", 6).alias("recall"))
 
 
 @query("agg_23_top_labels", """
 SELECT label, round(r,6) AS recall FROM (SELECT label, count(*) FILTER (WHERE score>=5 AND is_attack)/greatest(count(*) FILTER (WHERE is_attack),1) AS r FROM x_scored GROUP BY 1 HAVING count(*)>=50)
 ORDER BY r DESC, label LIMIT 3""")
 def _(t):
-    return E.top_labels(E.per_label(t.scored_flows), 3).select("label", F.round("recall", 6).alias("recall"))
+    return E.top_labels(E.per_label(t.scored_flows, min_rows=50), 3).select("label", F.round("recall", 6).alias("recall"))
 
 
 def _sweep_sql(source):
@@ -242,6 +240,3 @@ def _(t):
     s = t.scored_flows
     both = s.where("not is_attack").unionByName(s.where("is_attack"))
     return both.groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"), F.sum(c("flow_id") % 1000).alias("check_sum"))
-
-
-_ = (K, lru_cache)

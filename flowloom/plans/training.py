@@ -33,16 +33,17 @@ class Model:
 
 
 def train(benign: DataFrame, names: list[str], keys: list[str], trees: int = 300, sample_size: int = 4096,
-          contamination: float = 0.08, seed: int = 42, calibration_rows: int = 500_000, exact_medians: bool = False) -> Model:
+          contamination: float = 0.08, seed: int = 42, median_accuracy: int | None = 10_000) -> Model:
     """Scaler bounds, medians, forest and calibration from benign rows.
 
-    One pass yields bounds and medians, one the tree samples, one the calibration scores.
+    One pass yields bounds and medians, one the tree samples, one the calibration scores of all rows.
+    ``median_accuracy`` None asks for exact medians.
     """
     stats = benign.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.min(n).cast("double").alias(f"lo_{i}") for i, n in enumerate(names)],
         *[F.max(n).cast("double").alias(f"hi_{i}") for i, n in enumerate(names)],
-        *[(F.percentile(n, 0.5) if exact_medians else F.percentile_approx(n, 0.5, 1000)).cast("double").alias(f"m_{i}")
+        *[(F.percentile(n, 0.5) if median_accuracy is None else F.percentile_approx(n, 0.5, median_accuracy)).cast("double").alias(f"m_{i}")
           for i, n in enumerate(names)]).first()
     rows = stats["rows"]
     ranges = {n: (stats[f"lo_{i}"], stats[f"hi_{i}"]) for i, n in enumerate(names)}
@@ -51,8 +52,7 @@ def train(benign: DataFrame, names: list[str], keys: list[str], trees: int = 300
     nodes = IF.train_nodes(scaled, names, keys, rows, trees, sample_size, seed)
     forest = IF.load_forest(nodes, names, min(sample_size, rows))
     forest.offset = 0.0
-    probe = IF.hash_sample(scaled, keys, rows, calibration_rows, seed)
-    raw = IF.score(probe, forest).agg(
+    raw = IF.score(scaled, forest).agg(
         F.percentile_approx("decision", contamination, 10_000).alias("cut"), F.min("decision").alias("lo"),
         F.max("decision").alias("hi")).first()
     forest.offset = float(raw["cut"])

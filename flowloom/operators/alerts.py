@@ -13,12 +13,21 @@ from flowloom.functions import values
 from flowloom.session import ship
 
 
+def _alert_id(kind: str, session_id: str, *parts: str) -> Column:
+    """The kind, the session and what tells the alert apart from others of its moment."""
+    told = F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
+    return F.concat_ws("-", F.lit(kind), F.nullif(F.lit(session_id), F.lit("")), F.substring(F.sha2(told, 256), 1, 20))
+
+
+_CONNECTION = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
+
+
 def anomaly_alerts(scored: DataFrame, threshold: float = 5.0, session_id: str = "") -> DataFrame:
     """Alert rows of flagged flows that nothing suppresses."""
     flagged = scored.where((F.col("anomaly_score") >= threshold) & F.col("suppress_reason").isNull())
     explanation = F.col("explanation") if "explanation" in scored.columns else F.lit("")
     return flagged.select(
-        F.concat(F.lit("ml-"), F.col("flow_id").cast("string")).alias("id"), F.lit(session_id).alias("session_id"),
+        _alert_id("ml", session_id, "flow_id", "start_time", *_CONNECTION).alias("id"), F.lit(session_id).alias("session_id"),
         F.lit("ml").alias("type"), F.unix_micros("start_time").alias("ts_us"),
         values.alert_severity(F.col("anomaly_score"), threshold).alias("severity"), "anomaly_score",
         explanation.alias("explanation"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
@@ -32,7 +41,7 @@ def signature_alerts(hits: DataFrame, session_id: str = "") -> DataFrame:
     text = F.concat(F.lit("Signature hit: "), "signature",
                     F.when(category != "", F.concat(F.lit(" ("), category, F.lit(")"))).otherwise(""))
     return hits.select(
-        F.concat_ws("-", F.lit("sig"), F.col("signature_id").cast("string"), F.col("ts_us").cast("string")).alias("id"),
+        _alert_id("sig", session_id, "signature_id", "signature", "ts_us", *_CONNECTION).alias("id"),
         F.lit(session_id).alias("session_id"), F.lit("suricata").alias("type"), "ts_us",
         F.coalesce("severity", F.lit("medium")).alias("severity"), "signature", "signature_id",
         category.alias("category"), text.alias("explanation"),
@@ -43,7 +52,7 @@ def correlation_alerts(matches: DataFrame, session_id: str = "") -> DataFrame:
     text = F.concat(F.lit("Signature '"), "signature", F.lit("' and an anomaly (score "),
                     F.col("anomaly_score").cast("string"), F.lit(") on the same host pair"))
     return matches.select(
-        F.concat(F.lit("corr-"), F.col("flow_id").cast("string")).alias("id"), F.lit(session_id).alias("session_id"),
+        _alert_id("corr", session_id, "flow_id", "signature", "ts_us", *_CONNECTION).alias("id"), F.lit(session_id).alias("session_id"),
         F.lit("correlation").alias("type"), "ts_us", F.lit("critical").alias("severity"), "anomaly_score",
         "signature", text.alias("explanation"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_id")
 
@@ -182,16 +191,18 @@ def passes_filters(severities: list[str], sources: list[str], ai_statuses: list[
 
 
 def alert_title() -> Column:
-    kind = F.lower(F.coalesce("type", F.lit("ml")))
-    score = F.coalesce(F.col("anomaly_score").cast("string"), F.lit("?"))
-    return (
-        F.when(kind == "suricata", F.concat(F.lit("Suricata: "), F.coalesce("signature", F.lit("signature hit"))))
-        .when(kind == "correlation", F.concat(
-            F.lit("Correlation: "), F.coalesce("signature", F.lit("signature")), F.lit(" + ML score "), score))
-        .when(kind == "llm", F.concat(
-            F.lit("AI Triage ("), F.replace(F.coalesce("ai_status", F.lit("open")), F.lit("_"), F.lit(" ")),
-            F.lit("): "), F.coalesce("attack_type", F.lit("AI triage hit"))))
-        .otherwise(F.concat(F.lit("ML Anomaly (score "), score, F.lit(")"))))
+    """One line per kind of alert: a label and the field that says most."""
+    score = F.coalesce(F.col("anomaly_score").cast("string"), F.lit("unknown"))
+    rule = F.coalesce("signature", F.lit("unnamed rule"))
+    lines = {
+        "suricata": [F.lit("Rule matched"), rule],
+        "correlation": [F.lit("Rule and outlier agree"), rule, score],
+        "llm": [F.lit("Model verdict"), F.coalesce("ai_status", F.lit("open")), F.coalesce("attack_type", F.lit("unnamed attack"))],
+    }
+    kind, line = F.lower(F.coalesce("type", F.lit("ml"))), F.concat_ws(": ", F.lit("Outlier flow"), score)
+    for name, parts in lines.items():
+        line = F.when(kind == name, F.concat_ws(": ", *parts)).otherwise(line)
+    return line
 
 
 def push_payloads(alerts: DataFrame, severities=("all",), sources=("all",), ai_statuses=("all",)) -> DataFrame:
@@ -213,7 +224,7 @@ def push_payloads(alerts: DataFrame, severities=("all",), sources=("all",), ai_s
 
 
 def compact_event(fields: list[str], info: str = "info", info_len: int = 160, budget: int = 900) -> Column:
-    """Listed fields as JSON without nulls, long text cut."""
+    """Listed fields as JSON without nulls; the text is shown to ``info_len`` and left out where it exceeds the budget."""
     short = F.substring(F.coalesce(info, F.lit("")), 1, info_len)
-    body = F.struct(*fields, F.when(short != "", short).alias("info"))
-    return F.substring(F.to_json(body), 1, budget)
+    whole = F.to_json(F.struct(*fields, F.when(short != "", short).alias("info")))
+    return F.when(F.length(whole) <= budget, whole).otherwise(F.to_json(F.struct(*fields)))

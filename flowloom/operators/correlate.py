@@ -22,36 +22,39 @@ def correlate(signatures: DataFrame, anomalies: DataFrame, window_us: int = WIND
     many events of both kinds never yields their product. With ``once`` the first report of a pair
     in each fixed window of the same length is kept.
 
-    ``signatures`` needs ``ts_us, src_ip, dst_ip, signature``; ``anomalies`` needs ``ts_us, src_ip,
-    dst_ip, flow_id, anomaly_score, flagged``.
+    ``signatures`` needs ``ts_us, src_ip, dst_ip, signature`` and may have ``signature_id, category``;
+    ``anomalies`` needs ``ts_us, src_ip, dst_ip, flow_id, anomaly_score, flagged`` and may have
+    ``explanation``; ports and protocol are carried from either.
     """
-    pair = pair_key(F.col("src_ip"), F.col("dst_ip")).alias("pair")
-    blank = F.lit(None)
-    a = signatures.select(pair, "ts_us", "src_ip", "dst_ip", F.lit(True).alias("is_sig"), "signature",
-                          blank.cast("bigint").alias("flow_id"), blank.cast("double").alias("anomaly_score"))
-    b = anomalies.where("flagged").select(
-        pair, "ts_us", "src_ip", "dst_ip", F.lit(False).alias("is_sig"), blank.cast("string").alias("signature"),
-        "flow_id", "anomaly_score")
-    timeline = a.unionByName(b)
-    payload = F.struct("ts_us", "src_ip", "dst_ip", "signature", "flow_id", "anomaly_score")
+    rule, flow = {"signature": "string", "signature_id": "string", "category": "string"}, {
+        "flow_id": "bigint", "anomaly_score": "double", "explanation": "string"}
+    ends = {"src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int", "protocol": "string"}
+    held = {**rule, **flow, **ends}
+
+    def side(df: DataFrame, own: dict, is_sig: bool) -> DataFrame:
+        values = [(F.col(n) if n in {**own, **ends} and n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in held.items()]
+        return df.select(pair_key(F.col("src_ip"), F.col("dst_ip")).alias("pair"), F.col("ts_us"), F.lit(is_sig).alias("is_sig"), *values)
+
+    timeline = side(signatures, rule, True).unionByName(side(anomalies.where("flagged"), flow, False))
+    payload = F.struct("ts_us", *held)
 
     def reports(probe_is_sig: bool) -> DataFrame:
         marked = timeline.withColumn("probe", F.col("is_sig") == probe_is_sig)
         return first_after(marked, "pair", "ts_us", window_us, "probe", payload, "partner", width_us)
 
     def pick(name: str, side: Column) -> Column:
-        return F.when(side, F.col(name)).otherwise(F.col(f"partner.{name}"))
+        return F.when(side, F.col(name)).otherwise(F.col(f"partner.{name}")).alias(name)
 
     found = reports(True).unionByName(reports(False))
     sig = F.col("is_sig")
-    out = found.select(
-        "pair", "ts_us", F.col("partner.ts_us").alias("partner_ts_us"), pick("signature", sig).alias("signature"),
-        pick("flow_id", ~sig).alias("flow_id"), pick("anomaly_score", ~sig).alias("anomaly_score"),
-        pick("src_ip", ~sig).alias("src_ip"), pick("dst_ip", ~sig).alias("dst_ip"))
+    # the flow names the ends; ports and protocol that it lacks come from the signature hit
+    shown = [F.coalesce(pick(n, ~sig), pick(n, sig)).alias(n) for n in ends]
+    out = found.select("pair", "ts_us", F.col("partner.ts_us").alias("partner_ts_us"),
+                       *[pick(n, sig) for n in rule], *[pick(n, ~sig) for n in flow], *shown)
     if not once:
         return out
     first = out.groupBy("pair", F.floor(F.col("ts_us") / window_us).alias("window")).agg(
-        F.min(F.struct("ts_us", "partner_ts_us", "signature", "flow_id", "anomaly_score", "src_ip", "dst_ip")).alias("r"))
+        F.min(F.struct("ts_us", "partner_ts_us", *held)).alias("r"))
     return first.select("pair", "r.*")
 
 

@@ -60,7 +60,16 @@ def feeds(t):
 
 @query("join_09_signature_anomaly_correlation", f"WITH {_MATCH} SELECT pair, ts_us, partner_ts_us, signature, flow_id, anomaly_score FROM m")
 def _(t):
-    return C.correlate(*feeds(t), window_us=HOUR6, once=False).drop("src_ip", "dst_ip")
+    return C.correlate(*feeds(t), window_us=HOUR6, once=False).select(
+        "pair", "ts_us", "partner_ts_us", "signature", "flow_id", "anomaly_score")
+
+
+@query("prj_07_alerts_of_correlated_pairs", f"""
+WITH {_MATCH} SELECT ts_us, flow_id, signature, anomaly_score, 'correlation' AS type, 'critical' AS severity, true AS named FROM m""")
+def _(t):
+    """Correlation matches as alerts, end to end."""
+    found = A.correlation_alerts(C.correlate(*feeds(t), window_us=HOUR6, once=False))
+    return found.select("ts_us", "flow_id", "signature", "anomaly_score", "type", "severity", c("id").rlike("^corr-[0-9a-f]{20}$").alias("named"))
 
 
 @query("join_09_correlation_once_per_window", f"""

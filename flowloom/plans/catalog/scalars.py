@@ -257,17 +257,19 @@ def _(t):
 
 
 @query("prj_05_compact_event", """
-SELECT seq, substr('{"kind":"' || kind || '","src_ip":"' || src_ip || '","dst_port":' || dst_port || ',"info":"' || info || '"}',1,60) AS body FROM x_events""")
+WITH b AS (SELECT seq, '{"kind":"' || kind || '","src_ip":"' || src_ip || '","dst_port":' || dst_port AS head, info FROM x_events)
+SELECT seq, CASE WHEN info IS NULL OR info='' OR length(head || ',"info":"' || info || '"}')>60 THEN head || '}' ELSE head || ',"info":"' || info || '"}' END AS body FROM b""")
 def _(t):
     return t.events.select("seq", A.compact_event(["kind", "src_ip", "dst_port"], budget=60).alias("body"))
 
 
 @query("prj_06_anomaly_alerts", f"""
-SELECT 'ml-' || flow_id AS id, CASE WHEN anomaly_score>=9 THEN 'critical' WHEN anomaly_score>=8 THEN 'high' ELSE 'medium' END AS severity, anomaly_score, bytes_sent AS total_fwd_bytes
+SELECT flow_id, true AS named, CASE WHEN anomaly_score>=9 THEN 'critical' WHEN anomaly_score>=8 THEN 'high' ELSE 'medium' END AS severity, anomaly_score, bytes_sent AS total_fwd_bytes
 FROM x_flows WHERE anomaly_score>=7 AND NOT {DST_IN}""")
 def _(t):
     marked = t.flows.withColumn("suppress_reason", F.when(net.is_internal_ip(c("dst_ip")), "internal destination"))
-    return A.anomaly_alerts(marked, threshold=7.0).select("id", "severity", "anomaly_score", "total_fwd_bytes")
+    return A.anomaly_alerts(marked, threshold=7.0).select(
+        "flow_id", c("id").rlike("^ml-[0-9a-f]{20}$").alias("named"), "severity", "anomaly_score", "total_fwd_bytes")
 
 
 @query("prj_07_signature_and_correlation_alerts", """

@@ -84,9 +84,9 @@ def ml_findings(scored: DataFrame, threshold: float = 5.0, analysis_id: str = "a
 
 
 def signature_findings(alerts: DataFrame, analysis_id: str = "all", pairs: int = 5) -> DataFrame:
-    """One finding per signature with its hit count and the first host pairs.
+    """One finding per signature with its hit count, its number of host pairs and the first of them.
 
-    Pairs are numbered after a distinct per signature, so a signature that fired on most of the
+    :func:`signature_pairs` lists all pairs. Pairs are numbered after a distinct per signature, so a signature that fired on most of the
     data keeps only ``pairs`` entries per task before the shuffle.
     """
     key = F.coalesce(F.col("signature_id").cast("string"), F.col("signature"))
@@ -95,20 +95,28 @@ def signature_findings(alerts: DataFrame, analysis_id: str = "all", pairs: int =
     counts = keyed.groupBy("sig").agg(
         F.count(F.lit(1)).alias("hit_count"), F.min("signature").alias("signature"),
         F.min("category").alias("category"), F.min("severity").alias("level"))
-    numbered = keyed.select("sig", pair.alias("pair")).distinct().withColumn(
+    distinct = keyed.select("sig", pair.alias("pair")).distinct()
+    totals = distinct.groupBy("sig").agg(F.count(F.lit(1)).alias("pair_count"))
+    numbered = distinct.withColumn(
         "_n", F.row_number().over(Window.partitionBy("sig").orderBy("pair"))).where(F.col("_n") <= pairs)
     shown = numbered.groupBy("sig").agg(F.array_sort(F.collect_list("pair")).alias("host_pairs"))
     severity = values.signature_severity(F.col("level"), "finding")
-    return counts.join(shown, "sig").select(
+    return counts.join(shown, "sig").join(totals, "sig").select(
         finding_id(F.lit(analysis_id), "sig").alias("finding_id"), F.lit(analysis_id).alias("analysis_id"),
         F.concat(F.lit("SIGNATURE-"), "sig").alias("rule_id"), F.lit("suricata").alias("source"),
         F.concat(F.lit("Signature: "), "signature").alias("title"), severity.alias("severity"),
         values.lookup(K.SIGNATURE_FINDING_SCORES, severity, 3.0).alias("severity_score"),
-        F.to_json(F.struct("signature", "category", "hit_count", "host_pairs")).alias("evidence"),
+        F.to_json(F.struct("signature", "category", "hit_count", "host_pairs", "pair_count")).alias("evidence"),
         "hit_count", "host_pairs", F.lit(False).alias("is_false_positive"),
     )
 
 
+def signature_pairs(alerts: DataFrame) -> DataFrame:
+    """(rule_id, src_ip, dst_ip): every host pair a signature fired on."""
+    key = F.coalesce(F.col("signature_id").cast("string"), F.col("signature"))
+    return alerts.select(F.concat(F.lit("SIGNATURE-"), key).alias("rule_id"), "src_ip", "dst_ip").distinct()
+
+
 def intel_correlation(ml_rows: DataFrame, flows: DataFrame, observables: DataFrame) -> DataFrame:
     """Flagged flows with a malicious endpoint; one high finding per flow.
 
@@ -176,8 +184,11 @@ def escalate(findings: DataFrame, malicious_targets: DataFrame) -> DataFrame:
         "severity", F.when(F.col("_up"), "high").otherwise(F.col("severity"))).drop("_up", "_bad")
 
 
-def targets(kinds: list[tuple[str, Column]], limit: int = 6) -> Column:
-    """Distinct valid (kind, value) targets in priority order as an array built inside the row."""
+def targets(kinds: list[tuple[str, Column]], names: Column | None = None, limit: int | None = None) -> Column:
+    """Distinct valid (kind, value) targets in priority order as an array built inside the row.
+
+    ``names`` is an array of further domains; ``limit`` keeps the first ones only.
+    """
     from flowloom.functions import net, text
 
     def entry(kind: str, value: Column) -> Column:
@@ -187,22 +198,25 @@ def targets(kinds: list[tuple[str, Column]], limit: int = 6) -> Column:
         return F.when(value.isNotNull() & valid, F.struct(
             F.lit(kind).alias("kind"), v.alias("value"), public.alias("public")))
 
-    return F.slice(F.array_distinct(F.array_compact(F.array(*[entry(k, v) for k, v in kinds]))), 1, limit)
+    found = F.array(*[entry(k, v) for k, v in kinds])
+    if names is not None:
+        found = F.concat(found, F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: entry("domain", n)))
+    found = F.array_distinct(F.array_compact(found))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 _EVIDENCE_IPS = ["src_ip", "dst_ip", "dest_ip", "ip"]
 _EVIDENCE_NAMES = ["domain", "hostname", "apex", "dns_query", "tls_sni"]
 
 
-def finding_targets(findings: DataFrame, flows: DataFrame, limit: int = 6) -> DataFrame:
-    """Addresses and names worth a look-up: the evidence first, then the flow."""
+def finding_targets(findings: DataFrame, flows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Addresses and names worth a look-up: the evidence first, then the flow with all names it asked for."""
     fields = ", ".join(f"{n} STRING" for n in _EVIDENCE_IPS + _EVIDENCE_NAMES)
     read = findings.select("finding_id", "flow_id", F.from_json("evidence", fields).alias("ev"))
     joined = with_flow(read, flows.select("flow_id", "src_ip", "dst_ip", "tls_sni", "dns_queries"))
     seen = [("ip", F.col(f"ev.{k}")) for k in _EVIDENCE_IPS] + [("domain", F.col(f"ev.{k}")) for k in _EVIDENCE_NAMES]
-    seen += [("ip", F.col("src_ip")), ("ip", F.col("dst_ip")), ("domain", F.col("tls_sni")),
-             ("domain", F.get("dns_queries", F.lit(0))), ("domain", F.get("dns_queries", F.lit(1)))]
-    return joined.select("finding_id", F.posexplode(targets(seen, limit)).alias("position", "t")).select(
+    seen += [("ip", F.col("src_ip")), ("ip", F.col("dst_ip")), ("domain", F.col("tls_sni"))]
+    return joined.select("finding_id", F.posexplode(targets(seen, F.col("dns_queries"), limit)).alias("position", "t")).select(
         "finding_id", (F.col("position") + 1).cast("bigint").alias("position"), "t.kind", "t.value", "t.public")
 
 

@@ -90,7 +90,9 @@ def beacons(flows: DataFrame, min_connections: int = 10, max_jitter_pct: float =
     key = ["src_ip", "dst_ip", "dst_port"]
     outbound = flows.where(net.is_external_ip(F.col("dst_ip"))).select(
         *key, "flow_id", _start_us().alias("_us"))
-    gaps = recent_gap(outbound, key, "_us", int(max_interval_s * US), "_gap", "flow_id")
+    gaps = recent_gap(outbound, key, "_us", int(max_interval_s * US), "_gap", "flow_id").select(*key, "flow_id", "_gap")
+    # connections without a start time have no gap but count
+    gaps = gaps.unionByName(outbound.where(F.col("_us").isNull()).select(*key, "flow_id", F.lit(None).cast("bigint").alias("_gap")))
     gap = F.when(F.col("_gap") >= int(min_interval_s * US), F.col("_gap") / US)
     stats = gaps.groupBy(*key).agg(
         F.count(F.lit(1)).alias("connections"), F.count(gap).alias("gaps"),
@@ -131,15 +133,17 @@ def dns_rate(flows: DataFrame, queries_per_minute: float = 100) -> DataFrame:
 
 
 def lateral_targets(flows: DataFrame, ports=(445, 3389, 5985)) -> DataFrame:
-    """The distinct internal (source, target) pairs on remote-service ports."""
+    """The distinct internal (source, target, port) triples on remote-service ports: a finding's targets, by src_ip."""
     return flows.where(
         F.col("dst_port").isin(*ports) & net.is_internal_ip(F.col("src_ip"))
-        & net.is_internal_ip(F.col("dst_ip"))).select("src_ip", "dst_ip").distinct()
+        & net.is_internal_ip(F.col("dst_ip"))).select("src_ip", "dst_ip", "dst_port").distinct()
 
 
 def lateral_movement(flows: DataFrame, ports=(445, 3389, 5985), min_targets: int = 3) -> DataFrame:
+    """Sources that reach many hosts; ``ports`` lists those used, the hosts are in :func:`lateral_targets`."""
     return (lateral_targets(flows, ports).groupBy("src_ip")
-            .agg(F.count(F.lit(1)).alias("targets")).where(F.col("targets") >= min_targets))
+            .agg(F.count_distinct("dst_ip").alias("targets"), F.array_sort(F.collect_set("dst_port")).alias("ports"))
+            .where(F.col("targets") >= min_targets))
 
 
 def entropic_labels(flows: DataFrame, min_entropy: float = 3.8) -> DataFrame:
@@ -149,9 +153,10 @@ def entropic_labels(flows: DataFrame, min_entropy: float = 3.8) -> DataFrame:
     return scored.where(F.col("entropy") >= min_entropy).withColumn("entropy", F.round("entropy", 2))
 
 
-def arp_requests(arp: DataFrame, limit: int = 5) -> DataFrame:
-    """The first requests of the capture; ``limit`` is the rule's own report size."""
-    return arp.where(F.col("op") == 1).orderBy("ts", "sender_mac").limit(limit)
+def arp_requests(arp: DataFrame, limit: int | None = None) -> DataFrame:
+    """The requests of the capture, all or the first ``limit``."""
+    requests = arp.where(F.col("op") == 1)
+    return requests if limit is None else requests.orderBy("ts", "sender_mac").limit(limit)
 
 
 def arp_storm(arp: DataFrame, min_replies: int = 50, window_s: float = 10) -> DataFrame:
@@ -216,8 +221,10 @@ def cleartext_logins(flows: DataFrame) -> DataFrame:
 
 
 def new_domains(observables: DataFrame) -> DataFrame:
-    """Domain observables that the registry data call newly registered."""
-    return observables.where((F.col("type") == "domain") & F.col("newly_registered")).select("value")
+    """Domain observables that the registry data call newly registered, with the date where it is known."""
+    dated = F.col("creation_date") if "creation_date" in observables.columns else F.lit(None).cast("string")
+    return observables.where((F.col("type") == "domain") & F.col("newly_registered")).select(
+        F.col("value").alias("domain"), dated.alias("creation_date"))
 
 
 def long_connections(flows: DataFrame, min_hours: float = 8) -> DataFrame:

@@ -144,10 +144,11 @@ def _(t):
 
 
 @query("rule_07_lateral_movement", f"""
-SELECT src_ip, count(DISTINCT dst_ip) AS targets FROM x_flows WHERE dst_port IN (445,3389,5985) AND {SRC_IN} AND {DST_IN}
+SELECT src_ip, count(DISTINCT dst_ip) AS targets, string_agg(DISTINCT dst_port::varchar, ',' ORDER BY dst_port::varchar) AS ports FROM x_flows WHERE dst_port IN (445,3389,5985) AND {SRC_IN} AND {DST_IN}
 GROUP BY 1 HAVING count(DISTINCT dst_ip)>=10""")
 def _(t):
-    return R.lateral_movement(t.wide.flows, min_targets=10)
+    found = R.lateral_movement(t.wide.flows, min_targets=10)
+    return found.withColumn("ports", F.array_join(F.array_sort(F.transform("ports", lambda p: p.cast("string"))), ","))
 
 
 _LABEL = "split_part(dns_query,'.',1)"
@@ -176,7 +177,7 @@ def _(t):
 
 
 @query("rule_09_arp_requests", """
-SELECT sender_mac, ts, op FROM x_arp WHERE op=1 ORDER BY ts, sender_mac LIMIT 5""")
+SELECT sender_mac, ts, op FROM x_arp WHERE op=1""")
 def _(t):
     return R.arp_requests(t.arp).select("sender_mac", "ts", F.col("op").cast("bigint").alias("op"))
 
@@ -227,9 +228,9 @@ def _(t):
     return R.cleartext_logins(t.flows).select("flow_id", "dst_port", F.get("http_hosts", F.lit(0)).alias("http_host"))
 
 
-@query("rule_16_new_domain", "SELECT value FROM x_obs WHERE type='domain' AND newly_registered")
+@query("rule_16_new_domain", "SELECT value AS domain FROM x_obs WHERE type='domain' AND newly_registered")
 def _(t):
-    return R.new_domains(t.observables)
+    return R.new_domains(t.observables).select("domain")
 
 
 @query("rule_17_long_connection", """

@@ -78,7 +78,8 @@ def test_dns_rules(spark):
 def test_lateral_and_exfiltration(spark):
     flows = frame(spark, *[flow(i, dst=f"10.0.0.{i}", port=445) for i in range(2, 5)], *[flow(10 + i, sent=100) for i in range(20)],
                   flow(99, sent=100_000), flow(98, src="8.8.8.8", sent=100_000))
-    assert R.lateral_movement(flows).first().targets == 3
+    hit = R.lateral_movement(flows).first()
+    assert (hit.targets, hit.ports) == (3, [445])
     assert R.lateral_movement(flows, min_targets=4).count() == 0
     assert ids(R.exfiltration(flows, 5)) == [99]
 
@@ -89,7 +90,7 @@ def test_arp(spark):
     arp = spark.createDataFrame(quiet + storm + [(1, f"r{i}", "a", "b", float(i)) for i in range(9)],
                                 "op int, sender_mac string, sender_ip string, target_ip string, ts double")
     assert [(r.sender_mac, r.window_start, r.reply_count) for r in R.arp_storm(arp).collect()] == [("m2", 100.0, 60)]
-    assert R.arp_requests(arp).count() == 5
+    assert R.arp_requests(arp).count() == 9 and R.arp_requests(arp, 5).count() == 5
 
 
 def test_whitelist_and_suppression(spark):
@@ -139,7 +140,8 @@ def test_signature_threshold_and_findings(spark):
     alerts = spark.createDataFrame([(1, "s", "c", 1, f"10.0.0.{i}", "45.1.1.1") for i in range(8)],
                                    "signature_id bigint, signature string, category string, severity int, src_ip string, dst_ip string")
     f = FI.signature_findings(alerts).first()
-    assert (f.hit_count, len(f.host_pairs), f.severity, f.severity_score) == (8, 5, "high", 8.0)
+    assert (f.hit_count, len(f.host_pairs), f.severity, f.severity_score) == (8, 5, "high", 8.0) and '"pair_count":8' in f.evidence
+    assert FI.signature_pairs(alerts).count() == 8
 
 
 def test_finding_ids_are_stable(spark):
@@ -155,7 +157,8 @@ def test_targets_order_and_limit(spark):
                                   "flow_id bigint, src_ip string, dst_ip string, tls_sni string, dns_queries array<string>")
     out = [(r.kind, r.value, r.public) for r in FI.finding_targets(found, flows).orderBy("position").collect()]
     assert out == [("ip", "10.0.0.9", False), ("ip", "203.0.113.5", False), ("domain", "evil.example.com", True), ("ip", "9.9.9.9", True),
-                   ("domain", "s.example.com", True), ("domain", "a.example", True)]
+                   ("domain", "s.example.com", True), ("domain", "a.example", True), ("domain", "b.example", True), ("domain", "c.example", True)]
+    assert FI.finding_targets(found, flows, 2).count() == 2
 
 
 def test_analysis_end_to_end(spark):

@@ -27,7 +27,7 @@ def local_session(app: str = "flowloom", cpus: int | str = "*", **conf) -> Spark
         **DEFAULTS,
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
         **conf,
     }
     for key, value in settings.items():
@@ -40,12 +40,16 @@ def local_session(app: str = "flowloom", cpus: int | str = "*", **conf) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test run) a temporary folder takes its place.
+    Only a local run may do without the setting; a temporary folder takes its place then.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        current = spark.sparkContext.getCheckpointDir()
-        named = current or tempfile.mkdtemp(prefix="flowloom-")
+        named = spark.sparkContext.getCheckpointDir()
+        if named is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -31,9 +31,9 @@ def confusion(scored: DataFrame, threshold: float = 5.0, score: str = "score", a
     return _with_metrics(scored.agg(*_confusion(score, attack, threshold)))
 
 
-def per_label(scored: DataFrame, threshold: float = 5.0, min_rows: int = 50, score: str = "score",
+def per_label(scored: DataFrame, threshold: float = 5.0, min_rows: int = 0, score: str = "score",
               attack: str = "is_attack", label: str = "label") -> DataFrame:
-    """Metrics of each label with enough rows, and of all attacks together, in one pass.
+    """Metrics of each label with at least ``min_rows`` rows, and of all attacks together, in one pass.
 
     The all-attacks row is summed from the label counts, not from the data again.
     """

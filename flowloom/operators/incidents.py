@@ -104,7 +104,7 @@ def fold_incidents(deltas: DataFrame) -> DataFrame:
 
 
 def search_incidents(incidents: DataFrame, since_us: int | None = None, disposition: str | None = None,
-                     source: str | None = None, text: str | None = None, limit: int | None = 200) -> DataFrame:
+                     source: str | None = None, text: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest incidents first; an incident's time is that of its first alert."""
     out = incidents
     if since_us:

@@ -89,18 +89,21 @@ def geo_markers(observables: DataFrame) -> DataFrame:
         (F.col("type") == "ip") & (F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lon", F.lit(0.0)) != 0))
 
 
-def threat_map(analyses: DataFrame, observables: DataFrame, newest: int = 20, per_analysis: int = 200,
-               total: int = 400) -> DataFrame:
-    """Markers of the newest analyses, at most ``per_analysis`` observables each.
+def threat_map(analyses: DataFrame, observables: DataFrame, newest: int | None = None, per_analysis: int | None = None,
+               total: int | None = None) -> DataFrame:
+    """Markers of all analyses or of the newest, of all their observables or the first ``per_analysis``.
 
-    The newest analyses are few by ``newest``; the rank limit applies before the shuffle.
+    A rank limit applies before the shuffle.
     """
-    recent = analyses.orderBy(F.desc("created_at"), F.asc("analysis_id")).limit(newest).select(
-        "analysis_id", "created_at")
-    hits = observables.join(F.broadcast(recent), "analysis_id")
-    ranked = hits.withColumn("_r", F.row_number().over(
-        Window.partitionBy("analysis_id").orderBy("type", "value"))).where(F.col("_r") <= per_analysis)
-    return geo_markers(ranked).orderBy(F.desc("created_at"), "analysis_id", "_r").limit(total).drop("_r")
+    recent = analyses.select("analysis_id", "created_at")
+    if newest is not None:
+        recent = F.broadcast(recent.orderBy(F.desc("created_at"), F.asc("analysis_id")).limit(newest))
+    hits = observables.join(recent, "analysis_id")
+    if per_analysis is not None:
+        hits = hits.withColumn("_r", F.row_number().over(
+            Window.partitionBy("analysis_id").orderBy("type", "value"))).where(F.col("_r") <= per_analysis).drop("_r")
+    ordered = geo_markers(hits).orderBy(F.desc("created_at"), "analysis_id", "type", "value")
+    return ordered if total is None else ordered.limit(total)
 
 
 # ---- filters and pages ---------------------------------------------------------------------
@@ -168,10 +171,18 @@ def context_observables(observables: DataFrame, n: int = 40) -> DataFrame:
 
 
 def context_bundle(findings: DataFrame, flows: DataFrame, observables: DataFrame, budget: int = 12000) -> DataFrame:
-    """One row of three JSON texts, each from a top list of fixed size and cut to ``budget``."""
+    """One row of three JSON lists, each from a top list of fixed size; entries beyond ``budget`` characters are left out."""
     def block(df: DataFrame, name: str) -> DataFrame:
-        cols = F.struct(*df.columns)
-        return df.agg(F.substring(F.to_json(F.sort_array(F.collect_list(cols))), 1, budget).alias(name))
+        entries = df.agg(F.transform(F.sort_array(F.collect_list(F.struct(*df.columns))), lambda e: F.to_json(e)).alias("entries"))
+        start = F.struct(F.lit(1).alias("size"), F.array().cast("array<string>").alias("kept"))
+
+        def add(state, entry):
+            size = state["size"] + F.length(entry) + 1
+            fits = size <= budget
+            return F.struct(size.alias("size"), F.when(fits, F.array_append(state["kept"], entry)).otherwise(state["kept"]).alias("kept"))
+
+        kept = F.aggregate("entries", start, add, lambda s: s["kept"])
+        return entries.select(F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias(name))
 
     return block(context_findings(findings), "findings").crossJoin(
         block(context_flows(flows), "flows")).crossJoin(block(context_observables(observables), "observables"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions import net
 from flowloom.operators import alerts as A
 from flowloom.operators import features as FT
 from flowloom.operators import findings as FI
@@ -203,7 +202,7 @@ r AS (SELECT o.*, created_at, row_number() OVER (PARTITION BY o.analysis_id ORDE
 SELECT analysis_id, value FROM r WHERE rn<=90 AND type='ip' AND lat<>0 AND lon<>0 ORDER BY created_at DESC, analysis_id, rn LIMIT 400""")
 def _(t):
     analyses = t.observables.where("type='ip'").groupBy("analysis_id").agg(F.max("bal").alias("created_at"))
-    return RP.threat_map(analyses, t.observables, newest=10, per_analysis=90).select("analysis_id", "value")
+    return RP.threat_map(analyses, t.observables, newest=10, per_analysis=90, total=400).select("analysis_id", "value")
 
 
 @query("agg_29_finding_targets", """
@@ -211,7 +210,7 @@ WITH f AS (SELECT finding_id, ev_src, ev_dst, ev_domain, o.src_ip, o.dst_ip, o.t
 e AS (SELECT finding_id, unnest(['ip','ip','domain','ip','ip','domain','domain']) AS kind, unnest([ev_src, ev_dst, ev_domain, src_ip, dst_ip, tls_sni, dns_query]) AS value, unnest([1,2,3,4,5,6,7]) AS p FROM f),
 d AS (SELECT finding_id, kind, value, min(p) AS p FROM e WHERE value IS NOT NULL GROUP BY 1,2,3),
 r AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY p) AS position FROM d)
-SELECT finding_id, position, kind, value, NOT (kind='ip' AND value LIKE '10.%') AS public FROM r WHERE position<=6""")
+SELECT finding_id, position, kind, value, NOT (kind='ip' AND value LIKE '10.%') AS public FROM r""")
 def _(t):
     return FI.finding_targets(t.wide.findings, t.order_flows)
 
@@ -346,8 +345,8 @@ def _(t):
 
 
 @query("snk_08_push_payloads", """
-SELECT id, CASE lower(type) WHEN 'suricata' THEN 'Suricata: ' || coalesce(signature,'signature hit') WHEN 'correlation' THEN 'Correlation: ' || coalesce(signature,'signature') || ' + ML score ' || coalesce(anomaly_score::varchar,'?')
- WHEN 'llm' THEN 'AI Triage (' || replace(coalesce(ai_status,'open'),'_',' ') || '): ' || coalesce(attack_type,'AI triage hit') ELSE 'ML Anomaly (score ' || coalesce(anomaly_score::varchar,'?') || ')' END AS title
+SELECT id, CASE lower(type) WHEN 'suricata' THEN 'Rule matched: ' || coalesce(signature,'unnamed rule') WHEN 'correlation' THEN 'Rule and outlier agree: ' || coalesce(signature,'unnamed rule') || ': ' || coalesce(anomaly_score::varchar,'unknown')
+ WHEN 'llm' THEN 'Model verdict: ' || coalesce(ai_status,'open') || ': ' || coalesce(attack_type,'unnamed attack') ELSE 'Outlier flow: ' || coalesce(anomaly_score::varchar,'unknown') END AS title
 FROM x_alerts WHERE lower(severity) IN ('high','critical') AND lower(type) IN ('llm','ml','suricata') AND (lower(type)<>'llm' OR ai_status='true_positive')""")
 def _(t):
     return A.push_payloads(t.alerts, ["high", "critical"], ["llm", "ml", "suricata"], ["true_positive"]).select("id", "title")
@@ -364,6 +363,3 @@ def _(t):
 SELECT finding_id, arg_max(id, ts_us) AS id, max(ts_us) AS ts_us FROM x_alerts GROUP BY 1""")
 def _(t):
     return TI.latest(t.alerts.select("finding_id", "ts_us", "id"), ["finding_id"], "ts_us")
-
-
-_ = net

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import alerts as A
 from flowloom.operators import heuristics as H
-from flowloom.operators import incidents as I
 from flowloom.operators.slices import forward_count, recent_gap
 from flowloom.plans.catalog import query
 from flowloom.session import shared_dir, spread
@@ -198,7 +197,7 @@ def _(t):
 @query("agg_33_file_inventory")
 def _(t):
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.dir)
-    return capture.inventory(files)
+    return capture.inventory(files, 50)
 
 
 @query("src_06_closed_chunks")
@@ -337,6 +336,3 @@ def _(t):
         n.cast("boolean").alias("new_domain"), n.cast("bigint").alias("pulses"), n.cast("bigint").alias("sandbox"),
         n.cast("string").alias("scanner"), n.cast("boolean").alias("known_good"), n.cast("bigint").alias("vulns"))
     return _to_table(t, live.enrich_alerts(stream_of(t, "events").alerts, providers).select("id", "severity"), "enriched")
-
-
-_ = I

@@ -57,8 +57,8 @@ def ip_packets(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("src_ip").isNotNull())
 
 
-def display_rows(decoded: DataFrame) -> DataFrame:
-    """Packets as the eleven-column display row with flag names in the text."""
+def display_rows(decoded: DataFrame, info_chars: int = 120) -> DataFrame:
+    """Packets as the eleven-column display row with flag names in the text, shown to ``info_chars``."""
     p = ip_packets(decoded)
     size = F.concat(F.lit("len="), F.col("payload_len").cast("string"))
     tcp = F.concat(F.lit("TCP ["), net.tcp_flag_text(F.col("tcp_flags")), F.lit("] "), size)
@@ -69,19 +69,20 @@ def display_rows(decoded: DataFrame) -> DataFrame:
             .when(F.col("protocol") == "ICMP", F.concat(F.lit("ICMP type="), F.col("icmp_type").cast("string")))
             .otherwise(F.concat(F.lit("IP proto="), F.col("protocol"))))
     shown = F.when(dns, "DNS").otherwise(F.col("protocol"))
-    rows = p.withColumn("info", F.left(info, F.lit(120))).withColumn("_shown", shown)
+    rows = p.withColumn("_info", info).withColumn("_shown", shown)
     return rows.select(
         "ts", "src_ip", "dst_ip", F.coalesce("src_port", F.lit(0)).alias("src_port"),
         F.coalesce("dst_port", F.lit(0)).alias("dst_port"), F.col("_shown").alias("protocol"),
-        F.col("frame_len").alias("length"), "info",
-        net.packet_severity(F.col("dst_ip"), F.col("dst_port"), F.col("_shown"), F.col("info")).alias("severity"),
+        F.col("frame_len").alias("length"), F.left("_info", F.lit(info_chars)).alias("info"),
+        net.packet_severity(F.col("dst_ip"), F.col("dst_port"), F.col("_shown"), F.col("_info")).alias("severity"),
         F.lit("packet").alias("event_type"), F.lit("capture").alias("source"))
 
 
-def inventory(files: DataFrame, newest: int = 50) -> DataFrame:
-    """Newest capture files with size and time; file contents are not read."""
+def inventory(files: DataFrame, newest: int | None = None) -> DataFrame:
+    """Capture files with size and time, newest first, all or ``newest`` of them; contents are not read."""
     meta = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return meta.orderBy(F.desc("modified"), F.asc("path")).limit(newest)
+    ordered = meta.orderBy(F.desc("modified"), F.asc("path"))
+    return ordered if newest is None else ordered.limit(newest)
 
 
 def inventory_stats(files: DataFrame) -> DataFrame:

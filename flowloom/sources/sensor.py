@@ -94,8 +94,11 @@ def to_alerts(events: DataFrame) -> DataFrame:
         values.parse_time(F.col("timestamp")).alias("time"))
 
 
-def to_display(events: DataFrame) -> DataFrame:
-    """Any event as the eleven-column display row; events without a type and addresses are left out."""
+def to_display(events: DataFrame, info_chars: int = 120) -> DataFrame:
+    """Any event as the eleven-column display row; events without a type and addresses are left out.
+
+    Severity is told from the whole text; the row shows ``info_chars`` of web, name and other texts.
+    """
     kind = _text("event_type", "unknown")
     base = events.select("*", *[c.alias(f"_{n}") for c, n in zip(_ends(), ("src", "dst", "sport", "dport"))],
                          kind.alias("_kind"), F.upper(_text("proto", "—")).alias("_proto"))
@@ -120,9 +123,10 @@ def to_display(events: DataFrame) -> DataFrame:
             out = F.when(cond, value) if out is None else out.when(cond, value)
         return out.when(listed, default[0]).otherwise(default[1])
 
-    info = choose((F.left(other_info, F.lit(120)), F.concat(F.col("_kind"), F.lit(" event"))),
+    info = choose((other_info, F.concat(F.col("_kind"), F.lit(" event"))),
                   alert=_text("alert.signature", "Suricata alert"), flow=flow_info, dns=dns_info,
-                  http=F.left(http_info, F.lit(120)), tls=F.left(server, F.lit(120)))
+                  http=http_info, tls=server)
+    shown = F.when(listed | F.col("_kind").isin("http", "tls"), F.left("_info", F.lit(info_chars))).otherwise(F.col("_info"))
     rows = base.withColumn("_info", info)
     internal = net.is_internal_ip(F.col("_dst"))
     port_class = net.packet_severity(F.col("_dst"), F.col("_dport"), F.when(F.col("_kind") == "http", "TCP").otherwise(F.col("_proto")), F.col("_info"))
@@ -136,7 +140,7 @@ def to_display(events: DataFrame) -> DataFrame:
     return rows.where(known).select(
         values.parse_time(F.col("timestamp")).alias("time"), F.col("_src").alias("src_ip"), F.col("_dst").alias("dst_ip"),
         F.col("_sport").alias("src_port"), F.col("_dport").alias("dst_port"), protocol.alias("protocol"), length.alias("length"),
-        F.col("_info").alias("info"), severity.alias("severity"), F.col("_kind").alias("event_type"), F.lit("suricata").alias("source"))
+        shown.alias("info"), severity.alias("severity"), F.col("_kind").alias("event_type"), F.lit("suricata").alias("source"))
 
 
 def route(events: DataFrame) -> tuple[DataFrame, DataFrame]:

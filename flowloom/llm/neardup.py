@@ -40,7 +40,8 @@ MANTISSA_BITS = 10
 ZEROS_MAX = 63
 BAND_ROWS = 4
 BANDS = REGISTERS // BAND_ROWS
-BLOCK = 512
+BLOCK = 2048
+BLOCK_BYTES = 1 << 24
 
 _U = np.uint64
 _BORROW = bytewords.mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)).reshape(
@@ -214,24 +215,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt to square blocks: one row per (bucket, i, j)."""
-    counts = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = counts.where("low <> high and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("sides"))
+    """Members of buckets with several components, dealt to square blocks: one row per (bucket, i, j).
+
+    A side of a block holds about ``BLOCK`` members or ``BLOCK_BYTES`` of sets, whichever is less.
+    """
+    counts = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("codes"),
+                                        F.min("root").alias("low"), F.max("root").alias("high"))
+    sides = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("codes") * 8 / BLOCK_BYTES)).cast("int")
+    mixed = counts.where("low <> high and size > 2").select("key", sides.alias("sides"))
     own = F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int")
-    dealt = members.join(mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "pivot", "root").join(
-        nodes.select("digest", "n_shingles", "registers"), "digest")
+    known = members.join(mixed, "key").join(nodes.select("digest", "registers"), "digest")
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                        "own", "digest", "pivot", "root", "n_shingles", "registers")
+
 
+def _block_roots(t) -> np.ndarray:
+    return np.unique(np.array(t["root"], dtype=object), return_inverse=True)[1]
 
-def _block_pairs(t, percent: int):
-    """Index pairs of one block that may be links between components, each pair in its first common band only."""
+
+def _block_pairs(t, root: np.ndarray, percent: int):
+    """Index pairs of one block that may be links between components, each pair in its first common band only.
+
+    The caller may join components in ``root`` on the way.
+    """
     floor = estimate_floor(percent / 100.0)
     n = len(t["digest"])
     registers = np.frombuffer(b"".join(t["registers"]), np.uint16).reshape(n, REGISTERS)
     bands = registers.view(np.uint64)
     sizes, own = np.asarray(t["n_shingles"]), np.asarray(t["own"])
     i, j, band = t["i"][0], t["j"][0], t["band"][0]
-    _, root = np.unique(np.array(t["root"], dtype=object), return_inverse=True)
     pivot = np.array([d == p for d, p in zip(t["digest"], t["pivot"])])
     for x in range(n):
         ys = np.arange(x + 1, n)
@@ -257,7 +270,7 @@ def _rest(docs, members, nodes, done, id_column, text_column, k, percent) -> Dat
     def flag(table):
         t = table.to_pydict()
         hit = np.zeros(len(t["digest"]), bool)
-        for x, ys in _block_pairs(t, percent):
+        for x, ys in _block_pairs(t, _block_roots(t), percent):
             hit[x] = True
             hit[ys] = True
         return table.filter(pa.array(hit)).select(["key", "i", "j", "digest"])
@@ -271,9 +284,12 @@ def _rest(docs, members, nodes, done, id_column, text_column, k, percent) -> Dat
         t = table.to_pydict()
         codes = [np.frombuffer(c, np.uint64) for c in t["codes"]]
         left, right = [], []
-        for x, ys in _block_pairs(t, percent):
+        root = _block_roots(t)
+        for x, ys in _block_pairs(t, root, percent):
             for y in ys:
-                if _linked(codes[x], codes[y], percent):
+                # one link joins two components, the other pairs between them are answered then
+                if root[x] != root[y] and _linked(codes[x], codes[y], percent):
+                    root[root == root[y]] = root[x]
                     left.append(t["digest"][x])
                     right.append(t["digest"][y])
         return pa.table({"digest": pa.array(left, pa.binary()), "pivot": pa.array(right, pa.binary())})
@@ -288,11 +304,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     signed = stored(signatures(docs, id_column, text_column, k), "signatures")
     nodes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
-    bands = nodes.select("digest", F.posexplode(F.transform(
+    bands = nodes.select("digest", "n_shingles", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(
             F.col("registers"), b * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS)))).alias("band", "part"))
     # the band is the key's remainder, so equal parts of different bands never meet
-    keyed = bands.select("digest", (F.shiftleft(F.shiftrightunsigned(F.xxhash64("part", "band"), 5), 5) + F.col("band")).alias("key"))
+    keyed = bands.select("digest", "n_shingles", (F.shiftleft(F.shiftrightunsigned(F.xxhash64("part", "band"), 5), 5) + F.col("band")).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("digest").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     star = _estimated(buckets.where("digest <> pivot").select("digest", "pivot").distinct(), nodes, percent)

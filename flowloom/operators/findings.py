@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,11 +36,11 @@ def _with_rule_fields(hits: DataFrame, rule_id: Column, analysis_id: Column) ->
     )
 
 
-def as_findings(hits: DataFrame, rule_id: str, analysis_id: Column | None = None) -> DataFrame:
-    """Rule metadata times hit evidence; the evidence is every column but the flow id."""
-    evidence = F.to_json(F.struct(*[c for c in hits.columns if c != "flow_id"]))
+def as_findings(hits: DataFrame, rule_id: str, analysis_id: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rule metadata times hit evidence; the evidence is every column but the flow id and ``by``."""
+    evidence = F.to_json(F.struct(*[c for c in hits.columns if c != "flow_id" and c not in by]))
     flow = F.col("flow_id") if "flow_id" in hits.columns else F.lit(None).cast("bigint")
-    rows = hits.select(flow.alias("flow_id"), evidence.alias("evidence"))
+    rows = hits.select(*by, flow.alias("flow_id"), evidence.alias("evidence"))
     return _with_rule_fields(rows, F.lit(rule_id), analysis_id if analysis_id is not None else F.lit("all"))
 
 
@@ -48,15 +49,21 @@ def union_findings(*frames: DataFrame) -> DataFrame:
 
 
 def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: DataFrame | None = None,
-                  analysis_id: str = "all", **params) -> DataFrame:
+                  analysis_id: str = "all", by: Sequence[str] = (), **params) -> DataFrame:
     """All rules over one set of flows. ``params`` maps a rule function's name to its arguments.
 
+    With ``by`` each value of those columns is an analysis of its own: groups, rates and means do not
+    mix, and the findings carry the values as their analysis id.
+
     Rules that look at single flows share one pass; the others aggregate on their own keys.
     """
-    aid = F.lit(analysis_id)
+    aid = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit(analysis_id)
 
     def args(fn) -> dict:
-        return params.get(fn.__name__, {})
+        return {**params.get(fn.__name__, {}), "by": by}
+
+    def requests(frame: DataFrame) -> DataFrame:
+        return R.arp_requests(frame, **params.get("arp_requests", {}))
 
     grouped = {
         "PORTSCAN-001": R.horizontal_scan, "PORTSCAN-002": R.host_sweep, "BEACON-001": R.beacons,
@@ -64,12 +71,12 @@ def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: D
         "DGATOP-001": R.generated_domains, "EXFIL-001": R.exfiltration, "LATERAL-001": R.lateral_movement,
     }
     frames = [_with_rule_fields(R.single_flow_hits(flows, **args(R.single_flow_hits)), F.col("rule_id"), aid)]
-    frames += [as_findings(fn(flows, **args(fn)), rid, aid) for rid, fn in grouped.items()]
+    frames += [as_findings(fn(flows, **args(fn)), rid, aid, by) for rid, fn in grouped.items()]
     if arp is not None:
-        frames += [as_findings(R.arp_requests(arp, **args(R.arp_requests)), "ARPSPOOFING-001", aid),
-                   as_findings(R.arp_storm(arp, **args(R.arp_storm)), "ARPSPOOFING-002", aid)]
+        frames += [as_findings(requests(arp), "ARPSPOOFING-001", aid, by),
+                   as_findings(R.arp_storm(arp, **args(R.arp_storm)), "ARPSPOOFING-002", aid, by)]
     if observables is not None:
-        frames.append(as_findings(R.new_domains(observables), "NEWDOMAIN-001", aid))
+        frames.append(as_findings(R.new_domains(observables, by), "NEWDOMAIN-001", aid, by))
     return union_findings(*frames)
 
 

@@ -1,7 +1,11 @@
-"""Detection rules: parameterised aggregations and filters over flows that no whitelist covers."""
+"""Detection rules: parameterised aggregations and filters over flows that no whitelist covers.
+
+With ``by`` (an analysis id, say) a rule runs for each value of those columns apart, all in one job.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,10 +63,10 @@ def _span_s() -> Column:
     return (F.max(_start_us()) - F.min(_start_us())) / US
 
 
-def horizontal_scan(flows: DataFrame, min_ports: int = 50, window_s: float = 30) -> DataFrame:
+def horizontal_scan(flows: DataFrame, min_ports: int = 50, window_s: float = 30, by: Sequence[str] = ()) -> DataFrame:
     """One source probing many ports of one host; the span of the whole group must fit the window."""
     return (
-        flows.groupBy("src_ip", "dst_ip")
+        flows.groupBy(*by, "src_ip", "dst_ip")
         .agg(F.count(F.lit(1)).alias("flow_count"), F.count_distinct("dst_port").alias("ports_scanned"),
              _span_s().alias("span_s"), F.min("flow_id").alias("flow_id"))
         .where((F.col("flow_count") >= min_ports) & (F.col("ports_scanned") >= min_ports)
@@ -70,10 +74,10 @@ def horizontal_scan(flows: DataFrame, min_ports: int = 50, window_s: float = 30)
     )
 
 
-def host_sweep(flows: DataFrame, min_hosts: int = 30, window_s: float = 60) -> DataFrame:
+def host_sweep(flows: DataFrame, min_hosts: int = 30, window_s: float = 60, by: Sequence[str] = ()) -> DataFrame:
     """One source probing one port on many hosts."""
     return (
-        flows.groupBy("src_ip", "dst_port")
+        flows.groupBy(*by, "src_ip", "dst_port")
         .agg(F.count_distinct("dst_ip").alias("hosts_scanned"), _span_s().alias("span_s"),
              F.min("flow_id").alias("flow_id"))
         .where((F.col("hosts_scanned") >= min_hosts) & (F.col("span_s") <= window_s))
@@ -81,13 +85,13 @@ def host_sweep(flows: DataFrame, min_hosts: int = 30, window_s: float = 60) -> D
 
 
 def beacons(flows: DataFrame, min_connections: int = 10, max_jitter_pct: float = 20,
-            min_interval_s: float = 10, max_interval_s: float = 3600) -> DataFrame:
+            min_interval_s: float = 10, max_interval_s: float = 3600, by: Sequence[str] = ()) -> DataFrame:
     """Regular connections to one external service.
 
     Gaps outside the interval bounds are ignored, so a flow only ever needs the previous one within
     ``max_interval_s``; the service's timeline is cut into slices accordingly.
     """
-    key = ["src_ip", "dst_ip", "dst_port"]
+    key = [*by, "src_ip", "dst_ip", "dst_port"]
     outbound = flows.where(net.is_external_ip(F.col("dst_ip"))).select(
         *key, "flow_id", _start_us().alias("_us"))
     gaps = recent_gap(outbound, key, "_us", int(max_interval_s * US), "_gap", "flow_id").select(*key, "flow_id", "_gap")
@@ -108,8 +112,8 @@ def beacons(flows: DataFrame, min_connections: int = 10, max_jitter_pct: float =
 
 
 def slow_beacons(flows: DataFrame, min_connections: int = 5, max_jitter_pct: float = 20,
-                 min_interval_s: float = 1800, max_interval_s: float = 86400) -> DataFrame:
-    return beacons(flows, min_connections, max_jitter_pct, min_interval_s, max_interval_s)
+                 min_interval_s: float = 1800, max_interval_s: float = 86400, by: Sequence[str] = ()) -> DataFrame:
+    return beacons(flows, min_connections, max_jitter_pct, min_interval_s, max_interval_s, by)
 
 
 def large_dns(flows: DataFrame, min_payload_bytes: int = 200) -> DataFrame:
@@ -122,33 +126,33 @@ def queried_names(flows: DataFrame, *columns: str) -> DataFrame:
     return flows.select(*columns, F.explode("dns_queries").alias("domain"))
 
 
-def dns_rate(flows: DataFrame, queries_per_minute: float = 100) -> DataFrame:
+def dns_rate(flows: DataFrame, queries_per_minute: float = 100, by: Sequence[str] = ()) -> DataFrame:
     """Queries of one source below one apex; the rate's time base is at least one minute."""
-    names = queried_names(flows.where(F.col("start_time").isNotNull()), "src_ip", "start_time")
-    grouped = names.groupBy("src_ip", text.apex_domain(F.col("domain")).alias("apex")).agg(
+    names = queried_names(flows.where(F.col("start_time").isNotNull()), *by, "src_ip", "start_time")
+    grouped = names.groupBy(*by, "src_ip", text.apex_domain(F.col("domain")).alias("apex")).agg(
         F.count(F.lit(1)).alias("queries"), _span_s().alias("_span"))
     rate = F.col("queries") / F.greatest(F.lit(1.0), F.col("_span") / 60)
     return grouped.where((F.col("queries") >= queries_per_minute) & (rate >= queries_per_minute)).select(
-        "src_ip", "apex", "queries", F.round(rate, 1).alias("queries_per_minute"))
+        *by, "src_ip", "apex", "queries", F.round(rate, 1).alias("queries_per_minute"))
 
 
-def lateral_targets(flows: DataFrame, ports=(445, 3389, 5985)) -> DataFrame:
+def lateral_targets(flows: DataFrame, ports=(445, 3389, 5985), by: Sequence[str] = ()) -> DataFrame:
     """The distinct internal (source, target, port) triples on remote-service ports: a finding's targets, by src_ip."""
     return flows.where(
         F.col("dst_port").isin(*ports) & net.is_internal_ip(F.col("src_ip"))
-        & net.is_internal_ip(F.col("dst_ip"))).select("src_ip", "dst_ip", "dst_port").distinct()
+        & net.is_internal_ip(F.col("dst_ip"))).select(*by, "src_ip", "dst_ip", "dst_port").distinct()
 
 
-def lateral_movement(flows: DataFrame, ports=(445, 3389, 5985), min_targets: int = 3) -> DataFrame:
+def lateral_movement(flows: DataFrame, ports=(445, 3389, 5985), min_targets: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Sources that reach many hosts; ``ports`` lists those used, the hosts are in :func:`lateral_targets`."""
-    return (lateral_targets(flows, ports).groupBy("src_ip")
+    return (lateral_targets(flows, ports, by).groupBy(*by, "src_ip")
             .agg(F.count_distinct("dst_ip").alias("targets"), F.array_sort(F.collect_set("dst_port")).alias("ports"))
             .where(F.col("targets") >= min_targets))
 
 
-def entropic_labels(flows: DataFrame, min_entropy: float = 3.8) -> DataFrame:
+def entropic_labels(flows: DataFrame, min_entropy: float = 3.8, by: Sequence[str] = ()) -> DataFrame:
     """Queried names with more than two labels whose first label looks random."""
-    names = queried_names(flows, "flow_id").where(text.label_count(F.col("domain")) > 2)
+    names = queried_names(flows, *by, "flow_id").where(text.label_count(F.col("domain")) > 2)
     scored = names.withColumn("entropy", text.shannon_entropy(text.first_label(F.col("domain"))))
     return scored.where(F.col("entropy") >= min_entropy).withColumn("entropy", F.round("entropy", 2))
 
@@ -159,23 +163,24 @@ def arp_requests(arp: DataFrame, limit: int | None = None) -> DataFrame:
     return requests if limit is None else requests.orderBy("ts", "sender_mac").limit(limit)
 
 
-def arp_storm(arp: DataFrame, min_replies: int = 50, window_s: float = 10) -> DataFrame:
+def arp_storm(arp: DataFrame, min_replies: int = 50, window_s: float = 10, by: Sequence[str] = ()) -> DataFrame:
     """Per sender the first reply that starts a window with enough replies."""
     replies = arp.where(F.col("op") == 2).select(
-        "sender_mac", (F.col("ts") * US).cast("bigint").alias("_us"), "ts")
-    counted = forward_count(replies, "sender_mac", "_us", int(window_s * US), "reply_count")
-    return (counted.where(F.col("reply_count") >= min_replies).groupBy("sender_mac")
+        *by, "sender_mac", (F.col("ts") * US).cast("bigint").alias("_us"), "ts")
+    counted = forward_count(replies, [*by, "sender_mac"], "_us", int(window_s * US), "reply_count")
+    return (counted.where(F.col("reply_count") >= min_replies).groupBy(*by, "sender_mac")
             .agg(F.min("ts").alias("window_start"), F.min_by("reply_count", "ts").alias("reply_count")))
 
 
-def exfiltration(flows: DataFrame, multiplier: float = 10) -> DataFrame:
+def exfiltration(flows: DataFrame, multiplier: float = 10, by: Sequence[str] = ()) -> DataFrame:
     """Outbound volume far above the mean of all positive ones, from inside to outside."""
-    mean = flows.where(F.col("bytes_sent") > 0).agg(F.avg("bytes_sent").alias("_mean"))
+    means = flows.where(F.col("bytes_sent") > 0).groupBy(*by).agg(F.avg("bytes_sent").alias("_mean"))
+    outbound = flows.where(net.is_internal_ip(F.col("src_ip")) & net.is_external_ip(F.col("dst_ip")))
+    # without ``by`` the means are one row by construction
+    met = outbound.join(means, list(by)) if by else outbound.crossJoin(F.broadcast(means))
     return (
-        flows.where(net.is_internal_ip(F.col("src_ip")) & net.is_external_ip(F.col("dst_ip")))
-        .crossJoin(F.broadcast(mean))  # one row by construction
-        .where(F.col("bytes_sent") > F.col("_mean") * multiplier)
-        .select("flow_id", "dst_ip", "bytes_sent", F.round("_mean", 0).alias("baseline_mean"))
+        met.where(F.col("bytes_sent") > F.col("_mean") * multiplier)
+        .select(*by, "flow_id", "dst_ip", "bytes_sent", F.round("_mean", 0).alias("baseline_mean"))
     )
 
 
@@ -191,14 +196,15 @@ def port_mismatch(flows: DataFrame) -> DataFrame:
     return flows.where(_mismatch()).select("flow_id", "application_layer", "dst_port")
 
 
-def generated_domains(flows: DataFrame, min_cv_ratio: float = 3, min_bigram_entropy: float = 4.2) -> DataFrame:
-    names = queried_names(flows, "flow_id")
+def generated_domains(flows: DataFrame, min_cv_ratio: float = 3, min_bigram_entropy: float = 4.2,
+                      by: Sequence[str] = ()) -> DataFrame:
+    names = queried_names(flows, *by, "flow_id")
     label = text.first_label(F.col("domain"))
     scored = names.withColumn("cv_ratio", text.consonant_vowel_ratio(label)).withColumn(
         "bigram_entropy", text.bigram_entropy(label))
     return scored.where(
         (F.col("cv_ratio") > min_cv_ratio) | (F.col("bigram_entropy") > min_bigram_entropy)
-    ).select("flow_id", "domain", F.round("cv_ratio", 2).alias("cv_ratio"),
+    ).select(*by, "flow_id", "domain", F.round("cv_ratio", 2).alias("cv_ratio"),
              F.round("bigram_entropy", 2).alias("bigram_entropy"))
 
 
@@ -220,11 +226,11 @@ def cleartext_logins(flows: DataFrame) -> DataFrame:
     return flows.where(_cleartext_login()).select("flow_id", "dst_port", "http_hosts")
 
 
-def new_domains(observables: DataFrame) -> DataFrame:
+def new_domains(observables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Domain observables that the registry data call newly registered, with the date where it is known."""
     dated = F.col("creation_date") if "creation_date" in observables.columns else F.lit(None).cast("string")
     return observables.where((F.col("type") == "domain") & F.col("newly_registered")).select(
-        F.col("value").alias("domain"), dated.alias("creation_date"))
+        *by, F.col("value").alias("domain"), dated.alias("creation_date"))
 
 
 def long_connections(flows: DataFrame, min_hours: float = 8) -> DataFrame:
@@ -251,7 +257,7 @@ def anomaly_findings(scored: DataFrame, threshold: float = 5.0) -> DataFrame:
     return scored.where((F.col("anomaly_score") >= threshold) & F.col("suppress_reason").isNull())
 
 
-def single_flow_hits(flows: DataFrame, min_payload_bytes: int = 200, min_hours: float = 8) -> DataFrame:
+def single_flow_hits(flows: DataFrame, min_payload_bytes: int = 200, min_hours: float = 8, by: Sequence[str] = ()) -> DataFrame:
     """All rules that look at one flow at a time, in a single pass: one row per (flow, rule)."""
     total = F.col("bytes_sent") + F.col("bytes_recv")
 
@@ -270,4 +276,4 @@ def single_flow_hits(flows: DataFrame, min_payload_bytes: int = 200, min_hours:
         hit("LONGCONN-001", (F.col("protocol") == "TCP") & (F.col("duration_ms") >= int(min_hours * 3_600_000)),
             F.round(F.col("duration_ms") / 3_600_000, 2).alias("duration_hours"), F.col("dst_ip")),
     ))
-    return flows.select("flow_id", F.explode(hits).alias("h")).select("flow_id", "h.rule_id", "h.evidence")
+    return flows.select(*by, "flow_id", F.explode(hits).alias("h")).select(*by, "flow_id", "h.rule_id", "h.evidence")

@@ -128,6 +128,55 @@ def _(t):
     return R.slow_beacons(t.flows, 3, 60, 1800, 8_640_000)
 
 
+# ---- the same rules for each analysis apart, in one job ---------------------------------------
+BY = ["analysis_id"]
+
+
+@query("rule_01_portscan_by_analysis", """
+SELECT analysis_id, src_ip, dst_ip, count(*) AS flow_count, count(DISTINCT dst_port) AS ports_scanned,
+  (max(start_us)-min(start_us))/1e6 AS span_s, min(flow_id) AS flow_id FROM x_flows GROUP BY 1,2,3
+HAVING count(*)>=3 AND count(DISTINCT dst_port)>=3 AND (max(start_us)-min(start_us))/1e6 <= 250000000""")
+def _(t):
+    return R.horizontal_scan(t.flows, 3, 250_000_000, BY)
+
+
+@query("rule_02_host_sweep_by_analysis", """
+SELECT analysis_id, src_ip, dst_port, count(DISTINCT dst_ip) AS hosts_scanned, (max(start_us)-min(start_us))/1e6 AS span_s,
+  min(flow_id) AS flow_id FROM x_flows GROUP BY 1,2,3
+HAVING count(DISTINCT dst_ip)>=4 AND (max(start_us)-min(start_us))/1e6 <= 250000000""")
+def _(t):
+    return R.host_sweep(t.flows, 4, 250_000_000, BY)
+
+
+@query("rule_03_beacon_by_analysis", _beacon_sql(3, 1000, 12_000_000, 90).replace("src_ip, dst_ip, dst_port", "analysis_id, src_ip, dst_ip, dst_port").replace("GROUP BY 1,2,3", "GROUP BY 1,2,3,4"))
+def _(t):
+    return R.beacons(t.wide.flows, 3, 90, 1000, 12_000_000, BY)
+
+
+@query("rule_06_dns_frequency_by_analysis", """
+WITH g AS (SELECT analysis_id, src_ip, substr(dns_query, 21) AS apex, count(*) AS queries, (max(start_us)-min(start_us))/1e6 AS span FROM x_flows
+  WHERE dns_query IS NOT NULL GROUP BY 1, 2, 3)
+SELECT analysis_id, src_ip, apex, queries, round(queries/greatest(1.0, span/60),1) AS queries_per_minute FROM g
+WHERE queries>=0.00002 AND queries/greatest(1.0, span/60)>=0.00002""")
+def _(t):
+    return R.dns_rate(t.flows, 0.00002, BY)
+
+
+@query("rule_07_lateral_movement_by_analysis", f"""
+SELECT analysis_id, src_ip, count(DISTINCT dst_ip) AS targets FROM x_flows WHERE dst_port IN (445,3389,5985) AND {SRC_IN} AND {DST_IN}
+GROUP BY 1,2 HAVING count(DISTINCT dst_ip)>=2""")
+def _(t):
+    return R.lateral_movement(t.wide.flows, min_targets=2, by=BY).drop("ports")
+
+
+@query("rule_11_exfiltration_by_analysis", f"""
+WITH m AS (SELECT analysis_id, avg(bytes_sent) AS m FROM x_flows WHERE bytes_sent>0 GROUP BY 1)
+SELECT analysis_id, flow_id, dst_ip, bytes_sent, round(m,0) AS baseline_mean FROM x_flows JOIN m USING (analysis_id)
+WHERE bytes_sent>m*1.9 AND {SRC_IN} AND NOT {DST_IN}""")
+def _(t):
+    return R.exfiltration(t.wide.flows, 1.9, BY)
+
+
 @query("rule_05_dns_payload", """
 SELECT flow_id, bytes_sent+bytes_recv AS payload_bytes FROM x_flows WHERE application_layer='DNS' AND bytes_sent+bytes_recv>90000""")
 def _(t):

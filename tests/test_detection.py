@@ -176,3 +176,18 @@ def test_analysis_end_to_end(spark):
     assert severity == {100: 9.8, 101: 9.0}
     report = out.report(obs, "a1").select(F.get_json_object("report", "$.flow_metrics.total_flows"), F.get_json_object("report", "$.risk_score")).first()
     assert report[0] == "61" and float(report[1]) > 0
+
+
+def test_analyses_do_not_mix(spark):
+    half = [(f"a{i % 2}", flow(i, dst="10.0.0.2", port=i)) for i in range(1, 80)]
+    flows = frame(spark, *[f for _, f in half]).withColumn("analysis_id", F.concat(F.lit("a"), (F.col("flow_id") % 2).cast("string")))
+    assert R.horizontal_scan(flows).count() == 1 and R.horizontal_scan(flows, by=["analysis_id"]).count() == 0
+    found = FI.rule_findings(flows, by=["analysis_id"], horizontal_scan={"min_ports": 30}).where("rule_id = 'PORTSCAN-001'").collect()
+    assert sorted(r.analysis_id for r in found) == ["a0", "a1"] and all("analysis_id" not in r.evidence for r in found)
+
+
+def test_beacons_count_connections_without_start(spark):
+    lost = list(flow(99))
+    lost[6] = None
+    flows = frame(spark, *[flow(i, at=60 * i) for i in range(10)], tuple(lost))
+    assert R.beacons(flows).first().connections == 11

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from flowloom import constants as K
 from flowloom.operators import alerts as A
 from flowloom.operators import correlate as C
 from flowloom.operators import heuristics as H
@@ -220,6 +221,10 @@ def test_sensor_lines(spark, tmp_path):
     assert [(r.signature, r.severity) for r in sensor.to_alerts(ev).collect()] == [("sig", "high")]
     shown = sensor.to_display(ev).where("event_type = 'alert' and info = 'sig'").first()
     assert shown.severity == "critical"
+    web = {**LINE, "event_type": "http", "dest_ip": "10.0.0.9", "dest_port": 9, "http": {"hostname": "h", "url": "/" + "a" * 200 + K.CLASSIFY_KEYWORDS[0]}}
+    (tmp_path / "web.json").write_text(json.dumps(web))
+    late = sensor.to_display(sensor.read_events(spark, str(tmp_path / "web.json"))).first()
+    assert (late.severity, len(late.info)) == ("high", 120)
     (tmp_path / "pretty").mkdir()
     (tmp_path / "pretty" / "a.json").write_text(json.dumps([LINE, alert_line], indent=2))
     assert sensor.read_events(spark, str(tmp_path / "pretty"), multi_line=True).count() == 2

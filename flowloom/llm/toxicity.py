@@ -35,7 +35,7 @@ from flowloom.llm.common import arrow_map, fold_of, text_of
 TABLE_LOG2 = 17
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
-PER_CLASS = 2000
+PER_CLASS = 1500
 WINDOW = 24
 LEAST = 200
 FIRST_EPOCHS = 3
@@ -130,40 +130,45 @@ def highest(data: np.ndarray, offsets: np.ndarray, model: Toxicity) -> np.ndarra
 
 
 class _Sample:
-    """The features of all sampled texts, in the order of their words."""
+    """The features of all sampled texts in the order of their words, held in chunks of texts."""
 
     def __init__(self, texts: list[bytes]):
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=offsets[1:])
         data = np.frombuffer(b"".join(texts), np.uint8)
-        feature, counts, starts = [], [], [np.zeros(1, np.int64)]
+        self.chunks = []
         for a, b in bytewords.chunks(offsets):
-            found, word, at = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            feature.append(found[np.argsort(word, kind="stable")])
-            counts.append(np.bincount(word, minlength=int(at[-1])))
-            starts.append(at[1:] + starts[-1][-1])
-        self.feature, self.starts = np.concatenate(feature), np.concatenate(starts)
-        self.begin = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-
-    def bags(self, first: np.ndarray, end: np.ndarray):
+            found, word, starts = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            begin = np.zeros(int(starts[-1]) + 1, np.int64)
+            np.cumsum(np.bincount(word, minlength=int(starts[-1])), out=begin[1:])
+            self.chunks.append((found[np.argsort(word, kind="stable")], begin, starts))
+
+    def bags(self, spans: list[tuple[np.ndarray, np.ndarray]]):
         """Distinct features of one span of words per text, their shares, and each text's bounds."""
         feats, shares, bounds = [], [], [0]
-        for a, b in zip(self.begin[first], self.begin[end]):
-            kind, many = np.unique(self.feature[a:b], return_counts=True)
-            feats.append(kind)
-            shares.append(many / max(LEAST, b - a))
-            bounds.append(bounds[-1] + len(kind))
-        return np.concatenate(feats), np.concatenate(shares).astype(np.float32), np.array(bounds)
-
-    def best(self, model: Toxicity) -> tuple[np.ndarray, np.ndarray]:
+        for (feature, begin, _), (first, end) in zip(self.chunks, spans):
+            for a, b in zip(begin[first], begin[end]):
+                kind, many = np.unique(feature[a:b], return_counts=True)
+                feats.append(kind)
+                shares.append((many / max(LEAST, b - a)).astype(np.float32))
+                bounds.append(bounds[-1] + len(kind))
+        return np.concatenate(feats), np.concatenate(shares), np.array(bounds)
+
+    def whole(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(starts[:-1], starts[1:]) for _, _, starts in self.chunks]
+
+    def best(self, model: Toxicity) -> list[tuple[np.ndarray, np.ndarray]]:
         """The span of each text's highest window."""
-        value = np.concatenate([[0.0], np.cumsum(model.weights[self.feature], dtype=np.float64)])
-        first, end, text = _windows(self.starts)
-        a, b = self.begin[first], self.begin[end]
-        logit = (value[b] - value[a]) / np.maximum(b - a, LEAST)
-        order = np.lexsort((-logit, text))
-        lead = order[np.flatnonzero(np.r_[True, np.diff(text[order]) > 0])]
-        return first[lead], end[lead]
+        out = []
+        for feature, begin, starts in self.chunks:
+            value = np.concatenate([[0.0], np.cumsum(model.weights[feature], dtype=np.float64)])
+            first, end, text = _windows(starts)
+            a, b = begin[first], begin[end]
+            logit = (value[b] - value[a]) / np.maximum(b - a, LEAST)
+            order = np.lexsort((-logit, text))
+            lead = order[np.flatnonzero(np.r_[True, np.diff(text[order]) > 0])]
+            out.append((first[lead], end[lead]))
+        return out
 
 
 def _descend(state: dict, bags, labels: np.ndarray, epochs: int, rng: np.random.Generator, batch: int = 64) -> None:
@@ -220,9 +225,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Toxicity:
         "output_scale": np.full((DIMENSIONS, 2), 1.0), "bias_scale": np.full(2, 1.0),
     }
     sample = _Sample(texts)
-    _descend(state, sample.bags(sample.starts[:-1], sample.starts[1:]), labels, FIRST_EPOCHS, rng)
+    _descend(state, sample.bags(sample.whole()), labels, FIRST_EPOCHS, rng)
     for _ in range(ROUNDS):
-        _descend(state, sample.bags(*sample.best(_model(state))), labels, 1, rng)
+        _descend(state, sample.bags(sample.best(_model(state))), labels, 1, rng)
     return _model(state)
 
 

@@ -331,7 +331,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of which ``found`` keeps one per group, each id once; columns as they are."""
+    """The documents of which ``found`` keeps one per group, each id once; columns as they are.
+
+    Documents without an id cannot be named and all stay.
+    """
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     rest = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
     ids = rest.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

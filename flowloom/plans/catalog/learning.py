@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowloom import constants as K
 from flowloom.functions import values
 from flowloom.operators import evaluate as E
 from flowloom.operators import features as FT
@@ -66,22 +67,50 @@ def _(t):
     return out.select("flow_id", *_rounded(["dst_port", "duration_ms_log", "bwd_packets", "iat_mean", "time_of_day_hour", "protocol_encoded", "is_external_dst"]))
 
 
-@query("ml_03_full_features_from_dataset", """
+def _all_features(given: dict[str, str], rest: str) -> str:
+    """SQL for the whole 78-feature vector: the given expressions, rounded, and ``rest`` for every other feature."""
+    return ", ".join(f"{'floor' if n == 'flow_bytes_per_s' else 'round'}(({given[n]})::double{'' if n == 'flow_bytes_per_s' else ', 4'}) AS {n}"
+                     if n in given else f"{rest} AS {n}" for n in K.FULL_FEATURE_COLUMNS)
+
+
+def _all_rounded() -> list:
+    """The vector as its SQL gives it; the byte rate is cut to whole bytes, its fourth digit is often a tie."""
+    return [F.floor(n).cast("double").alias(n) if n == "flow_bytes_per_s" else F.round(n, 4).alias(n) for n in K.FULL_FEATURE_COLUMNS]
+
+
+_FROM_DATASET = {
+    "destination_port": "l_partkey % 1000", "protocol_encoded": "1.0", "flow_duration": "l_quantity*1000*b", "total_fwd_packets": "l_quantity",
+    "total_backward_packets": "l_linenumber", "total_length_of_fwd_packets": "l_extendedprice*b", "total_length_of_bwd_packets": "l_extendedprice*l_discount",
+    "flow_bytes_per_s": "CASE WHEN l_linenumber<>7 THEN l_extendedprice/l_quantity END", "flow_packets_per_s": "l_quantity/10",
+    "flow_iat_mean": "l_discount*1e6-1000", "flow_iat_std": "l_tax*1e6", "flow_iat_max": "l_discount*2e6", "fwd_iat_mean": "l_tax*5e5",
+}
+
+
+@query("ml_03_full_features_from_dataset", f"""
 SELECT (cast(l_orderkey AS bigint)*8+l_linenumber)*1000000 + (l_partkey % 1000)*1000 + cast(floor(l_extendedprice*100+0.5) AS bigint) % 1000 AS row_id,
- CASE WHEN l_linenumber<>7 THEN floor(l_extendedprice/l_quantity) END AS flow_bytes_per_s, l_linenumber::double AS total_backward_packets, NULL::double AS idle_mean, 1.0::double AS protocol_encoded FROM lineitem""")
+ {_all_features(_FROM_DATASET, 'NULL::double')} FROM (SELECT *, CASE WHEN l_suppkey % 5 = 0 THEN 3.0 ELSE 1.0 END::double AS b FROM lineitem)""")
 def _(t):
-    out = FT.full_features_from_dataset(dataset(t), ["row_id"])
-    return out.select("row_id", F.floor("flow_bytes_per_s").cast("double").alias("flow_bytes_per_s"), "total_backward_packets", "idle_mean", "protocol_encoded")
+    return FT.full_features_from_dataset(dataset(t), ["row_id"]).select("row_id", *_all_rounded())
+
+
+_SEC, _OUT, _IN = "greatest(duration_ms/1000.0,1e-6)", "bytes_sent/greatest(packets_sent,1)", "bytes_recv/greatest(packets_recv,1)"
+_BOTH = "(bytes_sent+bytes_recv)/greatest(packets_sent+packets_recv,1)"
+_FROM_FLOWS = {
+    "destination_port": "dst_port", "protocol_encoded": "CASE protocol WHEN 'TCP' THEN 1 WHEN 'UDP' THEN 2 ELSE 0 END", "flow_duration": "duration_ms*1000.0",
+    "total_fwd_packets": "packets_sent", "total_backward_packets": "packets_recv", "total_length_of_fwd_packets": "bytes_sent",
+    "total_length_of_bwd_packets": "bytes_recv", "fwd_packet_length_mean": _OUT, "bwd_packet_length_mean": _IN,
+    "flow_bytes_per_s": f"(bytes_sent+bytes_recv)/{_SEC}", "flow_packets_per_s": f"(packets_sent+packets_recv)/{_SEC}",
+    "fwd_packets_per_s": f"packets_sent/{_SEC}", "bwd_packets_per_s": f"packets_recv/{_SEC}", "packet_length_mean": _BOTH, "average_packet_size": _BOTH,
+    "down_up_ratio": "packets_recv/greatest(packets_sent,1)", "avg_fwd_segment_size": _OUT, "avg_bwd_segment_size": _IN,
+    "subflow_fwd_packets": "packets_sent", "subflow_fwd_bytes": "bytes_sent", "subflow_bwd_packets": "packets_recv", "subflow_bwd_bytes": "bytes_recv",
+    "flow_iat_mean": "iat_mean*1e6", "flow_iat_std": "iat_std*1e6", "flow_iat_max": "iat_max*1e6", "fwd_iat_mean": "fwd_iat_mean*1e6", "idle_max": "7.5", "syn_flag_count": "packets_recv",
+}
 
 
-@query("ml_04_full_features", """
-SELECT flow_id, dst_port::double AS destination_port, duration_ms*1000.0::double AS flow_duration, round(bytes_sent/greatest(packets_sent,1),4) AS fwd_packet_length_mean,
- round(packets_recv/greatest(duration_ms/1000.0,1e-6),6) AS bwd_packets_per_s, round(iat_mean*1e6,2) AS flow_iat_mean, 7.5::double AS idle_max, packets_recv::double AS syn_flag_count FROM x_flows""")
+@query("ml_04_full_features", f"SELECT flow_id, {_all_features(_FROM_FLOWS, '0.0::double')} FROM x_flows")
 def _(t):
     flows = t.flows.withColumn("syn_count", c("packets_recv"))
-    out = FT.full_features(flows, {"idle_max": 7.5})
-    return out.select("flow_id", "destination_port", "flow_duration", F.round("fwd_packet_length_mean", 4).alias("fwd_packet_length_mean"),
-                      F.round("bwd_packets_per_s", 6).alias("bwd_packets_per_s"), F.round("flow_iat_mean", 2).alias("flow_iat_mean"), "idle_max", "syn_flag_count")
+    return FT.full_features(flows, {"idle_max": 7.5}).select("flow_id", *_all_rounded())
 
 
 @query("agg_25_feature_ranges", """

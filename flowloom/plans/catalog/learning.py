@@ -32,12 +32,19 @@ SELECT flow_id, dst_port::double AS dst_port, round(ln(1+duration_ms),4) AS dura
  round(ln(1+bytes_sent),4) AS fwd_bytes_log, round(ln(1+bytes_recv),4) AS bwd_bytes_log, round(down,4) AS down_up_ratio, round(iat_mean,4) AS iat_mean,
  round(iat_std,4) AS iat_std, round(iat_max,4) AS iat_max, round(ent,4) AS dst_port_entropy, (NOT {DST_IN})::int::double AS is_external_dst,
  hour(make_timestamp(start_us))::double AS time_of_day_hour, CASE protocol WHEN 'TCP' THEN 1 WHEN 'UDP' THEN 2 ELSE 0 END::double AS protocol_encoded,
- floor(rate) AS flow_bytes_per_s FROM (SELECT *, packets_recv/greatest(packets_sent,1) AS down, (bytes_sent+bytes_recv)/sec AS rate FROM s) JOIN e USING (src_ip)""")
+ floor(rate) AS flow_bytes_per_s, round((packets_sent+packets_recv)/sec,4) AS flow_packets_per_s, round(bytes_sent/greatest(packets_sent,1),9) AS fwd_pkt_len_mean,
+ round(bytes_recv/greatest(packets_recv,1),9) AS bwd_pkt_len_mean, round((bytes_sent+bytes_recv)/greatest(packets_sent+packets_recv,1),9) AS pkt_size_avg,
+ round(fwd_iat_mean,4) AS fwd_iat_mean FROM (SELECT *, packets_recv/greatest(packets_sent,1) AS down, (bytes_sent+bytes_recv)/sec AS rate FROM s) JOIN e USING (src_ip)""")
 def _(t):
     out = FT.compact_features(t.wide.flows, stored(FT.port_entropy(t.flows), "entropy"))
-    digits4 = ["dst_port", "duration_ms_log", "fwd_packets", "bwd_packets", "fwd_bytes_log", "bwd_bytes_log", "down_up_ratio",
-               "iat_mean", "iat_std", "iat_max", "dst_port_entropy", "is_external_dst", "time_of_day_hour", "protocol_encoded"]
-    return out.select("flow_id", *_rounded(digits4), F.floor("flow_bytes_per_s").cast("double").alias("flow_bytes_per_s"))
+    return out.select("flow_id", *_compact_rounded())
+
+
+def _compact_rounded() -> list:
+    """The 20 features to four digits, mean sizes to nine and byte rates to whole bytes: there the fourth digit is often a tie."""
+    digits = dict.fromkeys(["fwd_pkt_len_mean", "bwd_pkt_len_mean", "pkt_size_avg"], 9)
+    whole = F.when(FT.finite(c("flow_bytes_per_s")).isNotNull(), F.floor("flow_bytes_per_s").cast("double")).alias("flow_bytes_per_s")
+    return [whole if n == "flow_bytes_per_s" else F.round(n, digits.get(n, 4)).alias(n) for n in K.COMPACT_FEATURES]
 
 
 def dataset(t):
@@ -59,12 +66,16 @@ def dataset(t):
 
 @query("ml_02_compact_features_from_dataset", """
 SELECT (cast(l_orderkey AS bigint)*8+l_linenumber)*1000000 + (l_partkey % 1000)*1000 + cast(floor(l_extendedprice*100+0.5) AS bigint) % 1000 AS flow_id,
- (l_partkey % 1000)::double AS dst_port, round(ln(1+greatest(l_quantity*1000*b,0)/1000),4) AS duration_ms_log, l_linenumber::double AS bwd_packets,
- round(greatest(l_discount*1e6-1000,0)/1e6,4) AS iat_mean, 12.0::double AS time_of_day_hour, 1.0::double AS protocol_encoded, 0.0::double AS is_external_dst
+ (l_partkey % 1000)::double AS dst_port, round(ln(1+greatest(l_quantity*1000*b,0)/1000),4) AS duration_ms_log, l_quantity::double AS fwd_packets, l_linenumber::double AS bwd_packets,
+ round(ln(1+l_extendedprice*b),4) AS fwd_bytes_log, round(ln(1+l_extendedprice*l_discount),4) AS bwd_bytes_log,
+ CASE WHEN l_linenumber<>7 THEN floor((l_extendedprice/l_quantity)::double) END AS flow_bytes_per_s, round((l_quantity/10)::double,4) AS flow_packets_per_s,
+ round((l_extendedprice*b/greatest(l_quantity,1))::double,9) AS fwd_pkt_len_mean, round((l_extendedprice*l_discount/greatest(l_linenumber,1))::double,9) AS bwd_pkt_len_mean,
+ round(((l_extendedprice*b+l_extendedprice*l_discount)/greatest(l_quantity+l_linenumber,1))::double,9) AS pkt_size_avg, round((l_linenumber/greatest(l_quantity,1))::double,4) AS down_up_ratio,
+ round(greatest(l_discount*1e6-1000,0)/1e6,4) AS iat_mean, round(l_tax*1e6/1e6,4)::double AS iat_std, round(l_discount*2e6/1e6,4)::double AS iat_max, round(l_tax*5e5/1e6,4)::double AS fwd_iat_mean,
+ 0.0::double AS dst_port_entropy, 12.0::double AS time_of_day_hour, 1.0::double AS protocol_encoded, 0.0::double AS is_external_dst
 FROM (SELECT *, CASE WHEN l_suppkey % 5 = 0 THEN 3.0 ELSE 1.0 END::double AS b FROM lineitem)""")
 def _(t):
-    out = FT.compact_features_from_dataset(dataset(t), "row_id")
-    return out.select("flow_id", *_rounded(["dst_port", "duration_ms_log", "bwd_packets", "iat_mean", "time_of_day_hour", "protocol_encoded", "is_external_dst"]))
+    return FT.compact_features_from_dataset(dataset(t), "row_id").select("flow_id", *_compact_rounded())
 
 
 def _all_features(given: dict[str, str], rest: str) -> str:

@@ -67,7 +67,7 @@ def matches(text: Column, pattern: str, here: Column) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; none where ``here`` is false.
 
     The pieces between the matches give the positions: one fold over sums of LEVEL matches each, and one
-    short fold inside each of them.
+    short fold inside each of them. Only texts with a match get there, so the sequence never runs backwards.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -81,7 +81,7 @@ def matches(text: Column, pattern: str, here: Column) -> Column:
             start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("done"))
 
     empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    groups = F.transform(F.sequence(F.lit(0), F.expr("0") + F.ceil(F.size(pairs) / LEVEL).cast("int") - 1),
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / LEVEL).cast("int") - 1),
                          lambda g: F.slice(pairs, g * LEVEL + 1, F.lit(LEVEL)))
 
     def chain(state, group):

@@ -28,8 +28,11 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and hash of the base spans, and all spans."""
     from flowloom.llm.pii import KINDS, detect, written
 
+    def count_of(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
     found = detect(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 

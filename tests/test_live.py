@@ -184,7 +184,7 @@ def test_alert_filters_and_patches(spark):
     log = spark.createDataFrame([("f", 1, "medium", None), ("f", 2, "high", '{"a":1}'), ("f", 3, None, None)], "finding_id string, v int, severity string, enhanced string")
     assert tuple(A.patched(log, ["finding_id"], "v", ["severity", "enhanced"]).first()) == ("f", "high", '{"a":1}')
     body = json.loads(A.push_payloads(al, ["high"], ["suricata"]).first().payload)
-    assert body["content"] == "**HIGH** — Suricata: x" and body["connection"] == "10.0.0.1:5 → 45.1.1.1:443 (TCP)"
+    assert body["content"] == "**HIGH** — Rule matched: x" and body["connection"] == "10.0.0.1:5 → 45.1.1.1:443 (TCP)"
     assert RP.expired(al, 1, "ts_us", "id").first().id == "1" and RP.expired(al, 5, "ts_us", "id").count() == 0
 
 

@@ -97,7 +97,9 @@ def test_workflow(spark):
     assert best.recall == 1.0 and best.within_cap and out["sweep"].count() == 25
     m = out["confusion"].first()
     assert m.tp + m.fn == 40 and m.samples == 4000 and m.recall == 1.0
-    assert {r.label for r in out["by_label"].collect()} == {"BENIGN"}  # 40 attacks are fewer than 50
+    assert {r.label for r in out["by_label"].collect()} == {"BENIGN", "DDoS", "all_attacks"}
+    few = E.per_label(out["scored"], min_rows=50)
+    assert {r.label for r in few.collect()} == {"BENIGN"}  # 40 attacks are fewer than 50
     assert model.d_min < 0 < model.d_max
 
 

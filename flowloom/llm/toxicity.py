@@ -3,7 +3,7 @@
 Features of a text are its words and the 3- to 6-grams of bytes inside each word framed by spaces, hashed to
 2**17 rows of an embedding table. A text's vector is the mean of its features' rows; a softmax over two
 classes reads it. Rows and softmax are trained together by gradient descent with per-parameter scaling, on
-a sample of at most ``PER_CLASS`` labelled texts a class, the ones with the smallest hashes. Unseen
+a sample of at most ``PER_CLASS`` labelled texts a class, the ones whose ids have the smallest hashes. Unseen
 misspellings share most byte n-grams with the words they come from.
 
 A long text can be harmless but for a passage, so texts are read in half-overlapping windows of ``WINDOW``
@@ -15,9 +15,9 @@ words nor very short texts make one word's chance weight count.
 Scoring reads one number per feature, the difference of the two classes' logits, so it is one pass of table
 look-ups. The model, 2**17 numbers, is what tasks receive.
 
-Edge cases: null and empty texts score like a text without features, by the bias alone, at most 0.5. Labels
-null or other than 0 and 1 teach nothing; repeated labels and repeated documents count as often as they
-come, and each document row comes back once. Without labels of both classes all scores are 0. Columns other
+Edge cases: null and empty texts, and texts without any learned feature, score by the fixed bias, 0.12. Labels
+null or other than 0 and 1 teach nothing; repeated labels and documents teach once, and each document row
+comes back. Without labels of both classes all scores are 0. Columns other
 than id and text are never read for a score.
 """
 
@@ -41,6 +41,8 @@ LEAST = 200
 FIRST_EPOCHS = 3
 ROUNDS = 40
 RATE = 0.3
+#: Logit of a text without features that were learned: harmless.
+BIAS = -2.0
 #: How much a missed toxic text costs against a wrongly marked harmless one.
 TOXIC_COST = 4.0
 
@@ -172,7 +174,7 @@ class _Sample:
 
 
 def _descend(state: dict, bags, labels: np.ndarray, epochs: int, rng: np.random.Generator, batch: int = 64) -> None:
-    """Trains embedding rows, class vectors and bias on the bags, in place."""
+    """Trains embedding rows and class vectors on the bags, in place."""
     feats, shares, bounds = bags
     table, scale, output, bias = state["table"], state["scale"], state["output"], state["bias"]
     balance = np.array([cost / max(1, (labels == c).sum()) for c, cost in ((0, 1.0), (1, TOXIC_COST))])
@@ -194,11 +196,9 @@ def _descend(state: dict, bags, labels: np.ndarray, epochs: int, rng: np.random.
             chance[np.arange(len(part)), labels[part]] -= 1.0
             error = chance * balance[labels[part]][:, None]
             back = (error @ output.T).astype(np.float32)
-            slope, slope_bias = mean.T @ error / len(part), error.mean(axis=0)
+            slope = mean.T @ error / len(part)
             state["output_scale"] += slope**2
-            state["bias_scale"] += slope_bias**2
             output -= RATE * slope / np.sqrt(state["output_scale"])
-            bias -= RATE * slope_bias / np.sqrt(state["bias_scale"])
             order = np.argsort(feature, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(feature[order]) > 0])
             step = np.add.reduceat((back[owner] * share[:, None])[order], first, axis=0)
@@ -221,8 +221,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Toxicity:
     state = {
         "table": rng.normal(0, 0.1, (1 << TABLE_LOG2, DIMENSIONS)).astype(np.float32),
         "scale": np.full(1 << TABLE_LOG2, 1e-8, np.float32),
-        "output": rng.normal(0, 1.0, (DIMENSIONS, 2)), "bias": np.zeros(2),
-        "output_scale": np.full((DIMENSIONS, 2), 1.0), "bias_scale": np.full(2, 1.0),
+        "output": rng.normal(0, 1.0, (DIMENSIONS, 2)), "bias": np.array([-BIAS / 2, BIAS / 2]),
+        "output_scale": np.full((DIMENSIONS, 2), 1.0),
     }
     sample = _Sample(texts)
     _descend(state, sample.bags(sample.whole()), labels, FIRST_EPOCHS, rng)
@@ -232,16 +232,21 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Toxicity:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_class`` texts of each class, those with the smallest hashes of id and text."""
-    marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-    both = docs.where(F.col("text").isNotNull()).join(marked, F.col("doc_id") == F.col("__id")).select(
-        F.xxhash64("doc_id", "text").alias("rank"), F.col("text").cast("binary").alias("text"), F.col("__toxic").alias("toxic"))
-    texts, classes = [], []
-    for toxic in (0, 1):
-        picked = both.where(F.col("toxic") == toxic).orderBy("rank").limit(per_class).select("text").toArrow()
-        texts += picked["text"].to_pylist()
-        classes += [toxic] * picked.num_rows
-    return texts, np.array(classes)
+    """At most ``per_class`` texts of each class, those with the smallest hashes of their ids.
+
+    The ids are chosen without texts; the chosen ones, 2 * ``per_class`` at most, then pick the texts in one scan.
+    """
+    marked = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).distinct()
+    ids = docs.where(F.col("text").isNotNull()).select("doc_id").distinct()
+    known = ids.join(marked, F.col("doc_id") == F.col("__id")).withColumn("rank", F.xxhash64("doc_id"))
+    chosen = [r for toxic in (0, 1) for r in known.where(F.col("__toxic") == toxic).orderBy("rank", "doc_id").limit(per_class).select("doc_id", "__toxic").collect()]
+    if not chosen:
+        return [], np.zeros(0, np.int64)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "__id bigint, __toxic int"))
+    held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("__doc"), "text").join(wanted, F.col("__doc") == F.col("__id"))
+    # of repeated documents one is enough
+    found = held.groupBy("__id", "__toxic").agg(F.min(F.col("text").cast("binary")).alias("text")).orderBy("__id", "__toxic").toArrow()
+    return found["text"].to_pylist(), found["__toxic"].to_numpy().astype(np.int64)
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:

@@ -67,6 +67,27 @@ def test_leaks_are_found_as_brute_force_finds_them(rows):
     assert not {p for p in pairs if p not in planted and p != (502, 92)}
 
 
+def test_short_items_word_by_word_in_prose_of_the_same_words(rows):
+    rng = random.Random(11)
+    items = [(i, " ".join(_words(rng, 3 + i % 13))) for i in range(150)] + [(i, " ".join(_words(rng, 40))) for i in range(150, 250)]
+    items += [(300, items[0][1]), (301, items[0][1] + " and more"), (302, "w1")]
+    docs = []
+    for d in range(450):
+        words = _words(rng, 90)
+        at = rng.randint(0, 90)
+        words[at:at] = items[d % 150][1].split()
+        docs.append((d, " ".join(words), 1, "x"))
+    docs.append((500, " ".join(items[i][1] for i in range(60)), 1, "x"))
+    docs.append((501, "w399 " * 30 + items[7][1] + " w399" * 30, 1, "x"))
+    docs += [(502, items[9][1].rsplit(" ", 1)[0], 1, "x"), (503, items[9][1].rsplit(" ", 1)[1], 1, "x")]  # no item across documents
+    found = decontaminate.leaks(rows(docs, DOCS), rows(items, "item_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.item_id): r for r in found}
+    held = {(d, k) for d, text, *_ in docs for k, item in items if f" {item} " in f" {text} "}
+    assert len(held) > 500 and held <= set(pairs)
+    assert all(pairs[p].matched_words == pairs[p].item_words for p in held)
+    assert (502, 9) not in held and (503, 9) not in pairs
+
+
 def test_small_benchmark_blocks_change_nothing(rows, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(_words(rng, 30))) for i in range(12)]

@@ -88,6 +88,30 @@ def test_short_items_word_by_word_in_prose_of_the_same_words(rows):
     assert (502, 9) not in held and (503, 9) not in pairs
 
 
+def test_a_sampled_fit_weighs_the_corpus_as_the_full_one(rows, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    items = [(i, " ".join(_words(rng, rng.randint(8, 40)))) for i in range(200)]
+    docs = [(d, " ".join(_words(rng, 400) + items[d % 200][1].split()), 1, "x") for d in range(300)]
+    docs += [(d, " ".join(f"w{i}" for i in range(300, 340)), 1, "x") for d in range(300, 1500)]  # one text many times
+    held = decontaminate.encode_items([i for i, _ in items], pa.array([t for _, t in items]))
+    encoded = decontaminate.encode(rows(docs, DOCS), held, "doc_id", "text").persist()
+    batch = encoded.toArrow().combine_chunks().to_batches()[0]
+    matrix = np.concatenate([m for _, _, m, _ in decontaminate._passages(batch, len(held.vocabulary))])
+
+    def fitted():
+        latent = decontaminate.latent_space(encoded, held)
+        found = decontaminate.search(encoded, held, latent).collect()
+        return float((decontaminate._project(matrix, latent.basis) ** 2).sum()), {(r.doc_id, r.item_id) for r in found}
+
+    full, pairs = fitted()
+    assert pairs >= {(d, d % 200) for d in range(300)}
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", len(matrix) // 10)
+    sampled, again = fitted()
+    assert again == pairs and sampled > 0.95 * full
+
+
 def test_small_benchmark_blocks_change_nothing(rows, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(_words(rng, 30))) for i in range(12)]

@@ -11,16 +11,22 @@ from flowloom.session import stored
 
 #: Texts with a smaller share of known letter sequences than this are in no language that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Texts of fewer letter sequences say too little to be rejected by their share.
+LEAST_GRAMS = 20
 SOURCE_POWER = 0.5
 SHARDS = 8
 SEED = 20240607
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; null texts, texts without letters and unknown languages go."""
+    """Documents in a learned language stay; null texts, texts without letters and unknown languages go.
+
+    A low share rejects no text too short to tell, and none labelled with a language of too few rows to learn.
+    """
     model = langid.learn(langid.teaching_rows(docs))
     judged = langid.predict(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    unsure = (F.col(langid.GRAMS) < LEAST_GRAMS) | F.coalesce(F.col("lang").isin(*model.thin), F.lit(False))
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (unsure | (F.col("score") >= LEAST_LANGUAGE_SCORE))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

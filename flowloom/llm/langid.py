@@ -33,6 +33,7 @@ MIN_COUNT = 2
 SHARE = 0.25
 MAX_ROWS_LOG2 = 22
 UNKNOWN = "und"
+GRAMS = "__grams"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = 32
@@ -41,11 +42,15 @@ _PLAIN[65:91] = _PLAIN[97:123] = np.arange(97, 123)
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """languages: by training size; rows: (words, positions) language bits; false_positive: per language."""
+    """languages: by training size; rows: (words, positions) language bits; false_positive: per language.
+
+    thin: languages of which grams seen often enough make up less than half of the training text.
+    """
 
     languages: list[str]
     rows: np.ndarray
     false_positive: np.ndarray
+    thin: tuple[str, ...] = ()
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +118,10 @@ def learn(labelled: DataFrame, share: float = SHARE, min_count: int = MIN_COUNT)
     import pyarrow as pa
 
     counts = stored(count_grams(labelled), "grams")
-    totals = sorted(((r["total"], r["lang"]) for r in counts.groupBy("lang").agg(F.sum("count").alias("total")).collect()),
-                    key=lambda r: (-r[0], r[1]))
+    sums = counts.groupBy("lang").agg(F.sum("count").alias("total"), F.sum(F.when(F.col("count") >= min_count, F.col("count")).otherwise(0)).alias("often"))
+    held = sums.collect()
+    totals = sorted(((r["total"], r["lang"]) for r in held), key=lambda r: (-r[0], r[1]))
+    thin = tuple(sorted(r["lang"] for r in held if 2 * r["often"] < r["total"]))
     languages = [lang for _, lang in totals]
     if not languages:
         return LanguageFilter([], np.zeros((1, 1), np.uint64), np.zeros(0))
@@ -139,11 +146,11 @@ def learn(labelled: DataFrame, share: float = SHARE, min_count: int = MIN_COUNT)
     rows = np.zeros((-(-len(languages) // 64), 1 << log2), np.uint64)
     rows[held["word"].to_numpy(), held["at"].to_numpy()] = held["mask"].to_numpy().astype(np.int64).view(np.uint64)
     fill = np.array([((rows[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return LanguageFilter(languages, rows, fill ** HASHES)
+    return LanguageFilter(languages, rows, fill ** HASHES, thin)
 
 
-def judge(code: np.ndarray, text: np.ndarray, n: int, model: LanguageFilter) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the number of the language and its corrected share of the text's grams."""
+def judge(code: np.ndarray, text: np.ndarray, n: int, model: LanguageFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the number of the language, its corrected share of the text's grams, and their number."""
     log2 = int(model.rows.shape[1]).bit_length() - 1
     total = np.bincount(text, minlength=n)
     best, choice = np.zeros(n), np.zeros(n, np.int64)
@@ -157,15 +164,15 @@ def judge(code: np.ndarray, text: np.ndarray, n: int, model: LanguageFilter) ->
             kept = np.clip((hits - total * fp) / (1.0 - fp) if fp < 1.0 else hits * 0.0, 0.0, None)
             better = kept > best
             best[better], choice[better] = kept[better], lang
-    return choice, np.clip(best / np.maximum(total, 1), 0.0, 1.0)
+    return choice, np.clip(best / np.maximum(total, 1), 0.0, 1.0), total
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; no other column is read than the text."""
+    """``docs`` with lang_pred, score and the number of grams they rest on; no other column is read than the text."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", GRAMS)]
     width = len(own)
 
     def run(batches):
@@ -173,21 +180,21 @@ def predict(docs: DataFrame, model: LanguageFilter, text_column: str = "text") -
         names = np.array([*known.languages, UNKNOWN], dtype=object)
         for batch in batches:
             data, offsets = bytewords.text_buffers(batch.column(width))
-            choice, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            choice, score, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for a, b in bytewords.chunks(offsets) if known.languages else ():
                 code, text = grams(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                choice[a:b], score[a:b] = judge(code, text, b - a, known)
+                choice[a:b], score[a:b], held[a:b] = judge(code, text, b - a, known)
             letters = batch.column(width + 1).to_numpy(zero_copy_only=False)
             choice[~letters], score[~letters] = len(known.languages), 0.0
             if not known.languages:
                 choice[:] = 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(width)] + [pa.array(names[choice], pa.string()), pa.array(score)],
-                [*own, "lang_pred", "score"])
+                [batch.column(i) for i in range(width)] + [pa.array(names[choice], pa.string()), pa.array(score), pa.array(held)],
+                [*own, "lang_pred", "score", GRAMS])
 
     text = text_of(text_column)
     given = docs.select(*[F.col(f"`{c}`") for c in own], F.lower(text).alias("__lowered"), text.rlike(r"\p{L}").alias("__letters"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double").add(GRAMS, "long")
     return arrow_map(given, run, schema)
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -165,6 +166,21 @@ def test_languages_of_held_out_texts(rows):
     assert by[403].lang_pred in LANGS and by[404].lang_pred in LANGS and all(0 <= r.score <= 1 for r in found)
 
 
+def test_too_little_evidence_rejects_no_document(spark, rows):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    data = [(i, _sentence(rng, lang), lang) for i in range(300) for lang in [rng.choice(["aa", "bb"])]]
+    taught = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    data += [(400, "A.", "aa"), (401, "xq", None), (402, "ABCD", "bb"),
+             (taught, "жизнь прекрасна когда солнце светит над морем", "dd"),  # its grams occur once
+             (403, "wuxi qepo jifa zuhe wemi xuga pofi gehu qiwa fuxe", None), (404, "123", "aa"), (405, None, "aa")]
+    docs = rows(data, "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, *_ in data} - {403, 404, 405}
+
+
 def test_more_languages_than_one_word_holds(rows):
     rng = random.Random(3)
     stems = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(130)]

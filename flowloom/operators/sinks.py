@@ -13,8 +13,16 @@ def persist_analysis(path: str, analysis_id: str, **tables: DataFrame) -> None:
     Ids are deterministic and only the analysis' own partition is replaced, so a repeated run leaves
     the same rows.
     """
+    persist_analyses(path, **{name: df.withColumn("analysis_id", F.lit(analysis_id)) for name, df in tables.items()})
+
+
+def persist_analyses(path: str, **tables: DataFrame) -> None:
+    """Write tables that carry their ``analysis_id``, all analyses in one partitioned write each.
+
+    Only the partitions of analyses that have rows are replaced.
+    """
     for name, df in tables.items():
-        (df.withColumn("analysis_id", F.lit(analysis_id)).write.mode("overwrite")
+        (df.write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(f"{path}/{name}"))
 
 

@@ -302,6 +302,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).first().src_ip == "x"
 
 
+def test_persisted_flows_of_all_analyses(spark):
+    from flowloom.plans.adapter_sql import with_views
+    from flowloom.plans.adapters import Tables
+    from flowloom.plans.catalog.live import persisted
+    from tests.oracle import compare, connect, duck_rows, spark_rows
+
+    sf = "/root/testdata/sf0.001"
+    sql = with_views("SELECT analysis_id, count(*) AS flows, sum(bytes_sent)::bigint AS bytes FROM x_flows GROUP BY 1")
+    found = persisted(Tables(spark, sf)).persist()
+    assert found.count() > 2
+    assert compare(spark_rows(found), duck_rows(connect(sf), sql)) is None
+
+
 def test_lookup_plugin(spark):
     import pandas as pd
     from flowloom.operators.intel import enrich_with, upsert_observables

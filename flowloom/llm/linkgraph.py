@@ -8,7 +8,7 @@ without a rule; else allow.
 
 Edges are distinct host pairs with link counts, made by aggregation before anything is joined. Each round
 is two equi-joins and one aggregation, and its ranks are a table in the shared folder. Rounds end when ranks
-have settled, or after ``rounds``; a busy host is a skewed join side that Spark splits.
+have settled; a busy host is a skewed join side that Spark splits.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, fit no rule, are no seeds and are
 allowed. Null pages have no links. Links are absolute or start with ``//``; others stay on their host and
@@ -17,14 +17,17 @@ carry nothing. Repeated rows count as often as they come and each come back. Oth
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.session import stored
 
 DAMPING = 0.85
-ROUNDS = 30
 SETTLED = 1e-6
+#: A round moves at most ``DAMPING`` of what the one before moved, so after so many ranks have settled.
+ROUNDS = math.ceil(math.log(SETTLED) / math.log(DAMPING)) + 1
 THRESHOLD = 0.5
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

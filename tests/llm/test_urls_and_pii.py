@@ -118,3 +118,13 @@ def test_pii_without_rows_and_in_builtin_functions_only(rows):
     assert "Python" not in plan and "Arrow" not in plan
     one = pii.detect(rows([(None, None), (1, ""), (1, "")], "doc_id bigint, text string")).select(F.sha2(pii.written("base").cast("binary"), 256).alias("h"))
     assert {r.h for r in one.collect()} == {brute.sha("")} and one.count() == 3
+
+
+def test_distrust_reaches_hosts_many_links_away(rows):
+    chain = [f"h{i}.test" for i in range(32)] + ["bad.blocked"]
+    edges = rows([(a, b, 1.0) for a, b in zip(chain[:-1], chain[1:])], "source string, target string, links double")
+    seeds = rows([("bad.blocked", 0, 10000), ("h0.test", 0, 0)], "host string, trusted bigint, distrusted bigint")
+    found = {r.host: r.distrust for r in linkgraph.spread(edges, seeds).collect()}
+    for far, host in enumerate(reversed(chain)):
+        assert abs(found[host] - 10000 * linkgraph.DAMPING ** far) < 1e-3
+    assert linkgraph.DAMPING ** linkgraph.ROUNDS <= linkgraph.SETTLED

@@ -102,6 +102,32 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, tempered(docs, 0.5))
 
 
+def op11_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids under the multilingual byte-level vocabulary, and the hash of what they decode to."""
+    from public_tokenizers import path
+
+    from flowloom.llm.bytebpe import Vocabulary, decode, encode, read_ranks
+
+    words = Vocabulary(read_ranks(path("byte_bpe_multi_50k.tiktoken")))
+    back = decode(encode(table(spark, sf_dir, "documents"), words), words)
+    return back.select("doc_id", F.floor(F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_run_length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source stands from the other sources of its language, and its most typical terms."""
+    from flowloom.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the embeddings after three rounds, with distances, inertia and centroid hashes."""
+    from flowloom.llm.centroids import cluster, described
+
+    return described(*cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_trust": op1_link_trust,
     "op2_weak_supervision": op2_weak_supervision,
@@ -113,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_subword_toxicity": op8_subword_toxicity,
     "op9_language_filters": op9_language_filters,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_two_tier_bpe": op11_two_tier_bpe,
+    "op12_run_length_audit": op12_run_length_audit,
+    "op13_incremental_centroids": op13_incremental_centroids,
 }
 
 #: The mixture again: the terms of each source's distribution from logarithms instead of a recurrence.
@@ -130,4 +159,51 @@ copies AS (SELECT *, unnest(range(0, len(list_filter(cumulated, lambda c: c <= u
 SELECT doc_id, text, lang, source, n_chars, part, copy, md5('12:' || key || ':' || part || ':' || copy) AS shuffle_key FROM copies
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_poisson_mix": MIX_SQL}
+#: The audit over all counts of all terms, without runs.
+AUDIT_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+counted AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM groups) LEFT JOIN kept USING (lang) GROUP BY 1),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM cells JOIN v USING (lang)),
+wholes AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM cells GROUP BY ALL),
+whole AS (SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q FROM wholes JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT s.lang, s.source, 'term', s.term, (((p - q) * (p - q)) // (p + q))::BIGINT
+  FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE s.n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM every)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every distance anew in every round."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY c LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT row, min({{'d': d, 'c': c}}) AS best FROM (SELECT row, c,
+  list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i])))::BIGINT AS d FROM kept, c{r}) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r} JOIN kept USING (row)) GROUP BY ALL),
+n{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} USING (c))""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN (SELECT c, v FROM c{rounds}) f ON f.c = best.c"""
+
+
+ORACLE_SQL: dict[str, str] = {"op10_poisson_mix": MIX_SQL, "op12_run_length_audit": AUDIT_SQL, "op13_incremental_centroids": _centroid_sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import constants as K
@@ -34,34 +34,51 @@ def _v4_value(ip: Column) -> Column:
     return value
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ip_number(ip: Column) -> Column:
     """IPv4 text to BIGINT, null for anything else."""
     return F.when(ip.rlike(_V4), _v4_value(ip))
 
 
-def ip6_digits(ip: Column) -> Column:
-    """IPv6 text to its 32 hexadecimal digits, null for anything else; a scope after ``%`` is left out."""
-    base = F.lower(F.substring_index(ip, "%", 1))
+def _base(text: Column) -> Column:
+    """IPv6 text in lower case and without its scope; other text as it is."""
+    return F.when(text.contains(":"), F.lower(F.substring_index(text, "%", 1))).otherwise(text)
+
+
+def _digits(text: Column, base: Column, number: Column) -> Column:
+    """The 32 hexadecimal digits of IPv6 text; ``number`` is that of an IPv4 address in its last group."""
     last = F.substring_index(base, ":", -1)
-    number = ip_number(last)
     tail = F.concat(F.lpad(F.hex(F.shiftright(number, 16)), 4, "0"), F.lit(":"), F.lpad(F.hex(number.bitwiseAND(0xFFFF)), 4, "0"))
     plain = F.when(~base.contains("."), base).otherwise(F.lower(F.concat(F.substring(base, F.lit(1), F.length(base) - F.length(last)), tail)))
+    none = F.array().cast("array<string>")
 
-    def groups(text: Column) -> Column:
-        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+    def groups(half: Column) -> Column:
+        return F.when(half == "", none).otherwise(F.split(half, ":"))
 
     def joined(halves: Column) -> Column:
         head = groups(F.element_at(halves, 1))
-        rest = F.when(F.size(halves) > 1, groups(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
+        rest = F.when(F.size(halves) > 1, groups(F.element_at(halves, -1))).otherwise(none)
         short = F.lit(8) - F.size(head) - F.size(rest)
         right = F.when(F.size(halves) == 2, short >= 1).otherwise((F.size(halves) == 1) & (short == 0))
         every = F.concat(head, F.array_repeat(F.lit("0"), short), rest)
-        return F.when(right & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
-                      F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    scope = F.substring(ip, F.length(F.substring_index(ip, "%", 1)) + 1, F.length(ip))
-    read = F.element_at(F.transform(F.array(F.split(plain, "::")), joined), 1)
-    return F.when(ip.contains(":") & ((scope == "") | scope.rlike("^%[^%]+$")), read)
+        def is_group(g: Column) -> Column:
+            return F.length(g).between(1, 4) & (F.translate(g, "0123456789abcdef", "") == "")
+
+        return F.when(right & F.forall(every, is_group), F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    scope = F.substring(text, F.length(F.substring_index(text, "%", 1)) + 1, F.length(text))
+    named = (F.length(scope) > 1) & ~F.substring(scope, F.lit(2), F.length(scope)).contains("%")
+    return F.when(text.contains(":") & ((scope == "") | named), bound(F.split(plain, "::"), joined))
+
+
+def ip6_digits(ip: Column) -> Column:
+    """IPv6 text to its 32 hexadecimal digits, null for anything else; a scope after ``%`` is left out."""
+    return bound(_base(ip), lambda base: bound(ip_number(F.substring_index(base, ":", -1)), lambda n: _digits(ip, base, n)))
 
 
 def _within(value: Column, networks: list[str]) -> Column:
@@ -76,13 +93,6 @@ def _within(value: Column, networks: list[str]) -> Column:
     return hit
 
 
-def _by_version(text: Column, v4, v6, other: Column) -> Column:
-    """``v4`` of an IPv4 number, ``v6`` of IPv6 digits, ``other`` for text that is neither; parsed once per row."""
-    number = ip_number(text)
-    digits = F.element_at(F.transform(F.array(ip6_digits(text)), lambda d: F.when(d.isNull(), other).otherwise(v6(d))), 1)
-    return F.when(number.isNotNull(), v4(number)).when(text.contains(":"), digits).otherwise(other)
-
-
 def _v4_private(n: Column) -> Column:
     return _within(n, _V4_PRIVATE) & ~_within(n, _V4_PUBLIC_WITHIN)
 
@@ -90,11 +100,68 @@ def _v4_private(n: Column) -> Column:
 def _v6_private(d: Column) -> Column:
     mapped = F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint")
     own = _within(d, _V6_PRIVATE) & ~_within(d, _V6_PUBLIC_WITHIN)
-    return F.when(F.substring(d, 1, 24) == _V6_MAPPED, _v4_private(mapped)).otherwise(own)
+    return F.when(F.substring(d, 1, 24) == _V6_MAPPED, bound(mapped, _v4_private)).otherwise(own)
+
+
+# bits of an address class
+V4, V6, EMPTY, PRIVATE, INTERNAL, LOOPBACK, LINK_LOCAL, MULTICAST = (1 << i for i in range(8))
+
+
+def _bits(own: int, private: Column, others: dict[int, Column], also_internal: Column) -> Column:
+    out = F.lit(own)
+    for bit, holds in others.items():
+        out = out + F.when(holds, bit).otherwise(0)
+    return out + F.when(private, PRIVATE | INTERNAL).when(also_internal, INTERNAL).otherwise(0)
+
+
+def _v4_class(n: Column) -> Column:
+    multicast = _within(n, _V4_MULTICAST)
+    return _bits(V4, _v4_private(n), {
+        LOOPBACK: _within(n, _V4_LOOPBACK), LINK_LOCAL: _within(n, _V4_LINK_LOCAL), MULTICAST: multicast}, multicast)
 
 
-def _v6_internal(d: Column) -> Column:
-    return ~_within(d, [*_V6_GLOBAL, *_V6_SITE]) | _v6_private(d)
+def _v6_class(d: Column) -> Column:
+    return _bits(V6, _v6_private(d), {
+        LOOPBACK: _within(d, ["::1/128"]), LINK_LOCAL: _within(d, _V6_LINK_LOCAL), MULTICAST: _within(d, _V6_MULTICAST)},
+        ~_within(d, [*_V6_GLOBAL, *_V6_SITE]))
+
+
+def _text_class(text: Column) -> Column:
+    """Class of text as it stands: 0 for what is no address. One regular expression, evaluated once."""
+    def known(base: Column, number: Column) -> Column:
+        v4 = F.when(number.isNotNull(), bound(number, _v4_class)).otherwise(0)
+        v6 = bound(_digits(text, base, number), lambda d: F.when(d.isNotNull(), _v6_class(d)).otherwise(0))
+        return F.when(text.contains(":"), v6).otherwise(v4)
+
+    return F.coalesce(bound(_base(text), lambda base: bound(
+        ip_number(F.substring_index(base, ":", -1)), lambda number: known(base, number))), F.lit(0))
+
+
+def address_class(ip: Column) -> Column:
+    """All that the tests below ask about an address, as bits of one integer.
+
+    Empty counts as internal, unparsable text has no bits and so counts as external. Tables that many
+    tests read keep it as a column, see :func:`with_address_classes`.
+    """
+    return F.when(ip.isNull() | (F.trim(ip) == ""), EMPTY | INTERNAL).otherwise(bound(F.trim(ip), _text_class))
+
+
+def class_column(name: str) -> str:
+    return f"{name}_class"
+
+
+def with_address_classes(df: DataFrame, *names: str) -> DataFrame:
+    """Add the class of each named address column, for tables that several rules read."""
+    return df.withColumns({class_column(n): address_class(F.col(n)) for n in names})
+
+
+def class_of(df: DataFrame, name: str) -> Column:
+    """The class of an address column: the kept one where the table has it."""
+    return F.col(class_column(name)) if class_column(name) in df.columns else address_class(F.col(name))
+
+
+def has(mask: Column, *bits: int) -> Column:
+    return mask.bitwiseAND(sum(bits)) != 0
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -102,15 +169,12 @@ def is_ipv4(ip: Column) -> Column:
 
 
 def is_ip(value: Column) -> Column:
-    yes = F.lit(True)
-    return F.coalesce(_by_version(value, lambda n: yes, lambda d: yes, F.lit(False)), F.lit(False))
+    return has(bound(value, _text_class), V4, V6)
 
 
 def is_internal_ip(ip: Column) -> Column:
     """Not public Internet. Empty counts as internal, unparsable text as external."""
-    text = F.trim(ip)
-    inside = _by_version(text, lambda n: _v4_private(n) | _within(n, _V4_MULTICAST), _v6_internal, F.lit(False))
-    return F.when(ip.isNull() | (text == ""), True).otherwise(inside)
+    return has(address_class(ip), INTERNAL)
 
 
 def is_external_ip(ip: Column) -> Column:
@@ -119,21 +183,15 @@ def is_external_ip(ip: Column) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """The report's narrower test: private ranges only; empty or unparsable text is not private."""
-    return F.coalesce(_by_version(ip, _v4_private, _v6_private, F.lit(False)), F.lit(False))
+    return has(bound(ip, _text_class), PRIVATE)
 
 
 def ip_scope(ip: Column) -> Column:
     """``none``, ``invalid``, ``loopback``, ``link_local``, ``multicast``, ``private``, ``public``."""
-    def v4(n: Column) -> Column:
-        return (F.when(_within(n, _V4_LOOPBACK), "loopback").when(_within(n, _V4_LINK_LOCAL), "link_local")
-                .when(_within(n, _V4_MULTICAST), "multicast").when(_v4_private(n), "private").otherwise("public"))
-
-    def v6(d: Column) -> Column:
-        return (F.when(_within(d, ["::1/128"]), "loopback").when(_within(d, _V6_LINK_LOCAL), "link_local")
-                .when(_within(d, _V6_MULTICAST), "multicast").when(_v6_internal(d), "private").otherwise("public"))
-
-    text = F.trim(ip)
-    return F.when(ip.isNull() | (text == ""), "none").otherwise(_by_version(text, v4, v6, F.lit("invalid")))
+    return bound(address_class(ip), lambda m: (
+        F.when(has(m, EMPTY), "none").when(m == 0, "invalid").when(has(m, LOOPBACK), "loopback")
+        .when(has(m, LINK_LOCAL), "link_local").when(has(m, MULTICAST), "multicast").when(has(m, INTERNAL), "private")
+        .otherwise("public")))
 
 
 def is_lan_destination(ip: Column) -> Column:
@@ -174,13 +232,9 @@ def packet_severity(dst: Column, port: Column, protocol: Column, info: Column) -
     keyword = F.lit(False)
     for word in K.CLASSIFY_KEYWORDS:
         keyword = keyword | text.contains(word)
-    return (
-        F.when(port.isin(*K.HIGH_RISK_PORTS), "critical")
-        .when(is_external_ip(dst) & port.isin(*K.SUSPICIOUS_PORTS), "high")
-        .when(is_external_ip(dst) & protocol.isin("TCP", "UDP"), "medium")
-        .when(keyword, "high")
-        .otherwise("info")
-    )
+    outside = F.when(port.isin(*K.SUSPICIOUS_PORTS), "high").when(protocol.isin("TCP", "UDP"), "medium")
+    return F.when(port.isin(*K.HIGH_RISK_PORTS), "critical").otherwise(F.coalesce(
+        F.when(is_external_ip(dst), outside), F.when(keyword, "high"), F.lit("info")))
 
 
 def app_layer(protocol: Column, server_port: Column, src_port: Column, dst_port: Column,

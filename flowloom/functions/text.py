@@ -67,13 +67,14 @@ def strip_port(host: Column) -> Column:
 
 
 def looks_like_domain(value: Column) -> Column:
-    from flowloom.functions.net import is_ip
+    from flowloom.functions.net import bound, is_ip
 
-    v = F.lower(F.trim(value))
-    return F.coalesce(
-        (v != "") & v.contains(".") & ~v.contains(" ") & (F.length(v) <= 253) & ~is_ip(v),
-        F.lit(False),
-    )
+    def named(v: Column) -> Column:
+        # an address holds a colon or ends in a digit; only such text is parsed
+        address = (v.contains(":") | F.right(v, F.lit(1)).between("0", "9")) & is_ip(v)
+        return (v != "") & v.contains(".") & ~v.contains(" ") & (F.length(v) <= 253) & ~address
+
+    return F.coalesce(bound(F.lower(F.trim(value)), named), F.lit(False))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

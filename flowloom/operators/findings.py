@@ -199,11 +199,13 @@ def targets(kinds: list[tuple[str, Column]], names: Column | None = None, limit:
     from flowloom.functions import net, text
 
     def entry(kind: str, value: Column) -> Column:
+        def target(v: Column, valid: Column, public: Column) -> Column:
+            return F.when(valid, F.struct(F.lit(kind).alias("kind"), v.alias("value"), public.alias("public")))
+
         v = F.trim(value)
-        valid = net.is_ip(v) if kind == "ip" else text.looks_like_domain(v)
-        public = net.is_external_ip(v) if kind == "ip" else F.lit(True)
-        return F.when(value.isNotNull() & valid, F.struct(
-            F.lit(kind).alias("kind"), v.alias("value"), public.alias("public")))
+        if kind == "domain":
+            return target(v, value.isNotNull() & text.looks_like_domain(v), F.lit(True))
+        return net.bound(net.address_class(v), lambda m: target(v, net.has(m, net.V4, net.V6), ~net.has(m, net.INTERNAL)))
 
     found = F.array(*[entry(k, v) for k, v in kinds])
     if names is not None:

@@ -92,7 +92,7 @@ def beacons(flows: DataFrame, min_connections: int = 10, max_jitter_pct: float =
     ``max_interval_s``; the service's timeline is cut into slices accordingly.
     """
     key = [*by, "src_ip", "dst_ip", "dst_port"]
-    outbound = flows.where(net.is_external_ip(F.col("dst_ip"))).select(
+    outbound = flows.where(~net.has(net.class_of(flows, "dst_ip"), net.INTERNAL)).select(
         *key, "flow_id", _start_us().alias("_us"))
     gaps = recent_gap(outbound, key, "_us", int(max_interval_s * US), "_gap", "flow_id").select(*key, "flow_id", "_gap")
     # connections without a start time have no gap but count
@@ -139,8 +139,8 @@ def dns_rate(flows: DataFrame, queries_per_minute: float = 100, by: Sequence[str
 def lateral_targets(flows: DataFrame, ports=(445, 3389, 5985), by: Sequence[str] = ()) -> DataFrame:
     """The distinct internal (source, target, port) triples on remote-service ports: a finding's targets, by src_ip."""
     return flows.where(
-        F.col("dst_port").isin(*ports) & net.is_internal_ip(F.col("src_ip"))
-        & net.is_internal_ip(F.col("dst_ip"))).select(*by, "src_ip", "dst_ip", "dst_port").distinct()
+        F.col("dst_port").isin(*ports) & net.has(net.class_of(flows, "src_ip"), net.INTERNAL)
+        & net.has(net.class_of(flows, "dst_ip"), net.INTERNAL)).select(*by, "src_ip", "dst_ip", "dst_port").distinct()
 
 
 def lateral_movement(flows: DataFrame, ports=(445, 3389, 5985), min_targets: int = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -175,7 +175,7 @@ def arp_storm(arp: DataFrame, min_replies: int = 50, window_s: float = 10, by: S
 def exfiltration(flows: DataFrame, multiplier: float = 10, by: Sequence[str] = ()) -> DataFrame:
     """Outbound volume far above the mean of all positive ones, from inside to outside."""
     means = flows.where(F.col("bytes_sent") > 0).groupBy(*by).agg(F.avg("bytes_sent").alias("_mean"))
-    outbound = flows.where(net.is_internal_ip(F.col("src_ip")) & net.is_external_ip(F.col("dst_ip")))
+    outbound = flows.where(net.has(net.class_of(flows, "src_ip"), net.INTERNAL) & ~net.has(net.class_of(flows, "dst_ip"), net.INTERNAL))
     # without ``by`` the means are one row by construction
     met = outbound.join(means, list(by)) if by else outbound.crossJoin(F.broadcast(means))
     return (
@@ -208,13 +208,13 @@ def generated_domains(flows: DataFrame, min_cv_ratio: float = 3, min_bigram_entr
              F.round("bigram_entropy", 2).alias("bigram_entropy"))
 
 
-def _tls_without_name() -> Column:
+def _tls_without_name(flows: DataFrame) -> Column:
     return (F.col("application_layer") == "TLS") & (F.coalesce("tls_sni", F.lit("")) == "") \
-        & net.is_external_ip(F.col("dst_ip"))
+        & ~net.has(net.class_of(flows, "dst_ip"), net.INTERNAL)
 
 
 def tls_without_sni(flows: DataFrame) -> DataFrame:
-    return flows.where(_tls_without_name()).select("flow_id", "dst_ip", "dst_port")
+    return flows.where(_tls_without_name(flows)).select("flow_id", "dst_ip", "dst_port")
 
 
 def _cleartext_login() -> Column:
@@ -270,7 +270,7 @@ def single_flow_hits(flows: DataFrame, min_payload_bytes: int = 200, min_hours:
             F.col("dns_queries"), total.alias("payload_bytes")),
         hit("PORTMISMATCH-001", _mismatch(), F.col("application_layer").alias("app"),
             F.col("dst_port").alias("port")),
-        hit("TLSNONSNI-001", _tls_without_name(), F.col("dst_ip"), F.col("dst_port")),
+        hit("TLSNONSNI-001", _tls_without_name(flows), F.col("dst_ip"), F.col("dst_port")),
         hit("CLEARTEXT-001", _cleartext_login(), F.col("http_hosts").alias("hosts"),
             F.col("dst_port").alias("port")),
         hit("LONGCONN-001", (F.col("protocol") == "TCP") & (F.col("duration_ms") >= int(min_hours * 3_600_000)),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions import net
 from flowloom.operators import findings as FI
 from flowloom.operators import report as RP
 from flowloom.operators import whitelist as W
@@ -33,7 +34,7 @@ def analyse_flows(flows: DataFrame, observables: DataFrame | None = None, arp: D
     The whitelisted and scored flows feed every rule, so they are written once (``keep``) and read
     back column by column; without ``keep`` every rule scans the source again.
     """
-    marked = W.with_suppression(W.mark_whitelisted(flows, **(lists or {})), strict)
+    marked = net.with_address_classes(W.with_suppression(W.mark_whitelisted(flows, **(lists or {})), strict), "src_ip", "dst_ip")
     base = stored(marked, "analysed-flows") if keep else marked
     active = base.where(~F.col("is_whitelisted"))
     found = [FI.rule_findings(active, arp, observables, analysis_id, **(rule_params or {})),
@@ -51,7 +52,7 @@ def analyse_flows(flows: DataFrame, observables: DataFrame | None = None, arp: D
             F.lit("Threat intel — anomaly on malicious indicator").alias("title"), "severity", "severity_score",
             F.to_json(F.struct("indicators", "anomaly_score")).alias("evidence"), F.lit(False).alias("is_false_positive"))
         findings = FI.union_findings(findings, intel)
-    scored = FI.hybrid_severity(base, findings)
+    scored = FI.hybrid_severity(base.drop(*map(net.class_column, ("src_ip", "dst_ip"))), findings)
     return Analysis(scored, findings, FI.risk_score(findings))
 
 

@@ -154,3 +154,17 @@ def test_intel_verdicts(spark):
 def test_first_json_object(spark):
     assert one(spark, text.first_json_object, 'text {"a": {"b": 1}} tail') == '{"a": {"b": 1}}'
     assert one(spark, text.first_json_object, "none") is None
+
+
+@pytest.mark.parametrize("test", [net.is_internal_ip, net.is_private_ip, net.is_ip, net.ip_scope, net.is_lan_destination, net.address_class])
+def test_an_address_is_parsed_once(spark, test):
+    plan = spark.range(1).select(c("id").cast("string").alias("ip")).select(test(c("ip")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
+
+
+def test_kept_classes_are_used(spark):
+    df = spark.createDataFrame([("10.0.0.1",), ("8.8.8.8",), (None,), ("x",)], "ip string")
+    kept = net.with_address_classes(df, "ip")
+    assert [net.has(net.class_of(t, "ip"), net.INTERNAL)._jc.toString().count("rlike") for t in (kept,)] == [0]
+    rows = kept.select("ip", net.has(net.class_of(kept, "ip"), net.INTERNAL).alias("i")).collect()
+    assert {r.ip: r.i for r in rows} == {a: internal(a) for a in ("10.0.0.1", "8.8.8.8", None, "x")}

@@ -20,7 +20,7 @@ SLICE = 2500  # small enough that the adapter's flows span several slices
 
 
 def built(t):
-    return FL.build_flows(t.packets, rows_per_slice=SLICE)
+    return FL.flow_table(t.packets, rows_per_slice=SLICE)
 
 
 @query("join_01_bidirectional_match", f"""
@@ -103,7 +103,8 @@ SELECT {_ENDS}, arg_max(layer, seq) FILTER (WHERE layer IS NOT NULL) AS applicat
   coalesce(string_agg(DISTINCT dns_qname, ',' ORDER BY dns_qname),'') AS dns_queries,
   coalesce(string_agg(DISTINCT http_host, ',' ORDER BY http_host),'') AS http_hosts FROM l {_GROUP}""")
 def _(t):
-    return built(t).select(*KEY, "application_layer", "tls_sni", F.array_join("dns_queries", ",").alias("dns_queries"),
+    flows = FL.build_flows(t.packets, rows_per_slice=SLICE)
+    return flows.select(*KEY, "application_layer", "tls_sni", F.array_join("dns_queries", ",").alias("dns_queries"),
                            F.array_join("http_hosts", ",").alias("http_hosts"))
 
 

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None, views: bool = True):
 
 def load() -> dict[str, Query]:
     from flowloom.plans.catalog import (  # noqa: F401
-        aggregates, detection, flowbuild, joins, learning, live, scalars)
+        aggregates, captures, detection, flowbuild, joins, learning, live, scalars)
 
     return dict(_REGISTRY)
 

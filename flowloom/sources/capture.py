@@ -1,7 +1,7 @@
 """Capture files as packet rows.
 
-Files are the unit of parallelism, as rotated capture chunks are: Spark lists and schedules them and
-each task decodes its files into one row per packet. Everything after decoding is DataFrame work.
+Files are cut into byte ranges (:mod:`flowloom.sources.ranges`) and each range is decoded by a task of its
+own, many frames at a time (:mod:`flowloom.sources.frames`). Everything after decoding is DataFrame work.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,12 @@ from pyspark.sql import types as T
 from flowloom.functions import net
 from flowloom.schemas import PACKETS
 from flowloom.session import ship
+from flowloom.sources import frames as FR
+from flowloom.sources import ranges as RG
 
-# fixed values: leading bytes of capture files, both byte orders and both time resolutions
-CLASSIC = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6),
-    b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9),
-}
-BLOCK_FORMAT = b"\x0a\x0d\x0d\x0a"
-MAGICS = [*CLASSIC, BLOCK_FORMAT]
-ROWS_PER_BATCH = 20_000
+#: Packets and the frames that yielded none, with the reason.
+DECODED = PACKETS + ", skipped STRING"
+FRAMES_PER_BATCH = 50_000
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
@@ -33,19 +31,60 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFra
 
 
 def only_captures(files: DataFrame) -> DataFrame:
-    """Files whose first four bytes are a capture magic."""
-    return files.where(F.hex(F.substring("content", 1, 4)).isin(*[m.hex().upper() for m in MAGICS]))
+    """Files whose first four bytes are a capture magic; of a ``content`` column."""
+    return files.where(F.hex(F.substring("content", 1, 4)).isin(*[m.hex().upper() for m in RG.MAGICS]))
 
 
-def packets(files: DataFrame) -> DataFrame:
-    """One row per decoded packet of each file, in file order (``seq``); malformed packets are skipped."""
+def decode_files(files: DataFrame, range_bytes: int = RG.RANGE_BYTES) -> DataFrame:
+    """One row per record of each capture among ``files`` (``path``, ``length``): a packet, or why it is none.
+
+    ``seq`` is the record's number in its file. Files that are no captures give no rows; a record that is
+    cut off or broken ends its file.
+    """
     ship(files.sparkSession)
-    return only_captures(files).select("path", "content").mapInArrow(_decoder(), PACKETS)
+    found = RG.with_marks(RG.index(files, range_bytes))
+    # a range is the unit of work: spread them over tasks whatever their number
+    spread = found.select("path", "length", "start", "stop", "first_seq", "marks").repartition(
+        max(1, min(found.count(), 4 * files.sparkSession.sparkContext.defaultParallelism)), "path", "start")
+    return spread.mapInArrow(_range_decoder(), DECODED)
+
+
+def decode_frames(table: DataFrame) -> DataFrame:
+    """Frames that stand in a table (``file``, ``seq``, ``ts``, ``frame_len``, ``frame``) as decoded rows.
+
+    A null frame counts as empty.
+    """
+    ship(table.sparkSession)
+    names = table.select("file", F.col("seq").cast("bigint").alias("seq"), F.col("ts").cast("double").alias("ts"),
+                         F.col("frame_len").cast("int").alias("frame_len"), F.coalesce("frame", F.lit(b"")).alias("frame"))
+    return names.mapInArrow(_frame_decoder(), DECODED)
+
+
+def packets(files: DataFrame, range_bytes: int = RG.RANGE_BYTES) -> DataFrame:
+    """The decoded packets of capture files; :func:`skipped_packets` counts the others."""
+    return decode_files(files, range_bytes).where(F.col("skipped").isNull()).drop("skipped")
+
+
+def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*", range_bytes: int = RG.RANGE_BYTES) -> DataFrame:
+    """Packets of all captures below ``path``."""
+    return packets(read_files(spark, path, glob), range_bytes)
 
 
-def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
-    """IP packets of all captures below ``path``."""
-    return packets(read_files(spark, path, glob))
+def write_captures(table: DataFrame, path: str) -> DataFrame:
+    """Write a table of frames (``ts``, ``frame``) as classic captures below ``path``, one file a partition.
+
+    A task that runs again writes the same file anew. Returns (path, length, records) of the files.
+    """
+    ship(table.sparkSession)
+    table.sparkSession.range(1).write.mode("ignore").parquet(f"{path}/_made")  # the folder, made by Spark
+    return table.select("ts", F.coalesce("frame", F.lit(b"")).alias("frame")).mapInArrow(
+        _writer(path), "path STRING, length BIGINT, records BIGINT")
+
+
+def skipped_packets(decoded: DataFrame) -> DataFrame:
+    """Frames of each file that yielded no packet, by reason."""
+    return decoded.where(F.col("skipped").isNotNull()).groupBy("file", F.col("skipped").alias("reason")).agg(
+        F.count(F.lit(1)).alias("frames"))
 
 
 def arp_events(decoded: DataFrame) -> DataFrame:
@@ -101,143 +140,110 @@ def closed_chunks(files: DataFrame, processed: DataFrame, quiet_seconds: int = 1
 
 # ---- decoding inside a task ----------------------------------------------------------------
 
-def _decoder():
-    """The task function: capture files in, packet batches out."""
+def _writer(path: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(path)
+        name, records = f"part-{TaskContext.get().partitionId():05}.pcap", 0
+        with system.open_output_stream(f"{base}/{name}") as out:
+            out.write(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, RG.LARGEST_RECORD, 1))
+            for batch in batches:
+                for ts, frame in zip(batch["ts"].to_pylist(), batch["frame"].to_pylist()):
+                    us = round((ts or 0.0) * 1e6)
+                    out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), len(frame)) + frame)
+                records += batch.num_rows
+            length = out.tell()
+        yield pa.RecordBatch.from_pylist([{"path": f"{path}/{name}", "length": length, "records": records}])
+
+    return write
+
+
+def _schema() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T.DataType.fromDDL(PACKETS))
+    return to_arrow_schema(T.DataType.fromDDL(DECODED))
+
+
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def _frame_decoder():
+    """The task function over tables of frames."""
+    schema = _schema()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                for rows in _file_rows(path, content.as_buffer().to_pybytes()):
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            frame = batch.column("frame")
+            if not len(frame):
+                continue
+            offsets = np.frombuffer(frame.buffers()[1], np.int32)[frame.offset:frame.offset + len(frame) + 1].astype(np.int64)
+            data = np.frombuffer(frame.buffers()[2] or b"", np.uint8)
+            columns = FR.packet_columns(data, offsets[:-1], np.diff(offsets))
+            yield _batch(columns | {c: batch.column(c) for c in ("file", "seq", "ts", "frame_len")}, schema)
 
     return decode
 
 
-def _file_rows(path: str, data: bytes) -> Iterator[list[dict]]:
-    rows = []
-    for seq, (ts, frame, size) in enumerate(frames(data)):
-        try:
-            row = decode_frame(frame)
-        except (struct.error, IndexError, ValueError):
-            continue
-        if row:
-            row.update(file=path, seq=seq, ts=ts, frame_len=size)
-            rows.append(row)
-        if len(rows) >= ROWS_PER_BATCH:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
-
-
-def frames(data: bytes) -> Iterator[tuple[float, bytes, int]]:
-    """Time, bytes and original size of each record of a classic or block-structured capture."""
-    if data[:4] in CLASSIC:
-        order, tick = CLASSIC[data[:4]]
-        at = 24
-        while at + 16 <= len(data):
-            sec, frac, kept, size = struct.unpack_from(order + "IIII", data, at)
-            at += 16
-            if at + kept > len(data):
-                return
-            yield sec + frac * tick, data[at:at + kept], size
-            at += kept
-    elif data[:4] == BLOCK_FORMAT:
-        yield from _block_frames(data)
-
-
-def _block_frames(data: bytes) -> Iterator[tuple[float, bytes, int]]:
-    at, order, ticks = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at:at + 4] == BLOCK_FORMAT:
-            order = "<" if data[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            ticks = []
-        kind, length = struct.unpack_from(order + "II", data, at)
-        if length < 12 or at + length > len(data):
-            return
-        body = data[at + 8:at + length - 4]
-        if kind == 1:  # interface description: option 9 is the time resolution
-            ticks.append(_resolution(body[8:], order))
-        elif kind == 6:  # packet with a 64-bit time split over two words
-            interface, high, low, kept, size = struct.unpack_from(order + "IIIII", body)
-            tick = ticks[interface] if interface < len(ticks) else 1e-6
-            yield ((high << 32) | low) * tick, body[20:20 + kept], size
-        at += length
-
-
-def _resolution(options: bytes, order: str) -> float:
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 0:
-            break
-        if code == 9 and size >= 1:
-            raw = options[at + 4]
-            return 2.0 ** -(raw & 0x7F) if raw & 0x80 else 10.0 ** -raw
-        at += 4 + size + (-size % 4)
-    return 1e-6
-
-
-def _mac(raw: bytes) -> str:
-    return ":".join(f"{b:02x}" for b in raw)
-
-
-def _v4(raw: bytes) -> str:
-    return ".".join(map(str, raw))
-
-
-def decode_frame(frame: bytes) -> dict | None:
-    """Ethernet frame to packet columns; None for what is neither IPv4 nor ARP."""
-    at, kind = 14, struct.unpack_from("!H", frame, 12)[0]
-    while kind in (0x8100, 0x88A8):
-        kind, at = struct.unpack_from("!H", frame, at + 2)[0], at + 4
-    if kind == 0x0806:
-        op = struct.unpack_from("!H", frame, at + 6)[0]
-        body = frame[at + 8:at + 28]
-        if len(body) < 20:
-            return None
-        return {"arp_op": op, "sender_mac": _mac(body[:6]), "sender_ip": _v4(body[6:10]), "target_ip": _v4(body[16:20])}
-    if kind != 0x0800 or frame[at] >> 4 != 4:
-        return None
-    head, total = (frame[at] & 15) * 4, struct.unpack_from("!H", frame, at + 2)[0]
-    number = frame[at + 9]
-    row = {"src_ip": _v4(frame[at + 12:at + 16]), "dst_ip": _v4(frame[at + 16:at + 20])}
-    end = at + total if total else len(frame)
-    return _transport(number, frame[at + head:end], row)
-
-
-def _transport(number: int, data: bytes, row: dict) -> dict:
-    row["payload_len"] = 0
-    if number == 6:
-        sport, dport = struct.unpack_from("!HH", data)
-        offset = (data[12] >> 4) * 4
-        payload = data[offset:]
-        row.update(protocol="TCP", src_port=sport, dst_port=dport, header_len=offset, tcp_flags=data[13],
-                   win=struct.unpack_from("!H", data, 14)[0], payload_len=len(payload))
-        if payload:
-            row["first_byte"] = payload[0]
-            row["is_request"] = payload.startswith((b"GET ", b"POST "))
-            if row["is_request"]:
-                row.update(_request_fields(payload))
-            elif payload[0] == 0x16:
-                row.update(_hello_fields(payload))
-    elif number == 17:
-        sport, dport = struct.unpack_from("!HH", data)
-        payload = data[8:]
-        row.update(protocol="UDP", src_port=sport, dst_port=dport, payload_len=len(payload))
-        if 53 in (sport, dport):
-            row["dns_qnames"] = _questions(payload) or None
-    elif number == 1:
-        row.update(protocol="ICMP", src_port=0, dst_port=0, icmp_type=data[0], payload_len=max(0, len(data) - 4))
+def _range_decoder():
+    """The task function over ranges of capture files."""
+    schema = _schema()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with RG.RangeFile(row["path"]) as file:
+                    known = RG.layout(file)
+                    data = file.read(row["start"], row["stop"] - row["start"])
+                marks = [(m["at"], m["little"], m["tick"]) for m in row["marks"]]
+                order = next(("<" if little else ">" for at, little, _ in reversed(marks) if at < row["start"]), None)
+                found, _, _ = RG.walk(data, row["start"], row["start"], row["stop"], known, row["length"], order)
+                read, at = np.frombuffer(data, np.uint8), np.array(found, np.int64)
+                for a in range(0, len(at), FRAMES_PER_BATCH):
+                    yield _records(row["path"], row["first_seq"] + a, read, row["start"], at[a:a + FRAMES_PER_BATCH], known, marks, schema)
+
+    return decode
+
+
+def _records(path: str, first_seq: int, data: np.ndarray, base: int, at: np.ndarray, known: RG.Layout, marks: list, schema: pa.Schema) -> pa.RecordBatch:
+    """Records of one layout as decoded rows."""
+    here = at - base
+    if known.classic:
+        sec, frac, kept, size = (RG._words(data, here + i, known.order) for i in (0, 4, 8, 12))
+        ts, start = sec + frac * known.tick, here + 16
     else:
-        row["protocol"] = str(number)
-    return row
+        ts, kept, size, start = _block_records(data, here, at, marks)
+    shared = int(start.min())  # only these records' bytes go on
+    stop = int((start + kept).max())
+    columns = FR.packet_columns(data[shared:stop], start - shared, kept)
+    return _batch(columns | {
+        "file": pa.array([path] * len(at), pa.string()), "seq": pa.array(np.arange(len(at)) + first_seq, pa.int64()), "ts": pa.array(ts, pa.float64()),
+        "frame_len": pa.array(size.astype(np.int32))}, schema)
+
+
+def _block_records(data: np.ndarray, here: np.ndarray, at: np.ndarray, marks: list):
+    """Times, sizes and places of packet blocks; byte order and resolution are those of their section's interface."""
+    n = len(at)
+    ts, kept, size = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    borders = [m[0] for m in marks] + [np.iinfo(np.int64).max]
+    ticks: list[float] = []
+    for (mark, little, tick), until in zip(marks, borders[1:]):
+        ticks = [] if tick == 0 else [*ticks, tick]
+        own = np.flatnonzero((at > mark) & (at < until))
+        if not len(own):
+            continue
+        order, place = "<" if little else ">", here[own] + 8
+        interface, high, low, kept[own], size[own] = (RG._words(data, place + i, order) for i in (0, 4, 8, 12, 16))
+        known = np.array([*ticks, 1e-6])
+        ts[own] = ((high << 32) | low) * known[np.minimum(interface, len(ticks))]
+        room = RG._words(data, here[own] + 4, order) - 32  # of a block that claims more than it holds
+        kept[own] = np.clip(kept[own], 0, np.maximum(room, 0))
+    return ts, kept, size, here + 28
 
 
-def _request_fields(payload: bytes) -> dict:
+def request_fields(payload: bytes) -> dict:
     out = {}
     for line in payload.split(b"\r\n\r\n", 1)[0].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
@@ -247,7 +253,7 @@ def _request_fields(payload: bytes) -> dict:
     return out
 
 
-def _questions(payload: bytes) -> list[str]:
+def questions(payload: bytes) -> list[str]:
     if len(payload) < 12:
         return []
     names, at = [], 12
@@ -290,7 +296,7 @@ def _shorts(data: bytes) -> list[int]:
     return [int.from_bytes(data[i:i + 2], "big") for i in range(0, len(data) - 1, 2)]
 
 
-def _hello_fields(payload: bytes) -> dict:
+def hello_fields(payload: bytes) -> dict:
     """Version, lists and server name of a client hello; what was read before a cut stays."""
     out: dict = {}
     try:

@@ -28,3 +28,8 @@ def text_of(column: str | Column) -> Column:
 def fold_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def with_row_key(docs: DataFrame, name: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Add a hash of id and text: rows that differ in either are told apart, whatever their ids."""
+    return docs.withColumn(name, F.xxhash64(F.col(f"`{id_column}`").cast("string"), text_of(F.col(f"`{text_column}`"))))

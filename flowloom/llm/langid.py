@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowloom.llm import bytewords
 from flowloom.llm.common import arrow_map, fold_of, text_of
@@ -131,6 +132,7 @@ def learn(labelled: DataFrame, share: float = SHARE, min_count: int = MIN_COUNT)
     # a language a row would be a list as long as the languages; two aggregations keep it flat
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
     own = rated.join(top, "gram").where((F.col("count") >= min_count) & (F.col("rate") >= F.col("top") * share))
+    own = own.join(F.broadcast(_least_counts(own, (1 << MAX_ROWS_LOG2) // 8 // len(languages))), "lang").where("count >= least")
     masks = stored(own.groupBy("gram", F.expr("cast(rank div 64 as int)").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, rank % 64)")).alias("mask")), "masks")
     log2 = int(min(MAX_ROWS_LOG2, max(12, np.ceil(np.log2(max(1, masks.count()) * 8)))))
@@ -149,6 +151,19 @@ def learn(labelled: DataFrame, share: float = SHARE, min_count: int = MIN_COUNT)
     return LanguageFilter(languages, rows, fill ** HASHES, thin)
 
 
+def _least_counts(own: DataFrame, budget: int) -> DataFrame:
+    """(lang, least): the count from which a language's grams, whole levels at a time, fit its part of the filter.
+
+    A row a language, as many as the filter has bits. Each language keeps its most frequent grams, so a filter of
+    bounded size holds the same share of positions a gram at every size of the corpus.
+    """
+    levels = own.groupBy("lang", "count").agg(F.count(F.lit(1)).alias("held"))
+    above = F.sum("held").over(Window.partitionBy("lang").orderBy(F.desc("count")))
+    fits = levels.withColumn("above", above).groupBy("lang").agg(
+        F.min(F.when(F.col("above") <= budget, F.col("count"))).alias("least"), F.max("count").alias("top"))
+    return fits.select("lang", F.coalesce("least", F.col("top") + 1).alias("least"))
+
+
 def judge(code: np.ndarray, text: np.ndarray, n: int, model: LanguageFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text the number of the language, its corrected share of the text's grams, and their number."""
     log2 = int(model.rows.shape[1]).bit_length() - 1
@@ -168,11 +183,14 @@ def judge(code: np.ndarray, text: np.ndarray, n: int, model: LanguageFilter) ->
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and the number of grams they rest on; no other column is read than the text."""
+    """``docs`` with lang_pred, score and the number of grams they rest on; no other column is read than the text.
+
+    Columns of these names, in any case, are replaced.
+    """
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", GRAMS)]
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", GRAMS)]
     width = len(own)
 
     def run(batches):

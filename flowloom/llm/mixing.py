@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import text_of
+from flowloom.session import broadcast_if_small
 
 PART_RATE = 16
 TERMS = 96
+MAX_BROADCAST_SOURCES = 10_000  # of about a kilobyte each
 RESULT = ("part", "copy", "shuffle_key")
 
 
@@ -74,7 +76,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, rows_wanted: float | None =
         F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cumulated").alias("__cumulated"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     key = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.md5(text_of(text_column).cast("binary")))
-    rated = docs.join(table, F.col(f"`{source_column}`").cast("string").eqNullSafe(F.col("__source")))
+    # a row a source: broadcast while that is few, so that no text is shuffled by its source
+    rated = docs.join(broadcast_if_small(table, MAX_BROADCAST_SOURCES), F.col(f"`{source_column}`").cast("string").eqNullSafe(F.col("__source")))
     drawn = rated.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).withColumn("__key", key)
     u = uniform(seed, F.col("__key"), F.col("part").cast("string"))
     times = drawn.withColumn("__u", u).withColumn("__times", F.size(F.filter("__cumulated", lambda c: c <= F.col("__u"))))

@@ -29,9 +29,10 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowloom.llm import bytewords
-from flowloom.llm.common import arrow_map, text_of
+from flowloom.llm.common import arrow_map, text_of, with_row_key
 from flowloom.session import stored
 
 BUCKET_BITS = 7
@@ -330,12 +331,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of which ``found`` keeps one per group, each id once; columns as they are.
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest id; columns as they are.
 
-    Documents without an id cannot be named and all stay.
+    Rows are told apart by id and text: different texts under one id are judged by their texts, rows with a
+    null id go like others (they stay only where their group has no id), and of rows with equal id and text
+    one stays. Rows without words are linked with nothing and all stay.
     """
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
-    ids = rest.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return rest if ids.isEmpty() else rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    keyed = with_row_key(docs, "__row", id_column, text_column)
+    found = near_duplicates(keyed, "__row", text_column, k, percent).where("n_shingles > 0")
+    rows = stored(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct(), "rows")
+    ids = keyed.select("__row", F.col(f"`{id_column}`").alias("__id")).distinct()
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    first = rows.join(ids, "__row").groupBy("__group").agg(F.min(order)["row"].alias("__first"))
+    gone = rows.join(first, "__group").where(F.col("__row") != F.col("__first")).select("__row")
+    # equal rows share a key; a row without words is a group of its own
+    own = F.when(~text_of(F.col(f"`{text_column}`")).rlike(r"[^ \t-\r]"), F.monotonically_increasing_id()).otherwise(-1)
+    rest = keyed.withColumn("__own", own).join(gone, "__row", "left_anti")
+    place = F.row_number().over(Window.partitionBy("__row", "__own").orderBy(F.lit(1)))
+    return rest.withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

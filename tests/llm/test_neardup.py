@@ -58,11 +58,21 @@ def test_repeated_rows_null_ids_and_empty_tables(rows):
 
 def test_one_stays_of_each_group(rows):
     docs = rows([(3, "a b c d e f", 1, "x"), (5, "a b c d e f", 2, "y"), (5, "a b c d e f", 2, "y"), (9, "other words here", 3, "z"), (9, "other words here", 3, "z")], SCHEMA)
-    kept = neardup.keep_one(docs, neardup.near_duplicates(docs))
+    kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
 
 
+def test_rows_are_judged_by_their_texts_whatever_their_ids(rows):
+    long, near, other = "one two three four five six seven eight", "one two three four five six seven eight", "nothing in common with any of the rest at all"
+    data = [(1, long, 1, "a"), (1, other, 2, "b"), (2, near, 3, "c"), (2, "a third text of seven words here", 4, "d"), (None, long, 5, "e"), (None, "only a null id has this text", 6, "f"),
+            (None, "only a null id has this text", 6, "f"), (7, None, 7, "g"), (7, None, 7, "g"), (None, " \t ", 8, "h")]
+    kept = sorted(((r[0] is None, r[0] or 0, r[1]) for r in neardup.keep_one(rows(data, SCHEMA)).collect()), key=str)
+    assert kept == sorted([(False, 1, long), (False, 1, other), (False, 2, "a third text of seven words here"), (True, 0, "only a null id has this text"),
+                           (False, 7, None), (False, 7, None), (True, 0, " \t ")], key=str)
+    assert neardup.keep_one(rows([], SCHEMA)).count() == 0
+
+
 def test_words_and_shingles_follow_the_definition():
     texts = ["A b  c", "", "\tAa aA\x0b", "é É ", "x", "a" * 5 + " " + "b" * 7]
     data = np.frombuffer("".join(texts).encode(), np.uint8)

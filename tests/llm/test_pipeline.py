@@ -54,6 +54,17 @@ def test_stages_keep_what_they_should(spark, documents):
     assert sorted(r[-1] * 8 + r[-2] for r in rows) == list(range(len(rows)))
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = docs.selectExpr("*", "concat('s', doc_id) AS Score", "concat('p', doc_id) AS part", "concat('c', doc_id) AS copy", "concat('k', doc_id) AS shuffle_key",
+                            "concat('l', doc_id) AS lang_pred", "concat('r', doc_id) AS __row").persist()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, SF)
+        assert out.schema.names == extra.schema.names, name
+        left = out.collect()
+        assert left and all((r.Score, r.part, r.copy, r.shuffle_key, r.lang_pred) == tuple(f"{x}{r.doc_id}" for x in "spckl") for r in left), name
+
+
 def test_the_whole_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert set(found.columns) >= {"doc_id", "text", "shard", "slot", "row_number"} and found.count() > 50
@@ -61,7 +72,7 @@ def test_the_whole_run(spark):
 
 def test_entry_registers_all():
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,10 +122,30 @@ def test_small_benchmark_blocks_change_nothing(rows, monkeypatch):
     one = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == one == {(i, i) for i in range(12)}
-    kept = decontaminate.without_leaks(docs, decontaminate.leaks(docs, bench))
+    kept = decontaminate.without_leaks(docs, bench)
     assert kept.columns == docs.columns and kept.count() == 0
 
 
+def test_leaks_go_row_by_row(rows):
+    item = "the quick fox jumps over seven lazy dogs at noon"
+    clean, leaking = "a clean text that holds nothing of it", f"before {item} after"
+    docs = rows([(1, clean, 1, "x"), (1, leaking, 1, "x"), (None, leaking, 1, "x"), (None, clean, 1, "x"), (3, None, 1, "x"), (4, leaking, 1, "x"), (4, leaking, 1, "x")], DOCS)
+    kept = decontaminate.without_leaks(docs, rows([(9, item)], "item_id bigint, text string"))
+    assert sorted(((r[0] is None, r[0] or 0, r[1]) for r in kept.collect()), key=str) == sorted([(False, 1, clean), (True, 0, clean), (False, 3, None)], key=str)
+
+
+def test_a_full_language_filter_keeps_frequent_grams(rows, monkeypatch):
+    rng = random.Random(2)
+    letters = {"aa": "abcdefghij", "bb": "klmnopqrst"}
+    data = [(" ".join("".join(rng.choice(own) for _ in range(6)) for _ in range(30)), lang) for lang, own in letters.items() for _ in range(60)]
+    labelled = rows([(lang, text) for text, lang in data], "lang string, text string")
+    monkeypatch.setattr(langid, "MAX_ROWS_LOG2", 12)
+    model = langid.learn(labelled)
+    assert model.rows.shape[1] == 1 << 12 and max(model.false_positive) < 0.2
+    found = langid.predict(rows([(t,) for t, _ in data], "text string"), model).collect()
+    assert Counter((r.lang_pred == lang) for r, (_, lang) in zip(found, data)) == {True: 120}
+
+
 def test_empty_benchmark_or_documents(rows):
     docs, none = rows([(1, "a b c d e f", 1, "x")], DOCS), rows([], "item_id bigint, text string")
     assert decontaminate.leaks(docs, none).count() == 0

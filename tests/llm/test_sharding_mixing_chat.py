@@ -113,3 +113,10 @@ def test_conversations_read_back(rows, large, part_bytes):
 
 def test_no_conversations(rows):
     assert chatformat.digests(chatformat.format_conversations(rows([], CHAT))).count() == 0
+
+
+def test_texts_are_not_shuffled_by_source(spark, tmp_path):
+    spark.range(50).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('t', 100) AS text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    plan = mixing.mix_sources(docs, mixing.tempered(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0] and plan.count("hashpartitioning(shuffle_key") == 1

@@ -18,30 +18,41 @@ SHARDS = 8
 SEED = 20240607
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under private column names, which no operator's columns can clash with, and the name of each column."""
+    names = {c: f"__column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; null texts, texts without letters and unknown languages go.
 
     A low share rejects no text too short to tell, and none labelled with a language of too few rows to learn.
     """
     model = langid.learn(langid.teaching_rows(docs))
-    judged = langid.predict(docs, model)
-    unsure = (F.col(langid.GRAMS) < LEAST_GRAMS) | F.coalesce(F.col("lang").isin(*model.thin), F.lit(False))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (unsure | (F.col("score") >= LEAST_LANGUAGE_SCORE))).select(*docs.columns)
+    given, names = _apart(docs)
+    judged = langid.predict(given, model, names["text"])
+    unsure = (F.col(langid.GRAMS) < LEAST_GRAMS) | F.coalesce(F.col(names["lang"]).isin(*model.thin), F.lit(False))
+    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (unsure | (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    return kept.select(*names.values()).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares at least 0.8 of its five-word shingles stays."""
-    return neardup.keep_one(docs, neardup.near_duplicates(docs, k=5, percent=80))
+    return neardup.keep_one(docs, k=5, percent=80)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.without_leaks(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its source's rate draws, in shuffled order."""
-    return mixing.mix_sources(docs, mixing.tempered(docs, SOURCE_POWER)).select(*docs.columns)
+    given, names = _apart(docs)
+    weights = mixing.tempered(docs, SOURCE_POWER)
+    mixed = mixing.mix_sources(given, weights, id_column=names["doc_id"], text_column=names["text"], source_column=names["source"])
+    return mixed.select(*names.values()).toDF(*names)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import values
-from flowloom.session import ship
+from flowloom.session import ship, stored
 
 
 def _alert_id(kind: str, session_id: str, *parts: str) -> Column:
@@ -119,61 +119,97 @@ def greedy_admit(times, limit: int, window_us: int, recent: deque | None = None)
     return verdicts, recent
 
 
-def episodes(alerts: DataFrame, session: str, ts_us: str, window_us: int, tie: str,
-             slice_us: int = 3_600_000_000) -> DataFrame:
-    """Add ``_episode``: the time of the last silence longer than the window before the row.
-
-    Slices of the session's timeline take the last start of earlier slices from a table with one row
-    per session and slice.
-    """
-    from flowloom.operators.slices import recent_gap
-
-    slot = F.floor(F.col(ts_us) / slice_us).cast("bigint")
-    marked = recent_gap(alerts, session, ts_us, window_us, "_gap", tie).withColumn("_slot", slot).withColumn(
-        "_start", F.when(F.col("_gap").isNull(), F.col(ts_us))).drop("_gap")
-    earlier = (Window.partitionBy(session).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
-    carry = marked.groupBy(session, "_slot").agg(F.max("_start").alias("_s")).select(
-        session, "_slot", F.last("_s", ignorenulls=True).over(earlier).alias("_carry"))
-    here = (Window.partitionBy(session, "_slot").orderBy(ts_us, tie).rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.last("_start", ignorenulls=True).over(here)
-    return marked.join(carry, [session, "_slot"]).withColumn(
-        "_episode", F.coalesce(inside, F.col("_carry"))).drop("_slot", "_start", "_carry")
+WINDOWS_PER_SLICE = 24
 
 
-def greedy_cap(alerts: DataFrame, session: str, ts_us: str, limit: int, window_us: int = 60_000_000,
-               tie: str = "id", admitted: str | None = None) -> DataFrame:
-    """Greedy trailing-window limit per session.
+def _limited(rows: DataFrame, session: str, ts_us: str, tie: str, limit: int, window_us: int, slice_us: int,
+             names: list[str] | None = None) -> DataFrame:
+    """Run the limiter over each slice on its own, its rows sorted by Spark and streamed with ``limit`` times of state.
 
-    ``admitted`` names a flag of rows that passed earlier (the last window of a stream); they count
-    but are not returned.
-
-    Each decision depends on the ones before it, but a silence longer than the window empties the
-    limiter. Sessions are cut at such silences into independent episodes; an episode's alerts are
-    sorted by Spark and streamed with ``limit`` times of state, so it is never held in memory.
+    Rows flagged ``_before`` count as admitted. Gives the admitted rows' ``names``, or without them each
+    slice's state at its end: the admissions that the next slice still sees.
     """
-    ship(alerts.sparkSession)
-    cut = episodes(alerts, session, ts_us, window_us, tie)
-    ordered = cut.repartition(session, "_episode").sortWithinPartitions(session, "_episode", ts_us, tie)
-    names = [n for n in alerts.columns if n != admitted]
-    schema = alerts.select(*names).schema
+    ship(rows.sparkSession)
+    kind = rows.schema[session].dataType.simpleString()
+    schema = rows.select(*names).schema if names else f"{session} {kind}, _slot bigint, _out array<bigint>"
+    ordered = rows.repartition(session, "_slot").sortWithinPartitions(session, "_slot", F.desc("_before"), ts_us, tie)
 
     def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, deque()
+        current, recent, ended = None, deque(), []
+
+        def close():
+            if current is not None:
+                end = (current[1] + 1) * slice_us
+                ended.append((*current, [t for t in recent if t >= end - window_us]))
+
         for pdf in batches:
             keep = []
-            passed = pdf[admitted] if admitted else [False] * len(pdf)
-            for key, start, t, before in zip(pdf[session], pdf["_episode"], pdf[ts_us], passed):
-                if (key, start) != current:
-                    current, recent = (key, start), deque()
+            for key, slot, t, before in zip(pdf[session], pdf["_slot"], pdf[ts_us], pdf["_before"]):
+                if (key, slot) != current:
+                    close()
+                    current, recent = (key, slot), deque()
                 if before:
                     recent.append(t)
                     keep.append(False)
                 else:
                     verdict, recent = greedy_admit([t], limit, window_us, recent)
                     keep.append(verdict[0])
-            yield pdf.loc[keep, names]
+            if names:
+                yield pdf.loc[keep, names]
+            elif len(ended) >= 10_000:
+                yield pd.DataFrame(ended, columns=[session, "_slot", "_out"])
+                ended = []
+        close()
+        if not names and ended:
+            yield pd.DataFrame(ended, columns=[session, "_slot", "_out"])
 
-    return ordered.select(*alerts.columns, "_episode").mapInPandas(admit, schema)
+    return ordered.mapInPandas(admit, schema)
+
+
+def greedy_cap(alerts: DataFrame, session: str, ts_us: str, limit: int, window_us: int = 60_000_000,
+               tie: str = "id", admitted: str | None = None, slice_us: int = 3_600_000_000) -> DataFrame:
+    """Greedy trailing-window limit per session.
+
+    ``admitted`` names a flag of rows that passed earlier (the last window of a stream); they count
+    but are not returned.
+
+    Each decision depends on the ones before it. A session's timeline is cut into slices that run in
+    parallel, each from an empty limiter, and those whose predecessor ended in another state than they
+    began with run again from it, until all states meet. A silence longer than the window empties the
+    limiter, so a wrong beginning reaches no further than the next one; without any silence the repair
+    moves on by a slice a round, for all sessions at once. No task holds more than slices, and a slice is
+    streamed. A slice holds at least ``WINDOWS_PER_SLICE`` windows, so only the one before it matters and most
+    slices see a silence or meet the same admissions whatever they began with.
+    """
+    slice_us = max(slice_us, WINDOWS_PER_SLICE * window_us)
+    before = F.coalesce(F.col(admitted), F.lit(False)) if admitted else F.lit(False)
+    rows = alerts.withColumns({"_slot": F.floor(F.col(ts_us) / slice_us).cast("bigint"), "_before": before})
+    narrow = stored(rows.select(session, "_slot", F.col(ts_us).cast("bigint").alias(ts_us), tie, "_before"), "limited")
+    none = F.array().cast("array<bigint>")
+
+    def beginnings(states: DataFrame, name: str) -> DataFrame:
+        """What a slice begins with, as rows that passed before it."""
+        return states.select(session, "_slot", F.explode(name).alias(ts_us)).withColumn("_before", F.lit(True))
+
+    def run(part: DataFrame) -> DataFrame:
+        return _limited(part, session, ts_us, tie, limit, window_us, slice_us)
+
+    states = stored(run(narrow).withColumn("_in", none), "limiter")
+    while True:
+        lead = states.select(F.col(session).alias("_session"), (F.col("_slot") + 1).alias("_next"), F.col("_out").alias("_lead"))
+        met = states.join(lead, F.col(session).eqNullSafe(F.col("_session")) & (F.col("_slot") == F.col("_next")), "left").select(
+            session, "_slot", "_in", "_out", F.coalesce("_lead", none).alias("_lead"))
+        stale = stored(met.where(F.col("_in") != F.col("_lead")).select(session, "_slot", "_lead"), "limiter")
+        if stale.isEmpty():
+            break
+        keys = stale.select(F.col(session).alias("_session"), F.col("_slot").alias("_wanted"), "_lead")
+        same = F.col(session).eqNullSafe(F.col("_session")) & (F.col("_slot") == F.col("_wanted"))
+        again = run(narrow.join(keys, same, "left_semi").unionByName(beginnings(stale, "_lead"), allowMissingColumns=True))
+        fixed = again.join(keys, same).select(session, "_slot", "_out", F.col("_lead").alias("_in"))
+        states = stored(states.join(keys, same, "left_anti").unionByName(fixed), "limiter")
+    names = [n for n in alerts.columns if n != admitted]
+    whole = rows.unionByName(beginnings(states, "_in"), allowMissingColumns=True)
+    return _limited(whole, session, ts_us, tie, limit, window_us, slice_us, names)
 
 
 # ---- push ----------------------------------------------------------------------------------

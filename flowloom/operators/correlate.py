@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom import constants as K
 from flowloom.functions.text import pair_key
-from flowloom.operators.slices import first_after
+from flowloom.operators.slices import first_of_other
 from flowloom.session import broadcast_if_small
 
 WINDOW_US = 120_000_000
@@ -18,7 +18,7 @@ def correlate(signatures: DataFrame, anomalies: DataFrame, window_us: int = WIND
     """Signature hits and flagged flows of one unordered host pair within the window.
 
     Whichever comes second reports the pair with its oldest partner in the trailing window. Both
-    feeds form one timeline per pair and every event makes a single look-up in it, so a pair with
+    feeds form one timeline per pair, sorted once, and every event makes a single look-up in it, so a pair with
     many events of both kinds never yields their product. With ``once`` the first report of a pair
     in each fixed window of the same length is kept.
 
@@ -38,14 +38,10 @@ def correlate(signatures: DataFrame, anomalies: DataFrame, window_us: int = WIND
     timeline = side(signatures, rule, True).unionByName(side(anomalies.where("flagged"), flow, False))
     payload = F.struct("ts_us", *held)
 
-    def reports(probe_is_sig: bool) -> DataFrame:
-        marked = timeline.withColumn("probe", F.col("is_sig") == probe_is_sig)
-        return first_after(marked, "pair", "ts_us", window_us, "probe", payload, "partner", width_us)
-
     def pick(name: str, side: Column) -> Column:
         return F.when(side, F.col(name)).otherwise(F.col(f"partner.{name}")).alias(name)
 
-    found = reports(True).unionByName(reports(False))
+    found = first_of_other(timeline, "pair", "ts_us", window_us, "is_sig", payload, "partner", width_us)
     sig = F.col("is_sig")
     # the flow names the ends; ports and protocol that it lacks come from the signature hit
     shown = [F.coalesce(pick(n, ~sig), pick(n, sig)).alias(n) for n in ends]

@@ -178,3 +178,30 @@ def first_after(events: DataFrame, keys, ts: str, span: int, is_probe: str, payl
     found = base.withColumn("_found", F.last(candidate, ignorenulls=True).over(backwards))
     hits = found.where(probe & F.col("_found").isNotNull() & (F.col("_found.at") <= F.col(ts)))
     return hits.select("_row.*", F.col("_found.hit").alias(out))
+
+
+def first_of_other(events: DataFrame, keys, ts: str, span: int, side: str, payload: Column, out: str,
+                   width: int | None = None) -> DataFrame:
+    """For each row the oldest row of the key on the other ``side`` (a flag) in ``[ts - span, ts]``.
+
+    :func:`first_after` for both directions in one exchange and one sort: every row is a candidate, and a
+    probe that looks up from the start of its span; reading backwards carries the last candidate of each side.
+    """
+    keys = _names(keys)
+    base = sliced(events.withColumn("_payload", payload), ts, width or span * SLICES_PER_SPAN, lookback=span)
+
+    # columns stay flat here: structs pruned through an explode and a window trip the optimizer
+    own = F.col("_slice") == F.col("_own")
+    probes = F.explode(F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = base.withColumn("_probe", probes).withColumn("_at", F.col(ts) - F.col("_probe") * span)
+    backwards = (Window.partitionBy(*keys, "_slice").orderBy(F.col("_at").desc(), F.col("_probe").asc())
+                 .rowsBetween(Window.unboundedPreceding, 0))
+
+    def last_on(flag: bool) -> Column:
+        candidate = F.when((F.col("_probe") == 0) & (F.col(side) == flag), F.struct(F.col(ts).alias("at"), F.col("_payload").alias("hit")))
+        return F.last(candidate, ignorenulls=True).over(backwards)
+
+    found = rows.withColumns({"_true": last_on(True), "_false": last_on(False)}).where("_probe = 1").withColumn(
+        "_found", F.when(F.col(side), F.col("_false")).otherwise(F.col("_true")))
+    hits = found.where(F.col("_found").isNotNull() & (F.col("_found.at") <= F.col(ts)))
+    return hits.select(*events.columns, F.col("_found.hit").alias(out))

@@ -142,6 +142,8 @@ def with_views(sql: str) -> str:
         return sql
     body = sql.strip()
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -200,7 +200,21 @@ def test_greedy_limit_equals_the_loop(spark, steps):
         verdicts, _ = A.greedy_admit([r[2] for r in rows if r[1] == s], 3, 60)
         want += [r[0] for r, ok in zip([r for r in rows if r[1] == s], verdicts) if ok]
     df = spark.createDataFrame(rows, "id string, session string, ts_us bigint")
-    assert sorted(r.id for r in A.greedy_cap(df, "session", "ts_us", 3, 60).collect()) == sorted(want)
+    assert sorted(r.id for r in A.greedy_cap(df, "session", "ts_us", 3, 60, slice_us=1).collect()) == sorted(want)
+
+
+def test_greedy_limit_without_any_silence(spark, monkeypatch):
+    """Steady traffic: every slice depends on the one before it, and bursts fill one instant."""
+    monkeypatch.setattr(A, "WINDOWS_PER_SLICE", 1)
+    rows = [(f"{i:04}", s, 7 * (i // 3)) for s in ("s", "t", None) for i in range(150 if s == "s" else 40)] + [(f"b{i}", "s", 200) for i in range(30)]
+    want = []
+    for s in ("s", "t", None):
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[0]))
+        verdicts, _ = A.greedy_admit([r[2] for r in own], 4, 60)
+        want += [r[0] for r, ok in zip(own, verdicts) if ok]
+    df = spark.createDataFrame(rows, "id string, session string, ts_us bigint")
+    assert sorted(r.id for r in A.greedy_cap(df, "session", "ts_us", 4, 60, slice_us=1).collect()) == sorted(want)
+    assert A.greedy_cap(df.limit(0), "session", "ts_us", 4, 60).count() == 0
 
 
 LINE = {"timestamp": "2026-01-01T12:00:05.000000+0000", "event_type": "flow", "src_ip": "10.0.0.1", "dest_ip": "8.8.8.8", "src_port": 5, "dest_port": 443, "proto": "tcp",
@@ -327,3 +341,28 @@ def test_lookup_plugin(spark):
     new = spark.createDataFrame([("ip", "1", True, .2, {"vt": "new"}), ("ip", "2", False, .1, {})], "type string, value string, is_malicious boolean, confidence double, intel map<string,string>")
     got = {r.value: r for r in upsert_observables(old, new).collect()}
     assert (got["1"].is_malicious, got["1"].confidence, got["1"].occurrence_count, got["1"].intel, got["2"].status) == (True, .5, 4, {"geo": "x", "vt": "new"}, "complete")
+
+
+def test_context_is_written_once_and_expires(spark, tmp_path):
+    """Batches add their own rows; only slices in reach are read, those out of reach go, a repeated batch replaces itself."""
+    run = rolling.rolling_entropy_stream(str(tmp_path / "rows"), str(tmp_path / "ctx"), 1000)
+
+    def batch(start):
+        return spark.createDataFrame([("a", 443 + i % 3, start + 10 * i) for i in range(50)], "src_ip string, dst_port int, ts_us bigint").withColumn("seq", F.col("ts_us"))
+
+    def held():
+        return {(p.parent.parent.name, p.parent.name, p.name): p.stat().st_mtime_ns for p in (tmp_path / "ctx").rglob("*.parquet")}
+
+    run.process(batch(0), 0)
+    first = held()
+    run.process(batch(600), 1)
+    second = held()
+    assert first.items() <= second.items() and {b for _, b, _ in set(second) - set(first)} == {"batch=1"}
+    rows = spark.read.parquet(str(tmp_path / "ctx"))
+    assert {(r.batch, r["count"]) for r in rows.groupBy("batch").count().collect()} == {(0, 50), (1, 50)}
+    once = spark.read.parquet(str(tmp_path / "rows" / "batch=1")).orderBy("ts_us").collect()
+    run.process(batch(600), 1)
+    assert spark.read.parquet(str(tmp_path / "rows" / "batch=1")).orderBy("ts_us").collect() == once
+    assert spark.read.parquet(str(tmp_path / "ctx")).count() == 100
+    run.process(batch(50_000), 2)
+    assert {b for _, b, _ in held()} == {"batch=2"}

@@ -49,13 +49,15 @@ def union_findings(*frames: DataFrame) -> DataFrame:
 
 
 def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: DataFrame | None = None,
-                  analysis_id: str = "all", by: Sequence[str] = (), **params) -> DataFrame:
+                  analysis_id: str = "all", by: Sequence[str] = (), names: DataFrame | None = None, **params) -> DataFrame:
     """All rules over one set of flows. ``params`` maps a rule function's name to its arguments.
 
     With ``by`` each value of those columns is an analysis of its own: groups, rates and means do not
     mix, and the findings carry the values as their analysis id.
 
-    Rules that look at single flows share one pass; the others aggregate on their own keys.
+    Rules that look at single flows share one pass; the others aggregate on their own keys. Flows built from
+    packets show some of their names only; ``names`` (``flow_id``, ``kind``, ``value``) has them all, and the
+    rules about names read it where it is given.
     """
     aid = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit(analysis_id)
 
@@ -70,8 +72,11 @@ def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: D
         "BEACON-002": R.slow_beacons, "DNSTUNNEL-002": R.dns_rate, "DNSTUNNEL-003": R.entropic_labels,
         "DGATOP-001": R.generated_domains, "EXFIL-001": R.exfiltration, "LATERAL-001": R.lateral_movement,
     }
+    looked_up = flows if names is None else names.where("kind = 'dns'").select(
+        "flow_id", F.array("value").alias("dns_queries")).join(flows.drop("dns_queries"), "flow_id")
+    about_names = ("DNSTUNNEL-002", "DNSTUNNEL-003", "DGATOP-001")
     frames = [_with_rule_fields(R.single_flow_hits(flows, **args(R.single_flow_hits)), F.col("rule_id"), aid)]
-    frames += [as_findings(fn(flows, **args(fn)), rid, aid, by) for rid, fn in grouped.items()]
+    frames += [as_findings(fn(looked_up if rid in about_names else flows, **args(fn)), rid, aid, by) for rid, fn in grouped.items()]
     if arp is not None:
         frames += [as_findings(requests(arp), "ARPSPOOFING-001", aid, by),
                    as_findings(R.arp_storm(arp, **args(R.arp_storm)), "ARPSPOOFING-002", aid, by)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import net
 from flowloom.operators import findings as FI
+from flowloom.operators import flows as FL
 from flowloom.operators import report as RP
 from flowloom.operators import whitelist as W
 from flowloom.session import stored
+from flowloom.sources import capture
 
 
 @dataclass
@@ -19,6 +22,7 @@ class Analysis:
     flows: DataFrame
     findings: DataFrame
     risk: DataFrame
+    observables: DataFrame | None = None
 
     def report(self, observables: DataFrame, analysis_id: str) -> DataFrame:
         head = self.flows.sparkSession.range(1).select(F.lit(analysis_id).alias("analysis_id"))
@@ -28,7 +32,7 @@ class Analysis:
 def analyse_flows(flows: DataFrame, observables: DataFrame | None = None, arp: DataFrame | None = None,
                   signatures: DataFrame | None = None, threshold: float = 5.0, analysis_id: str = "all",
                   strict: bool = True, lists: dict | None = None, rule_params: dict | None = None,
-                  keep: bool = True) -> Analysis:
+                  keep: bool = True, names: DataFrame | None = None) -> Analysis:
     """Detect on flows that already carry ``anomaly_score``.
 
     The whitelisted and scored flows feed every rule, so they are written once (``keep``) and read
@@ -37,7 +41,7 @@ def analyse_flows(flows: DataFrame, observables: DataFrame | None = None, arp: D
     marked = net.with_address_classes(W.with_suppression(W.mark_whitelisted(flows, **(lists or {})), strict), "src_ip", "dst_ip")
     base = stored(marked, "analysed-flows") if keep else marked
     active = base.where(~F.col("is_whitelisted"))
-    found = [FI.rule_findings(active, arp, observables, analysis_id, **(rule_params or {})),
+    found = [FI.rule_findings(active, arp, observables, analysis_id, names=names, **(rule_params or {})),
              FI.ml_findings(active, threshold, analysis_id)]
     if signatures is not None:
         found.append(FI.signature_findings(signatures, analysis_id))
@@ -56,8 +60,21 @@ def analyse_flows(flows: DataFrame, observables: DataFrame | None = None, arp: D
     return Analysis(scored, findings, FI.risk_score(findings))
 
 
-def analyse_packets(packets: DataFrame, score, **options) -> Analysis:
-    """Like :func:`analyse_flows` from decoded packets; ``score`` adds ``anomaly_score`` to flows."""
-    from flowloom.operators.flows import build_flows
+def analyse_packets(decoded: DataFrame, score: Callable[[DataFrame], DataFrame],
+                    enrich: Callable[[DataFrame], DataFrame] | None = None, **options) -> Analysis:
+    """From decoded packets to the report's parts; ``score`` adds ``anomaly_score`` to flows.
 
-    return analyse_flows(score(build_flows(packets)), **options)
+    Packets are decoded and stored once; flows, all their names, observables and ARP events read the
+    columns they need of that table. ``enrich`` adds what intelligence says of the observables
+    (``is_malicious``, ``newly_registered``); without it nothing is known of any.
+    """
+    packets = stored(decoded, "packets")
+    seen = capture.ip_packets(packets)
+    flows, names = stored(FL.flow_table(seen), "flows"), stored(FL.flow_names(seen), "names")
+    shown = FL.with_names(flows, names).drop(*[k for k in FL.KEY if k not in ("file", "protocol")])
+    observables = FL.build_observables(seen)
+    observables = enrich(observables) if enrich else observables.withColumns(
+        {"is_malicious": F.lit(False), "newly_registered": F.lit(False)})
+    found = analyse_flows(score(shown), observables, capture.arp_events(packets), names=FL.names_by_flow(flows, names), **options)
+    found.observables = observables
+    return found

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowloom import constants as K
+from flowloom.plans.analysis import analyse_packets
 from flowloom.plans.catalog import query
-from flowloom.plans.catalog.live import scratch
-from flowloom.sources import capture
+from flowloom.plans.catalog.flowbuild import _HEADS, _LAYER
+from flowloom.plans.catalog.live import _finish, scratch
 from flowloom.session import stored
+from flowloom.sources import capture
+from flowloom.streaming import live
 
 _KEPT = "seq % 17 <> 0 AND seq % 19 <> 0"
 _COLUMNS = """src_ip, dst_ip, cast(src_port AS int) AS src_port, cast(dst_port AS int) AS dst_port, protocol,
@@ -68,3 +72,39 @@ def _(t):
     rest = capture.decode_files(closed.select("path", "length")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").cast("int").alias("closed"))
     done = made.where(first).agg(F.sum("records").alias("own"))
     return rest.crossJoin(done).select("closed", (F.col("n") + F.col("own")).alias("packets"))  # one row each
+
+
+#: Flows to a listed port are whitelisted; no network or name of these packets is.
+_LISTED = " OR ".join(f"f_dport = {port} AND protocol = '{name}'" for port, name in K.WHITELIST_PORTS)
+
+
+@query("src_09_packets_to_findings", f"""
+WITH {_HEADS}, q AS (SELECT *, CASE WHEN fwd THEN dst_port ELSE src_port END AS srv FROM p), l AS (SELECT *, {_LAYER} AS layer FROM q),
+f AS (SELECT fkey, f_dport AS port, arg_max(layer, seq) FILTER (WHERE layer IS NOT NULL) AS app, sum(payload_len) AS total,
+  coalesce(sum(payload_len) FILTER (WHERE fwd), 0) AS sent FROM l WHERE NOT ({_LISTED}) GROUP BY fkey, f_dport)
+SELECT 'ARPSPOOFING-001' AS rule_id, count(*) AS findings FROM x_arp WHERE op = 1
+UNION ALL SELECT 'DNSTUNNEL-001', count(*) FROM f WHERE app = 'DNS' AND total > 200
+UNION ALL SELECT 'PORTMISMATCH-001', count(*) FROM f WHERE (app = 'SSH' AND port <> 22) OR (app = 'HTTP' AND port NOT IN (80, 443, 8080, 8000)) OR (app = 'DNS' AND port <> 53)
+UNION ALL SELECT 'OBSERVABLES', count(*) FROM (SELECT src_ip FROM x_packets UNION SELECT dst_ip FROM x_packets)""")
+def _(t):
+    """Packets with ARP events to flows, names, observables and findings in one call."""
+    arp = t.arp.select(F.lit("capture").alias("file"), F.col("op").alias("arp_op"), "sender_mac", "sender_ip", "target_ip", "ts")
+    found = analyse_packets(t.packets.unionByName(arp, allowMissingColumns=True), lambda flows: flows.withColumn("anomaly_score", F.lit(1.0)))
+    rules = found.findings.where(F.col("rule_id").isin("ARPSPOOFING-001", "DNSTUNNEL-001", "PORTMISMATCH-001"))
+    addresses = found.observables.where("type = 'ip'").agg(F.count(F.lit(1)).alias("findings"))
+    return rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).unionByName(
+        addresses.select(F.lit("OBSERVABLES").alias("rule_id"), "findings"))
+
+
+@query("str_10_chunk_analysis", f"""
+SELECT 4 AS analyses, count(*) AS packets, cast(sum(((payload_len % 200) + 200) % 200) AS bigint) AS bytes FROM x_packets WHERE {_KEPT}""")
+def _(t):
+    """Every closed chunk of a file stream becomes an analysis with its flows; the stream runs twice over the same chunks."""
+    made, out = written(t), scratch(t, "chunks")
+    folder = made.select("path").first()["path"].rsplit("/", 1)[0]
+    for checkpoint in ("first", "again"):
+        stream = t.spark.readStream.format("binaryFile").schema(capture.read_files(t.spark, folder).schema).option("pathGlobFilter", "*.pcap").load(folder)
+        _finish(live.analyse_chunks(stream, out, f"{out}-{checkpoint}"))
+    flows = t.spark.read.parquet(f"{out}/flows")
+    return flows.agg(F.count_distinct("analysis_id").cast("int").alias("analyses"), F.sum(F.col("packets_sent") + F.col("packets_recv")).alias("packets"),
+                     F.sum(F.col("bytes_sent") + F.col("bytes_recv")).alias("bytes"))

@@ -93,18 +93,39 @@ def enrich_alerts(alerts: DataFrame, providers: DataFrame, allowed=("info", "med
     return joined.withColumn("severity", F.coalesce(patched, F.col("severity")))
 
 
-def analyse_chunks(files: DataFrame, handle: Callable[[DataFrame, str], None], checkpoint: str,
+def chunk_tables(decoded: DataFrame) -> dict[str, DataFrame]:
+    """Flows, names, observables and skipped frames of decoded chunks, each under its chunk's analysis id."""
+    from flowloom.operators import flows as FL
+    from flowloom.sources import capture
+
+    def of_file(df: DataFrame) -> DataFrame:
+        return df.withColumn("analysis_id", F.substring(F.sha2("file", 256), 1, 16))
+
+    packets = capture.ip_packets(decoded.where("skipped IS NULL"))
+    return {"flows": of_file(FL.build_flows(packets)), "names": of_file(FL.flow_names(packets)),
+            "arp": of_file(capture.arp_events(decoded)), "skipped": of_file(capture.skipped_packets(decoded))}
+
+
+def analyse_chunks(files: DataFrame, out: str | Callable[[DataFrame, str], None], checkpoint: str,
                    trigger: dict | None = None) -> StreamingQuery:
     """Run the capture analysis on every new chunk file; the analysis id is the hash of its path.
 
-    ``files`` is a binaryFile stream; ``handle(decoded packets, analysis_id)`` gets all chunks of a
-    micro-batch at once, with ``analysis_id`` as a column, so chunks are analysed in parallel.
+    ``files`` is a binaryFile stream. Chunks of a micro-batch are decoded in ranges and analysed in
+    parallel; their tables (:func:`chunk_tables`) are written below ``out``, and an analysis that comes
+    again, after a failure or in another run, replaces its own partitions alone, so each is there once.
+    Instead of a path a function of the decoded packets, with ``analysis_id``, and the batch id may be given.
     """
+    from flowloom.operators.sinks import persist_analyses
+    from flowloom.session import stored
     from flowloom.sources import capture
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        decoded = capture.packets(batch).withColumn("analysis_id", F.substring(F.sha2("file", 256), 1, 16))
-        handle(decoded, str(batch_id))
+        decoded = stored(capture.decode_files(batch), "chunks")
+        if callable(out):
+            packets = decoded.where("skipped IS NULL").drop("skipped")
+            out(packets.withColumn("analysis_id", F.substring(F.sha2("file", 256), 1, 16)), str(batch_id))
+        else:
+            persist_analyses(out, **chunk_tables(decoded))
 
     return (files.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

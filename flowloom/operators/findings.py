@@ -175,6 +175,16 @@ def with_flow(findings: DataFrame, flows: DataFrame) -> DataFrame:
     return findings.join(flows.select(*extra), "flow_id", "left")
 
 
+def scores_with_findings(flows: DataFrame, findings: DataFrame, source: str = "ml") -> DataFrame:
+    """Flows that a source's findings point at, with their score and the number of those findings.
+
+    Findings are counted per flow first, so a flow with very many of them is one row in the join.
+    """
+    counts = findings.where((F.col("source") == source) & F.col("flow_id").isNotNull()).groupBy("flow_id").agg(
+        F.count(F.lit(1)).alias("findings"))
+    return flows.select("flow_id", "anomaly_score").join(counts, "flow_id")
+
+
 def evidence_observables(findings: DataFrame, observables: DataFrame) -> DataFrame:
     """Observables of the addresses a finding's evidence names, gathered per finding (two at most)."""
     ips = findings.select("finding_id", F.explode(F.array_distinct(F.array_compact(F.array(

@@ -10,6 +10,7 @@ from flowloom.operators import features as FT
 from flowloom.operators import findings as FI
 from flowloom.operators import intel as TI
 from flowloom.plans.catalog import query
+from flowloom.sources import capture
 
 c = F.col
 HOUR6 = 6 * 3_600_000_000
@@ -81,8 +82,7 @@ def _(t):
 @query("join_10_score_to_flow", """
 SELECT o.flow_id, o.anomaly_score, count(f.finding_id) AS ml_findings FROM x_order_flows o JOIN x_findings f ON o.flow_id=f.flow_id AND f.source='ml' GROUP BY 1,2""")
 def _(t):
-    ml = t.findings.where("source='ml'").groupBy("flow_id").agg(F.count(F.lit(1)).alias("ml_findings"))
-    return t.order_flows.select("flow_id", "anomaly_score").join(ml, "flow_id")
+    return FI.scores_with_findings(t.order_flows, t.findings).withColumnRenamed("findings", "ml_findings")
 
 
 @query("join_11_intel_lookup", """
@@ -98,8 +98,7 @@ def _(t):
 @query("join_12_unprocessed_files", """
 SELECT page_id FROM x_hosts WHERE host NOT IN (SELECT host FROM x_hosts WHERE host LIKE 't%')""")
 def _(t):
-    done = t.hosts.where("host LIKE 't%'").select("host").distinct()
-    return t.hosts.join(done, "host", "left_anti").select("page_id")
+    return capture.unprocessed(t.hosts, t.hosts.where("host LIKE 't%'"), "host").select("page_id")
 
 
 @query("join_13_attack_window_coverage", """

@@ -135,7 +135,12 @@ def closed_chunks(files: DataFrame, processed: DataFrame, quiet_seconds: int = 1
     clock = F.current_timestamp() if now is None else now
     ready = files.select("path", "length", "modificationTime").where(
         (F.col("length") > 0) & (F.col("modificationTime") <= clock - F.expr(f"interval {quiet_seconds} seconds")))
-    return ready.join(processed.select("path"), "path", "left_anti").orderBy("modificationTime", "path")
+    return unprocessed(ready, processed, "path").orderBy("modificationTime", "path")
+
+
+def unprocessed(rows: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the processed ones; rows without a key have not been processed."""
+    return rows.join(processed.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
 # ---- decoding inside a task ----------------------------------------------------------------

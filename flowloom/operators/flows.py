@@ -332,11 +332,13 @@ def idle_flows(packets: DataFrame, idle_seconds: float = 5, mirror: bool = True)
     """Directed flows closed by an idle gap, on a batch or a watermarked stream (column ``time``).
 
     A batch also gets the deviation and extremes of the gaps between packets; on a stream, where no
-    row sees its predecessor, the mean gap follows from the flow's span. ``mirror`` keeps the
+    row sees its predecessor, the mean gap follows from the flow's span (:mod:`flowloom.streaming.idle` keeps
+    state and gives a stream all columns). ``mirror`` keeps the
     packet-only view's convention of reporting received = sent.
     """
     key = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
-    idle = f"{int(idle_seconds * 1000)} milliseconds"
+    # sessions that touch are one session for Spark; a gap of the full idle time ends a flow
+    idle = f"{int(idle_seconds * 1e6) - 1} microseconds"
     rows = packets.where((F.col("src_ip") != "") & (F.col("dst_ip") != ""))
     length = F.col("length").cast("double")
     measures = [

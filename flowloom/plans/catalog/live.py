@@ -292,13 +292,16 @@ def _to_table(t, df, name, mode="append"):
 
 
 @query("str_04_stream_idle_flows", """
-WITH s AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w < 86400000000 THEN 0 ELSE 1 END AS fresh FROM x_events WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us)),
+WITH s AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER w < 86400000000 THEN 0 ELSE 1 END AS fresh, (ts_us - lag(ts_us) OVER w)/1e6 AS g FROM x_events WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY ts_us) AS sid FROM s),
-g AS (SELECT src_ip, dst_ip, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets_sent, cast(sum(length) AS bigint) AS bytes_sent FROM r GROUP BY src_ip, dst_ip, src_port, dst_port, protocol, sid)
-SELECT src_ip, dst_ip, start_us, packets_sent, bytes_sent FROM g WHERE last_us//1000 + 86400000 <= (SELECT max(ts_us)//1000 FROM x_events)""")
+g AS (SELECT src_ip, dst_ip, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS packets_sent, cast(sum(length) AS bigint) AS bytes_sent,
+  round(coalesce(avg(g) FILTER (WHERE fresh=0 AND g>0),0),3) AS iat_mean, round(coalesce(max(g) FILTER (WHERE fresh=0 AND g>0),0),3) AS iat_max,
+  round(coalesce(min(g) FILTER (WHERE fresh=0 AND g>0),0),3) AS iat_min, round(coalesce(stddev_pop(g) FILTER (WHERE fresh=0 AND g>0),0),2) AS iat_std FROM r GROUP BY src_ip, dst_ip, src_port, dst_port, protocol, sid)
+SELECT src_ip, dst_ip, start_us, packets_sent, bytes_sent, iat_mean, iat_max, iat_min, iat_std FROM g WHERE last_us//1000 + 86400000 <= (SELECT max(ts_us)//1000 FROM x_events)""")
 def _(t):
     flows = live.idle_flow_stream(stream_of(t, "events").events, 86400, "0 seconds")
-    return _to_table(t, flows, "idle").select("src_ip", "dst_ip", F.unix_micros("start_time").alias("start_us"), "packets_sent", "bytes_sent")
+    return _to_table(t, flows, "idle").select("src_ip", "dst_ip", F.unix_micros("start_time").alias("start_us"), "packets_sent", "bytes_sent",
+                                              *[F.round(n, d).alias(n) for n, d in (("iat_mean", 3), ("iat_max", 3), ("iat_min", 3), ("iat_std", 2))])
 
 
 @query("rule_18_stream_signature_threshold", """

@@ -22,10 +22,10 @@ def watermarked(stream: DataFrame, ts: str = "time", delay: str = "2 minutes") -
 
 
 def idle_flow_stream(packets: DataFrame, idle_seconds: float = 5, delay: str = "5 seconds") -> DataFrame:
-    """Directed flows, each emitted once its idle gap is over."""
-    from flowloom.operators.flows import idle_flows
+    """Directed flows, each emitted once its idle gap is over, with the columns of the batch form."""
+    from flowloom.streaming.idle import stream_idle_flows
 
-    return idle_flows(watermarked(packets, "time", delay), idle_seconds)
+    return stream_idle_flows(watermarked(packets, "time", delay), idle_seconds)
 
 
 def signature_threshold_stream(packets: DataFrame, port: int, count: int, window: str = "60 seconds",

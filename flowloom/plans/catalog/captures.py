@@ -24,7 +24,8 @@ _NAMES = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "payload_len",
 def written(t):
     """The frames of the given packets as capture files of the shared folder."""
     out = scratch(t, "captures")
-    out = out if "://" in out else f"file://{out}"
+    if "://" not in out:  # a plain path, or Spark's short form of a local one
+        out = f"file://{out.removeprefix('file:')}"
     return stored(capture.write_captures(t.frames.repartition(4, "seq").sortWithinPartitions("seq"), out), "capture-files")
 
 

@@ -15,6 +15,7 @@ from flowloom.plans.catalog import query
 from flowloom.session import shared_dir, spread
 from flowloom.sources import sensor
 from flowloom.streaming import live, rolling
+from flowloom.streaming.path import LivePath
 
 c = F.col
 H6 = 6 * 3_600_000_000
@@ -343,6 +344,51 @@ def _(t):
     return live.read_alerts(t.spark, out).groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The live path in one statement: entropy of the flows, scores, correlation, one limit for all alerts row by row, intelligence.
+_LIVE_PATH = f"""
+WITH RECURSIVE e AS (SELECT * REPLACE (CASE WHEN seq % 50 = 0 THEN '' ELSE src_ip END AS src_ip) FROM x_events WHERE seq % 45 <> 4),
+f AS (SELECT * FROM e WHERE seq % 6 = 0 AND seq % 50 <> 0), h AS (SELECT * FROM e WHERE seq % 6 = 1 AND k % 7 <> 0),
+p AS (SELECT a.seq, b.dst_port, count(*)::double AS n FROM f a JOIN f b ON a.src_ip=b.src_ip AND b.ts_us BETWEEN a.ts_us-{H6} AND a.ts_us GROUP BY 1,2),
+q AS (SELECT seq, round(greatest(0.0,-sum(n/t*log2(n/t))),6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY seq) AS t FROM p) GROUP BY 1),
+s AS (SELECT f.*, k/10 + CASE WHEN entropy > 1.5 THEN 0.5 ELSE 0 END AS score FROM f JOIN q USING (seq)),
+ano AS (SELECT *, least(src_ip,dst_ip) || '~' || greatest(src_ip,dst_ip) AS pair FROM s WHERE score >= 7), sig AS (SELECT *, least(src_ip,dst_ip) || '~' || greatest(src_ip,dst_ip) AS pair FROM h),
+m AS (SELECT a.pair, a.ts_us, a.dst_ip FROM ano a WHERE EXISTS (SELECT 1 FROM sig b WHERE a.pair=b.pair AND b.ts_us BETWEEN a.ts_us-{H6} AND a.ts_us)
+ UNION ALL SELECT a.pair, a.ts_us, a.dst_ip FROM sig a WHERE EXISTS (SELECT 1 FROM ano b WHERE a.pair=b.pair AND b.ts_us BETWEEN a.ts_us-{H6} AND a.ts_us)),
+al AS (SELECT ts_us, 'ml' AS type, dst_ip, CASE WHEN score>=9 THEN 'critical' WHEN score>=8 THEN 'high' ELSE 'medium' END AS severity FROM ano
+ UNION ALL SELECT ts_us, 'suricata', dst_ip, CASE k % 4 + 1 WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'medium' END FROM h
+ UNION ALL SELECT min(ts_us), 'correlation', arg_min(dst_ip, ts_us), 'critical' FROM m GROUP BY pair, ts_us//{H6}),
+o AS (SELECT *, row_number() OVER (ORDER BY ts_us, type = 'correlation') AS r FROM al),
+g AS (SELECT o.*, true AS ok, [ts_us] AS recent FROM o WHERE r = 1
+ UNION ALL SELECT o.*, len(list_filter(g.recent, lambda t: t >= o.ts_us - {H6})) < 40,
+  CASE WHEN len(list_filter(g.recent, lambda t: t >= o.ts_us - {H6})) < 40 THEN list_append(list_filter(g.recent, lambda t: t >= o.ts_us - {H6}), o.ts_us)
+   ELSE list_filter(g.recent, lambda t: t >= o.ts_us - {H6}) END FROM g JOIN o ON o.r = g.r + 1)
+SELECT ts_us, type, dst_ip, CASE WHEN cast(split_part(dst_ip,'.',4) AS bigint) % 3 = 0 AND severity NOT IN ('high','critical') THEN 'high' ELSE severity END AS severity FROM g WHERE ok"""
+
+
+def _providers(t):
+    """A verdict for every address that events go to; every third is malicious."""
+    last, n = F.element_at(F.split("dst_ip", r"\."), -1).cast("bigint"), F.lit(None)
+    return t.events.select("dst_ip").distinct().select(
+        c("dst_ip").alias("value"), F.when(last % 3 == 0, 5).otherwise(0).cast("bigint").alias("vt"), n.cast("bigint").alias("abuse"),
+        n.cast("boolean").alias("new_domain"), n.cast("bigint").alias("pulses"), n.cast("bigint").alias("sandbox"),
+        n.cast("string").alias("scanner"), n.cast("boolean").alias("known_good"), n.cast("bigint").alias("vulns"))
+
+
+def live_path(t):
+    """Scores of flows: a tenth of the packets, and a half for a source that varies its ports."""
+    varied = F.when(F.round("dst_port_entropy", 6) > 1.5, 0.5).otherwise(0.0)
+    return LivePath(lambda flows: flows.withColumn("anomaly_score", c("packets_sent") / 10 + varied), threshold=7.0, limit=40,
+                    limit_us=H6, correlation_us=H6, entropy_us=H6, providers=_providers(t))
+
+
+@query("str_01_live_path", _LIVE_PATH)
+def _(t):
+    out = scratch(t, "path")
+    events = sensor.parse_lines(sensor_lines(stream_of(t, "events")))
+    _finish(live_path(t).start(events, out, f"{out}/checkpoint", {"availableNow": True}))
+    return live.read_alerts(t.spark, out).select("ts_us", "type", "dst_ip", "severity")
+
+
 @query("str_07_stream_incidents", """
 SELECT src_ip, dst_ip, count(*) AS connections, cast(sum(n) AS bigint) AS alerts FROM (SELECT src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n FROM (
  SELECT * FROM x_events WHERE seq % 45 <> 4 AND seq % 6 = 0 AND seq % 50 <> 0 AND k>=70

@@ -64,7 +64,10 @@ def _ends() -> list[Column]:
 
 
 def to_flows(events: DataFrame) -> DataFrame:
-    """Flow rows of the sensor's flow events; events without a source are left out."""
+    """Flow rows of the sensor's flow events; events without a source are left out.
+
+    ``logged_us`` is when the sensor wrote the event, which is after the flow's end.
+    """
     start = values.parse_time(F.coalesce("flow.start", "timestamp"))
     end = values.parse_time(F.coalesce("flow.end", "timestamp"))
     flows = events.where((F.col("event_type") == "flow") & (F.coalesce("src_ip", F.lit("")) != ""))
@@ -75,7 +78,7 @@ def to_flows(events: DataFrame) -> DataFrame:
 
     mapped = flows.select(
         F.coalesce("flow_id", "tx_id").alias("flow_id"), *_ends(), F.upper(_text("proto", "TCP")).alias("protocol"),
-        start.alias("start_time"), end.alias("end_time"), F.greatest(F.lit(0), F.coalesce(ms, F.lit(0))).alias("duration_ms"),
+        start.alias("start_time"), end.alias("end_time"), F.unix_micros(values.parse_time(F.col("timestamp"))).alias("logged_us"), F.greatest(F.lit(0), F.coalesce(ms, F.lit(0))).alias("duration_ms"),
         _int("flow.bytes_toserver").alias("bytes_sent"), _int("flow.bytes_toclient").alias("bytes_recv"),
         _int("flow.pkts_toserver").alias("packets_sent"), _int("flow.pkts_toclient").alias("packets_recv"),
         F.coalesce("flow.mean_delta", F.lit(0.0)).alias("iat_mean"), F.lit(0.0).alias("iat_std"), F.lit(0.0).alias("iat_max"),

@@ -71,6 +71,7 @@ class Rolling:
 
     ``keep`` says what to remember of a batch, from its own rows and its result (all its rows without
     ``keep``); ``memo`` names a text column that remembered rows carry and fresh rows have as null.
+    ``columns`` are those that remembered rows need; their other columns come back as null.
     """
 
     operator: Callable[[DataFrame], DataFrame]
@@ -80,8 +81,10 @@ class Rolling:
     context: str
     keep: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     memo: str | None = None
+    columns: list[str] | None = None
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def process(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Answer one micro-batch; gives what was written of it."""
         spark = batch.sparkSession
         if self.memo:
             batch = batch.withColumn(self.memo, F.lit(None).cast("string"))
@@ -90,18 +93,20 @@ class Rolling:
         first, newest = batch.agg(F.min(self.ts), F.max(self.ts)).first()
         rows = batch.withColumn("fresh", F.lit(True))
         if first is not None:
-            earlier = context.recall(spark, batch.schema, first - self.span, batch_id)
+            held = batch.select(*(self.columns or batch.columns)).schema
+            earlier = context.recall(spark, held, first - self.span, batch_id)
             if earlier is not None:
-                rows = rows.unionByName(earlier.withColumn("fresh", F.lit(False)))
+                rows = rows.unionByName(earlier.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
         result = self.operator(rows).where("fresh").drop("fresh")
         target = f"{self.out}/batch={batch_id}"
         result.write.mode("overwrite").parquet(target)
+        passed = spark.read.schema(result.schema).parquet(target)
         if first is not None:
-            passed = spark.read.schema(result.schema).parquet(target)
-            recent = self.keep(batch, passed) if self.keep else batch
+            recent = (self.keep(batch, passed) if self.keep else batch).select(*(self.columns or batch.columns))
             context.remember(recent.where(F.col(self.ts) >= newest - 2 * self.span), batch_id)
             context.expire(spark, newest - 2 * self.span)
         batch.unpersist()
+        return passed
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
@@ -129,13 +134,13 @@ def triage_stream(out: str, context: str, span_us: int = 60_000_000, tie: str =
     return Rolling(judge, "ts_us", span_us, out, context, keep=remember, memo="known_rule")
 
 
-def rate_limit_stream(out: str, context: str, session: str, limit: int, window_us: int = 60_000_000) -> Rolling:
+def rate_limit_stream(out: str, context: str, session: str, limit: int, window_us: int = 60_000_000, tie: str = "id") -> Rolling:
     """Greedy alert limit; the context holds the alerts admitted in the last window."""
     from flowloom.operators.alerts import greedy_cap
 
     def admit(rows: DataFrame) -> DataFrame:
         marked = rows.withColumn("_passed", ~F.col("fresh"))
-        return greedy_cap(marked, session, "ts_us", limit, window_us, admitted="_passed")
+        return greedy_cap(marked, session, "ts_us", limit, window_us, tie, admitted="_passed")
 
     def admitted(rows: DataFrame, passed: DataFrame) -> DataFrame:
         return passed.select(*rows.columns)

@@ -85,16 +85,22 @@ def recommend_threshold(sweep: DataFrame, max_fp_rate: float = 0.10) -> DataFram
         F.desc("within_cap"), F.desc("f1"), F.asc("threshold")).limit(1)
 
 
+def _draw(keys: list[str], seed: int) -> Column:
+    """15 hexadecimal digits of a hash of the row's key, which other engines compute alike."""
+    told = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.substring(F.md5(told), 1, 15)
+
+
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows that are the same on every run: the smallest key hashes."""
-    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", _draw(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def stratified_sample(df: DataFrame, n: int, keys: list[str], attack: str = "is_attack", seed: int = 42) -> DataFrame:
     """At most a fifth attacks, the rest benign.
 
-    Each stratum is first thinned by key hash to a little more than wanted, in place, so the exact
-    cut sorts about as many rows as it returns.
+    Each stratum is first thinned in place to hashes under a bound that a little more rows than wanted
+    have, so the exact cut by the same hash sorts about as many rows as it returns.
     """
     sizes = {bool(r[attack]): r["count"] for r in df.groupBy(attack).count().collect()}  # two rows
     attacks_wanted = min(sizes.get(True, 0), n // 5)
@@ -104,8 +110,7 @@ def stratified_sample(df: DataFrame, n: int, keys: list[str], attack: str = "is_
         stratum = df.where(F.col(attack) == value)
         share = (count * 1.1 + 6 * count ** 0.5 + 50) / max(sizes.get(value, 0), 1)
         if share < 1:
-            near = F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(1 << 30))
-            stratum = stratum.where(near < int(share * (1 << 30)))
+            stratum = stratum.where(_draw(keys, seed) < f"{int(share * (1 << 60)):015x}")
         parts.append(sample_rows(stratum, count, keys, seed))
     return parts[1].unionByName(parts[0])
 

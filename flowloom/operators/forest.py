@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.values import calibrated_score
-from flowloom.session import ship, stored
+from flowloom.session import broadcast_if_small, ship, stored
 
 NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, path DOUBLE"
 MAX_MODEL_BYTES = 512 << 20
@@ -231,6 +231,29 @@ def score(df: DataFrame, forest: Forest, out: str = "decision") -> DataFrame:
     return df.withColumn(out, decide(*[F.col(n).cast("double") for n in forest.names]))
 
 
+def score_by_joins(df: DataFrame, keys: list[str], nodes: DataFrame, names: list[str], sample_size: int,
+                   offset: float = 0.0, out: str = "decision") -> DataFrame:
+    """(keys, decision) from the node table by joins alone: every row walks every tree, a level a join.
+
+    The plain form of :func:`score`, without a function in Python and without the forest on the driver. It
+    costs rows x trees per level; ``keys`` must tell rows apart. The node table is bounded by trees and sample
+    size and is broadcast behind a check of its size.
+    """
+    levels = int(nodes.agg(F.max(F.floor(F.log2(F.col("node") + 1.0)))).first()[0])
+    trees = nodes.select("tree").distinct()
+    table = broadcast_if_small(nodes, 2_000_000)
+    at = df.select(*keys, F.array(*[F.col(n).cast("double") for n in names]).alias("_x")).join(broadcast_if_small(trees)).withColumns(
+        {"node": F.lit(0), "_path": F.lit(None).cast("double")})
+    for _ in range(levels + 1):
+        met = at.join(table, ["tree", "node"], "left")
+        inner = F.col("feature") >= 0
+        step = (F.get("_x", F.col("feature")) > F.col("threshold")).cast("int")
+        at = met.select(*keys, "_x", "tree", F.when(inner, 2 * F.col("node") + 1 + step).otherwise(-1).alias("node"),
+                        F.coalesce("_path", F.when(~inner, F.col("path"))).alias("_path"))
+    scale = float(average_path(sample_size)) or 1.0
+    return at.groupBy(*keys).agg((-F.pow(F.lit(2.0), -F.avg("_path") / scale) - offset).alias(out))
+
+
 def fit(df: DataFrame, names: list[str], keys: list[str], trees: int = 300, sample_size: int = 4096,
         contamination: float = 0.08, seed: int = 42) -> Forest:
     """Train on ``df`` (benign rows) and place the boundary so that ``contamination`` of it is flagged.

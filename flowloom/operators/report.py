@@ -170,10 +170,12 @@ def context_observables(observables: DataFrame, n: int = 40) -> DataFrame:
     return observables.orderBy(F.desc("is_malicious"), F.desc("confidence"), "type", "value").limit(n)
 
 
-def context_bundle(findings: DataFrame, flows: DataFrame, observables: DataFrame, budget: int = 12000) -> DataFrame:
-    """One row of three JSON lists, each from a top list of fixed size; entries beyond ``budget`` characters are left out."""
+def context_bundle(findings: DataFrame, flows: DataFrame, observables: DataFrame, budget: int | None = None) -> DataFrame:
+    """One row of three JSON lists, each from a top list of fixed size; a ``budget`` leaves out whole entries beyond so many characters."""
     def block(df: DataFrame, name: str) -> DataFrame:
         entries = df.agg(F.transform(F.sort_array(F.collect_list(F.struct(*df.columns))), lambda e: F.to_json(e)).alias("entries"))
+        if budget is None:
+            return entries.select(F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]")).alias(name))
         start = F.struct(F.lit(1).alias("size"), F.array().cast("array<string>").alias("kept"))
 
         def add(state, entry):

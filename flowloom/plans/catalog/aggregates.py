@@ -268,10 +268,22 @@ def _(t):
     return RP.context_observables(t.observables).select("type", "value", "confidence")
 
 
-@query("topk_02_context_bundle")
+@query("topk_02_context_bundle", """
+SELECT * FROM (SELECT 'findings' AS list, finding_id AS name, severity_score::double AS score FROM x_findings WHERE NOT is_false_positive ORDER BY severity_score DESC, finding_id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'flows', flow_id::varchar, anomaly_score::double FROM x_flows ORDER BY anomaly_score DESC, flow_id LIMIT 25)
+UNION ALL SELECT * FROM (SELECT 'observables', type || ':' || value, confidence::double FROM x_obs ORDER BY is_malicious DESC, confidence DESC, type, value LIMIT 40)""")
 def _(t):
-    """Three JSON texts in one row; the lists behind them have their own checks."""
-    return RP.context_bundle(t.findings, t.flows.withColumn("severity_score", c("anomaly_score")), t.observables)
+    """The three JSON texts of the bundle, read back entry by entry."""
+    bundle = RP.context_bundle(t.findings, t.flows.withColumn("severity_score", c("anomaly_score")), t.observables)
+
+    def entries(name, schema, key, score):
+        return bundle.select(F.explode(F.from_json(name, f"array<struct<{schema}>>")).alias("e")).select(
+            F.lit(name).alias("list"), key.alias("name"), c(f"e.{score}").alias("score"))
+
+    found = entries("findings", "finding_id:string,severity_score:double", c("e.finding_id"), "severity_score")
+    flows = entries("flows", "flow_id:bigint,anomaly_score:double", c("e.flow_id").cast("string"), "anomaly_score")
+    return found.unionByName(flows).unionByName(entries(
+        "observables", "type:string,value:string,confidence:double", F.concat_ws(":", "e.type", "e.value"), "confidence"))
 
 
 @query("topk_03_review_candidates", """
@@ -337,11 +349,40 @@ def _(t):
                       F.get_json_object("indicator", "$.labels[0]").alias("label"))
 
 
-@query("snk_07_report_document")
+_PAIRS = ["findings_by_severity", "protocol_distribution", "top_talkers", "dns_top_domains", "port_heatmap", "traffic_timeline"]
+
+
+@query("snk_07_report_document", f"""
+WITH m AS (SELECT count(*) AS total, count(*) FILTER (WHERE {WL_FLAG}) AS listed, count(DISTINCT dst_ip) FILTER (WHERE NOT {DST_IN}) AS outside FROM x_flows),
+k AS (SELECT least(10.0, round(avg(severity_score),2)) AS risk FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY severity_score DESC) AS r
+ FROM x_findings WHERE NOT is_false_positive) WHERE r<=5 GROUP BY analysis_id)
+SELECT 'findings_by_severity' AS part, severity AS key, count(*)::double AS value FROM x_findings WHERE NOT is_false_positive GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'protocol_distribution', coalesce(application_layer, protocol), count(*) AS n FROM x_flows GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_talkers', src_ip, sum(bytes_sent+bytes_recv) AS n FROM x_flows GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'dns_top_domains', dns_query, count(*) AS n FROM x_flows WHERE dns_query IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'port_heatmap', dst_port::varchar, count(*) AS n FROM x_flows GROUP BY dst_port ORDER BY n DESC, dst_port LIMIT 20)
+UNION ALL SELECT 'traffic_timeline', strftime(make_timestamp(start_us), '%Y-%m-%d %H:%M'), sum(bytes_sent+bytes_recv) FROM x_flows GROUP BY 2
+UNION ALL SELECT 'flow_metrics', 'total_flows', total FROM m UNION ALL SELECT 'flow_metrics', 'whitelisted_flows', listed FROM m UNION ALL SELECT 'flow_metrics', 'unique_external_ips', outside FROM m
+UNION ALL SELECT 'observable_metrics', 'malicious_observables', count(*) FROM x_obs WHERE is_malicious
+UNION ALL SELECT 'observable_metrics', 'investigated_count', count(*) FROM x_obs WHERE status='complete' AND has_intel
+UNION ALL SELECT 'risk_score', 'all', max(risk) FROM k""")
 def _(t):
+    """The document's charts and metrics, read back from its JSON."""
     flows = white(t).withColumn("severity_score", c("anomaly_score"))
     minute = t.flows.agg(F.min("start_time").cast("string").alias("started"))
-    return RP.report_document(minute.withColumn("analysis_id", F.lit("all")), flows, t.findings, t.observables, FI.risk_score(t.findings))
+    document = RP.report_document(minute.withColumn("analysis_id", F.lit("all")), flows, t.findings, t.observables, FI.risk_score(t.findings))
+    pairs = "array<struct<key:string,value:double>>"
+    metrics = {"flow_metrics": ["total_flows", "whitelisted_flows", "unique_external_ips"], "observable_metrics": ["malicious_observables", "investigated_count"]}
+    body = F.from_json("report", ", ".join(["risk_score double", *[f"{n} {pairs}" for n in _PAIRS], *[f"{n} map<string,double>" for n in metrics]]))
+    parsed = document.select(body.alias("r"))
+
+    def chart(name):
+        return F.transform(f"r.{name}", lambda e: F.struct(F.lit(name).alias("part"), e["key"].alias("key"), e["value"].alias("value")))
+
+    lists = [chart(n) for n in _PAIRS]
+    values = [F.struct(F.lit(part).alias("part"), F.lit(name).alias("key"), c(f"r.{part}")[name].alias("value")) for part, names in metrics.items() for name in names]
+    values.append(F.struct(F.lit("risk_score").alias("part"), F.lit("all").alias("key"), c("r.risk_score").alias("value")))
+    return parsed.select(F.explode(F.concat(*lists, F.array(*values))).alias("e")).select("e.*")
 
 
 @query("snk_08_push_payloads", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowloom import constants as K
@@ -226,50 +227,95 @@ def forest_input(t):
     return FT.compact_features_from_dataset(rows, "row_id")
 
 
-@query("ml_07_forest_training")
-def _(t):
-    """Trees with their node counts; the split values are random by seed."""
-    benign = forest_input(t).where(FT.is_benign(c("Label")))
-    nodes = IF.train_nodes(benign, FOREST_FEATURES, ["flow_id"], benign.count(), trees=50, sample_size=512)
-    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(c("feature") < 0).alias("leaves"),
-                                     F.round(F.max("path"), 4).alias("deepest"))
+# A forest's splits are random by seed, so these queries show what must hold of any forest, tree by tree and row by row.
 
+_ROW_ID = "(cast(l_orderkey AS bigint)*8+l_linenumber)*1000000 + (l_partkey % 1000)*1000 + cast(floor(l_extendedprice*100+0.5) AS bigint) % 1000"
 
-@query("ml_08_forest_scoring")
+
+@query("ml_07_forest_training", "SELECT i::int AS tree, true AS binary, true AS joined, true AS bounded, true AS placed FROM range(50) r(i)")
 def _(t):
+    """Every tree is binary, hangs together, keeps to its sample's size and depth, and gives each leaf the path of its depth or more."""
+    benign = forest_input(t).where(FT.is_benign(c("Label")))
+    nodes = stored(IF.train_nodes(benign, FOREST_FEATURES, ["flow_id"], benign.count(), trees=50, sample_size=512), "nodes")
+    inner = nodes.where("feature >= 0").select("tree", c("node").alias("_parent"))
+    hung = nodes.withColumn("_parent", F.floor((c("node") - 1) / 2).cast("int")).join(inner.withColumn("_known", F.lit(True)), ["tree", "_parent"], "left")
+    level, leaf = F.floor(F.log2(c("node") + 1.0)), c("feature") < 0
+    return hung.groupBy("tree").agg(
+        (F.count(F.lit(1)) == 2 * F.count_if(leaf) - 1).alias("binary"), F.bool_and(c("_known").isNotNull() | (c("node") == 0)).alias("joined"),
+        ((F.count_if(leaf) <= 512) & (F.count_if(leaf) > 1) & (F.max(level) <= 9)).alias("bounded"),
+        F.bool_and(F.when(leaf, (c("path") >= level) & (c("threshold") == 0)).otherwise(c("feature") < len(FOREST_FEATURES))).alias("placed"))
+
+
+def walked(scaled, names, trees, sample_size, contamination=0.08):
+    """Every row's decision value by the Arrow function and by joins over the same stored node table."""
+    rows = scaled.count()
+    nodes = stored(IF.train_nodes(scaled, names, ["flow_id"], rows, trees=trees, sample_size=sample_size), "nodes")
+    forest = IF.load_forest(nodes, names, sample_size)
+    forest.offset = 0.0
+    forest.offset = float(IF.score(scaled, forest).agg(F.percentile_approx("decision", contamination, 10_000)).first()[0])
+    scored = IF.anomaly_scores(scaled, forest)
+    plain = IF.score_by_joins(scaled, ["flow_id"], nodes, names, sample_size, forest.offset, "walked")
+    return scored.join(plain, "flow_id"), forest
+
+
+@query("ml_08_forest_scoring", f"SELECT {_ROW_ID} AS flow_id, true AS same, true AS calibrated, true AS follows FROM lineitem")
+def _(t):
+    """Each row's decision is that of a walk through the node table; score and flag follow from it."""
     rows = forest_input(t)
-    model = training.train(rows.where(FT.is_benign(c("Label"))), FOREST_FEATURES, ["flow_id"], trees=50, sample_size=512)
-    return model.score(rows).select("flow_id", "decision", "anomaly_score", "flagged")
+    ranges = FT.feature_ranges(rows, FOREST_FEATURES)
+    scored, _ = walked(stored(FT.scale_with(rows, ranges, FOREST_FEATURES).select("flow_id", *FOREST_FEATURES), "scaled"), FOREST_FEATURES, 50, 512)
+    expected = F.greatest(F.lit(0.0), F.least(F.lit(10.0), 5.0 - 25.0 * c("walked")))
+    return scored.select("flow_id", (F.abs(c("decision") - c("walked")) < 1e-9).alias("same"),
+                         (F.abs(c("anomaly_score") - expected) < 0.0051 + 1e-9).alias("calibrated"), (c("flagged") == (c("anomaly_score") >= 5)).alias("follows"))
 
 
-@query("ml_10_fit_on_the_batch")
+@query("ml_10_fit_on_the_batch", f"SELECT {_ROW_ID} AS flow_id, true AS scored, true AS follows, true AS share_kept FROM lineitem")
 def _(t):
+    """All rows scored; the flagged share is the contamination that the boundary was placed for."""
     rows = forest_input(t).select("flow_id", *FOREST_FEATURES)
-    return IF.fit_and_score_batch(rows, FOREST_FEATURES, ["flow_id"], trees=50).select("flow_id", "anomaly_score", "flagged")
+    out = stored(IF.fit_and_score_batch(rows, FOREST_FEATURES, ["flow_id"], trees=50).select("flow_id", "anomaly_score", "flagged"), "batch-scores")
+    share = out.agg(F.avg(c("flagged").cast("double")).alias("share"))
+    return out.join(F.broadcast(share)).select(  # one row
+        "flow_id", c("anomaly_score").between(0, 10).alias("scored"), (c("flagged") == (c("anomaly_score") >= 5)).alias("follows"),
+        c("share").between(0.03, 0.08).alias("share_kept"))
 
 
-@query("ml_11_train_tune_evaluate")
+@query("ml_11_train_tune_evaluate", "SELECT 3.0::double+i*0.25 AS threshold, true AS counted, true AS recall_falls, true AS alarms_fall, true AS found FROM range(25) r(i)")
 def _(t):
-    """The workflow's threshold table."""
+    """The workflow's threshold table against a count of its scored rows per threshold."""
     _, out = training.run(forest_input(t), FOREST_FEATURES, ["flow_id"], trees=50, sample_size=512)
-    return out["sweep"]
-
-
-@query("udf_03_vector_scoring")
+    hit, bad, grid = c("score") >= c("threshold"), c("is_attack"), out["sweep"].select("threshold")
+    counts = out["scored"].join(F.broadcast(grid)).groupBy("threshold").agg(  # 25 thresholds
+        F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(bad).alias("attacks"), F.count_if(~bad).alias("benign"))
+    before = Window.orderBy("threshold")
+    near = [F.abs(c(name) - value) < 1e-4 for name, value in (
+        ("recall", c("tp") / c("attacks")), ("benign_fp_rate", c("fp") / c("benign")), ("precision", F.coalesce(F.try_divide(c("tp"), c("tp") + c("fp")), F.lit(0.0))))]
+    falls = [F.coalesce(c(n) <= F.lag(n).over(before), F.lit(True)) for n in ("recall", "benign_fp_rate")]
+    best = out["recommended"].select(c("threshold").alias("_best"), c("f1").alias("_f1"), "within_cap")
+    chosen = ~c("within_cap") | (c("benign_fp_rate") > 0.1) | (c("f1") < c("_f1")) | ((c("f1") == c("_f1")) & (c("threshold") >= c("_best")))
+    return out["sweep"].join(counts, "threshold").join(F.broadcast(best)).select(  # one row
+        "threshold", (near[0] & near[1] & near[2]).alias("counted"), falls[0].alias("recall_falls"), falls[1].alias("alarms_fall"), chosen.alias("found"))
+
+
+@query("udf_03_vector_scoring", "SELECT count(*) AS n, 0::bigint AS differences, true AS some_flagged FROM lineitem")
 def _(t):
-    """The Arrow scoring function on its own, summarised."""
+    """The Arrow scoring function on its own against joins over the node table."""
     rows = forest_input(t)
-    model = training.train(rows, FOREST_FEATURES, ["flow_id"], trees=20, sample_size=256)
-    return IF.score(FT.scale(rows, model.ranges), model.forest).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(c("decision") < 0).alias("flagged"))
+    scaled = stored(FT.scale_with(rows, FT.feature_ranges(rows, FOREST_FEATURES), FOREST_FEATURES).select("flow_id", *FOREST_FEATURES), "scaled")
+    scored, _ = walked(scaled, FOREST_FEATURES, 20, 256)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(c("decision") - c("walked")) > 1e-9).alias("differences"),
+                      (F.count_if(c("decision") < 0) > 0).alias("some_flagged"))
 
 
-@query("topk_07_deterministic_sample")
+@query("topk_07_deterministic_sample", """
+SELECT flow_id, score, is_attack, label FROM x_scored ORDER BY substr(md5(flow_id || '|42'),1,15), flow_id LIMIT 500""")
 def _(t):
     return E.sample_rows(t.scored_flows, 500, ["flow_id"])
 
 
-@query("topk_07_stratified_sample")
+@query("topk_07_stratified_sample", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY is_attack ORDER BY substr(md5(flow_id || '|42'),1,15), flow_id) AS r, count(*) FILTER (WHERE is_attack) OVER () AS attacks FROM x_scored)
+SELECT flow_id, score, is_attack, label FROM r WHERE r <= CASE WHEN is_attack THEN least(attacks, 200) ELSE 1000 - least(attacks, 200) END""")
 def _(t):
     return E.stratified_sample(t.scored_flows, 1000, ["flow_id"])
 

@@ -39,13 +39,17 @@ def on_day(df: DataFrame, ts: str, day: str) -> DataFrame:
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
-def training_runs(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
-    """Training-run documents, newest first, all or ``newest`` of them, with the metrics of their verification phase."""
+def all_training_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All training-run documents, newest first, with the metrics of their verification phase."""
     schema = ("run_id STRING, started_at STRING, status STRING, "
               "phases ARRAY<STRUCT<name: STRING, status: STRING, metrics: MAP<STRING, STRING>>>")
     runs = spark.read.option("multiLine", "true").schema(schema).json(path)
     verify = F.get(F.filter("phases", lambda p: p["name"].contains("verif")), F.lit(0))
     metric = {m: F.try_element_at(verify["metrics"], F.lit(m)).cast("double").alias(m)
               for m in ("accuracy", "precision", "recall", "f1")}
-    ordered = runs.select("run_id", "started_at", "status", *metric.values()).orderBy(F.desc("started_at"), F.asc("run_id"))
-    return ordered if newest is None else ordered.limit(newest)
+    return runs.select("run_id", "started_at", "status", *metric.values()).orderBy(F.desc("started_at"), F.asc("run_id"))
+
+
+def training_runs(spark: SparkSession, path: str, newest: int = 10) -> DataFrame:
+    """The list of the ``newest`` training runs; :func:`all_training_runs` reads every one."""
+    return all_training_runs(spark, path).limit(newest)

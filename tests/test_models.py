@@ -138,3 +138,21 @@ def test_labelled_scan_and_runs(spark, tmp_path):
         (tmp_path / f"run_{i:02}.json").write_text('{\n"run_id": "r%02d", "started_at": "2026-01-%02d", "status": "done", "phases": [{"name": "verify", "metrics": {"recall": "0.%d"}}]}' % (i, i + 1, i))
     runs = labelled.training_runs(spark, str(tmp_path / "run_*.json"))
     assert [r.run_id for r in runs.collect()][:2] == ["r11", "r10"] and runs.count() == 10 and runs.first().recall == 0.11
+
+
+def test_joins_walk_the_forest_as_the_scoring_function_does(spark):
+    df, names = planted(spark, 600, 6), ["a", "b", "c", "d"]
+    nodes = spark.createDataFrame(IF.train_nodes(df, names, ["row_id"], 600, 12, 64).collect(), IF.NODE_SCHEMA)
+    forest = IF.load_forest(nodes, names, 64)
+    forest.offset = -0.4
+    both = IF.score(df, forest).join(IF.score_by_joins(df, ["row_id"], nodes, names, 64, -0.4, "walked"), "row_id")
+    assert both.count() == 600 and both.where(F.abs(F.col("decision") - F.col("walked")) > 1e-12).isEmpty()
+    single = spark.createDataFrame([(0, 0, -1, 0.0, 3.0)], IF.NODE_SCHEMA)
+    assert {r.decision for r in IF.score_by_joins(df, ["row_id"], single, names, 1).collect()} == {-8.0 ** -1}
+
+
+def test_stratified_sample_is_the_sample_of_each_stratum(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 7 == 0).alias("is_attack"))
+    got = {r.id for r in E.stratified_sample(df, 300, ["id"]).collect()}
+    want = {r.id for v, n in ((True, 60), (False, 240)) for r in E.sample_rows(df.where(F.col("is_attack") == v), n, ["id"]).collect()}
+    assert got == want

@@ -7,9 +7,11 @@ one backslash away. In roles backslashes are doubled as well and a line feed is
 assistant texts, not the markers.
 
 Rows are sorted into ranges of conversations; a batch's headers, texts and footers are laid into one
-preallocated buffer: lengths, cumulative offsets, then one scatter per kind of segment. The buffer becomes
-the Arrow column as it is. A conversation of more than ``LARGE_TURNS`` rows may span ranges, so no task has to
-hold it; it then comes as several parts in order, every other one as a single part.
+preallocated buffer: lengths, cumulative offsets, then one scatter per kind of segment. The buffer is the
+Arrow column's data as it is, with offsets where parts begin; only the part that is open at a batch's edge is
+copied, to the front of the next buffer. A conversation of more than ``LARGE_TURNS`` rows may span ranges, so no
+task has to hold it, and one of more than ``PART_BYTES`` is cut between turns: both come as several parts in
+order, every other one as a single part.
 
 Edge cases: rows of a conversation go by turn, then role and text; null turns come first. Null roles and
 texts are empty; a null conv_id is a conversation of its own. Repeated rows are turns of their own. An empty
@@ -56,38 +58,85 @@ def unescape_role(role: bytes) -> bytes:
     return unescape(re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], role))
 
 
-def assemble(roles: list[bytes], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One buffer with all turns, the turns' offsets in it, and where each text begins.
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of the segments, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
-    ``data`` and ``offsets`` are the escaped texts.
+
+def assemble(kinds: list[bytes], kind: np.ndarray, data: np.ndarray, offsets: np.ndarray,
+             before: bytes | np.ndarray = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One buffer with all turns behind the bytes ``before``, the turns' offsets in it, and where each text begins.
+
+    ``kinds`` are the escaped roles and ``kind`` each turn's; ``data`` and ``offsets`` are the escaped texts.
     """
-    n = len(roles)
-    kinds = sorted(set(roles))
+    n, base = len(kind), len(before)
     heads = [OPEN + role + b"\n" for role in kinds]
-    kind = np.array([kinds.index(r) for r in roles]) if len(kinds) < 8 else np.array([{r: i for i, r in enumerate(kinds)}[r] for r in roles])
-    head_length = np.array([len(h) for h in heads], np.int64)[kind] if n else np.zeros(0, np.int64)
+    sizes = np.array([len(h) for h in heads], np.int64)
+    head_length = sizes[kind] if n else np.zeros(0, np.int64)
     foot = np.frombuffer(CLOSE + b"\n", np.uint8)
     text_length = np.diff(offsets)
-    turns = np.zeros(n + 1, np.int64)
-    np.cumsum(head_length + text_length + len(foot), out=turns[1:])
+    turns = np.full(n + 1, base, np.int64)
+    turns[1:] += np.cumsum(head_length + text_length + len(foot))
     buffer = np.empty(int(turns[-1]), np.uint8)
     texts = turns[:-1] + head_length
-    for i, head in enumerate(heads):
-        at = turns[:-1][kind == i]
-        buffer[at[:, None] + np.arange(len(head))] = np.frombuffer(head, np.uint8)
-    buffer[np.arange(len(data)) + np.repeat(texts - offsets[:-1], text_length)] = data
-    buffer[(turns[1:] - len(foot))[:, None] + np.arange(len(foot))] = foot
+    buffer[:base] = np.frombuffer(before, np.uint8) if isinstance(before, bytes) else before
+    if n:
+        named = np.frombuffer(b"".join(heads), np.uint8)
+        buffer[_ranges(turns[:-1], head_length)] = named[_ranges((np.cumsum(sizes) - sizes)[kind], head_length)]
+        buffer[_ranges(texts, text_length)] = data
+        buffer[(turns[1:] - len(foot))[:, None] + np.arange(len(foot))] = foot
     return buffer, turns, texts
 
 
 def _escaped(column) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes and offsets with a backslash behind the ``<`` of every control string.
+
+    All texts are searched at once; a match that reaches over the border of two texts is none.
+    """
     data, offsets = text_buffers(column)
-    if b"<" not in data.tobytes():
+    found = np.array([m.span() for m in _ESCAPE.finditer(memoryview(np.ascontiguousarray(data)))], np.int64).reshape(-1, 2)
+    inside = np.searchsorted(offsets, found[:, 0], "right") == np.searchsorted(offsets, found[:, 1] - 1, "right")
+    at = found[inside, 0]
+    if not len(at):
         return data, offsets
-    texts = [escape(data[offsets[i]:offsets[i + 1]].tobytes()) for i in range(len(offsets) - 1)]
-    out = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=out[1:])
-    return np.frombuffer(b"".join(texts), np.uint8), out
+    return np.insert(data, at + 1, 92), offsets + np.searchsorted(at, offsets, "left")
+
+
+def _part_borders(borders: np.ndarray, part_bytes: int) -> list[int]:
+    """Where the parts of one conversation begin, from the byte positions between its turns (first and end included)."""
+    starts, at = [], 0
+    while at < len(borders) - 1:
+        starts.append(int(borders[at]))
+        at = max(at + 1, int(np.searchsorted(borders, borders[at] + part_bytes, "right")) - 1)
+    return starts
+
+
+def _columns(at: int, ids: list, parts: list[int], counts: np.ndarray, buffer: np.ndarray, starts: np.ndarray,
+             low: np.ndarray, high: np.ndarray):
+    """Record batches of the parts that begin at ``starts[:-1]``; the buffer itself is the binary column.
+
+    ``low`` and ``high`` are the loss spans in the buffer. Offsets have 32 bits, so a batch spans at most 2^30 bytes
+    or one part.
+    """
+    import pyarrow as pa
+
+    first = 0
+    while first < len(ids):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 30), "right")) - 1)
+        last = min(last, len(ids))
+        edges = starts[first:last + 1]
+        offsets = (edges - edges[0]).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(buffer[edges[0]:edges[-1]])])
+        cuts = np.searchsorted(low, edges, "left")
+        inside = slice(cuts[0], cuts[-1])
+        origin = np.repeat(edges[:-1], np.diff(cuts))
+        spans = [pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(v[inside] - origin, pa.int64())) for v in (low, high)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[first:last], pa.int64()), pa.array(np.full(last - first, at, np.int32)), pa.array(parts[first:last], pa.int32()),
+             pa.array(counts[first:last], pa.int64()), blobs, *spans],
+            ["conv_id", "range", "part", "n_turns", "formatted", "loss_start", "loss_end"])
+        first = last
 
 
 def format_conversations(rows: DataFrame, large_turns: int = LARGE_TURNS, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -95,8 +144,6 @@ def format_conversations(rows: DataFrame, large_turns: int = LARGE_TURNS, part_b
 
     Loss spans are byte positions in ``formatted``.
     """
-    import pyarrow as pa
-
     given = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     large = given.groupBy("conv_id").count().where(F.col("count") > large_turns).select(F.col("conv_id").alias("__large"))
@@ -109,60 +156,51 @@ def format_conversations(rows: DataFrame, large_turns: int = LARGE_TURNS, part_b
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId()
-        held: dict = {"id": None, "part": 0, "any": False}
-        pending: list[tuple] = []
-
-        def row(turns):
-            blob, starts, ends, base = [], [], [], 0
-            for piece, low, high in turns:
-                blob.append(piece)
-                if low is not None:
-                    starts.append(base + low)
-                    ends.append(base + high)
-                base += len(piece)
-            return (held["id"], at, held["part"], len(turns), b"".join(blob), starts, ends)
+        none = np.zeros(0, np.int64)
+        # the part that is open at a batch's edge: its bytes, turns and loss spans go before the next batch's
+        held, conv, part, turns_held, low_held, high_held = b"", None, 0, 0, none, none
 
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int32()),
-                 pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.binary()),
-                 pa.array([r[5] for r in out], pa.list_(pa.int64())), pa.array([r[6] for r in out], pa.list_(pa.int64()))],
-                ["conv_id", "range", "part", "n_turns", "formatted", "loss_start", "loss_end"])
-
-        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_pylist()
-            roles = batch.column(1).to_pylist()
+            ids = batch.column(0)
+            known, values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            change = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (known[1:] != known[:-1])])
+            named = batch.column(1).dictionary_encode()
+            kinds = named.dictionary.to_pylist()
+            kind = named.indices.to_numpy()
             data, offsets = _escaped(batch.column(2))
-            buffer, turns, texts = assemble([escape_role(r.encode()) for r in roles], data, offsets)
-            ends = texts + np.diff(offsets)
-            whole = memoryview(buffer)
-            change = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
-            out = []
-            for a, b in zip(change, [*change[1:], len(ids)]):
-                if held["any"] and held["id"] != ids[a]:
-                    if pending:
-                        out.append(row(pending))
-                    pending, size = [], 0
-                    held.update(id=ids[a], part=0)
-                elif not held["any"]:
-                    held.update(id=ids[a], part=0, any=True)
-                for i in range(a, b):
-                    low, high = int(turns[i]), int(turns[i + 1])
-                    if pending and size + high - low > part_bytes:
-                        out.append(row(pending))
-                        pending, size = [], 0
-                        held["part"] += 1
-                    learned = roles[i] == "assistant"
-                    pending.append((whole[low:high], int(texts[i]) - low if learned else None, int(ends[i]) - low if learned else None))
-                    size += high - low
-            if out:
-                yield batch_of(out)
-            pending = [(bytes(p), x, y) for p, x, y in pending]
-        if pending:
-            yield batch_of([row(pending)])
+            buffer, turns, texts = assemble([escape_role(k.encode()) for k in kinds], kind, data, offsets, held)
+            learned = np.flatnonzero(np.array([k == "assistant" for k in kinds])[kind])
+            low = np.concatenate([low_held, texts[learned]])
+            high = np.concatenate([high_held, (texts + np.diff(offsets))[learned]])
+            part_ids, numbers, starts = [], [], []
+            goes_on = False
+            if turns_held:
+                goes_on = conv == (int(values[0]) if known[0] else None)
+                if not goes_on:
+                    part_ids, numbers, starts = [conv], [part], [0]
+            ends = np.append(change[1:], len(values))
+            for i, (a, b) in enumerate(zip(change.tolist(), ends.tolist())):
+                first = i == 0 and goes_on
+                borders = turns[a:b + 1]
+                if first:
+                    borders = np.concatenate([[0], borders])
+                begins = [int(borders[0])] if borders[-1] - borders[0] <= part_bytes else _part_borders(borders, part_bytes)
+                starts += begins
+                number = part if first else 0
+                numbers += range(number, number + len(begins))
+                part_ids += [int(values[a]) if known[a] else None] * len(begins)
+            edges = np.append(np.array(starts, np.int64), len(buffer))
+            counts = np.diff(np.searchsorted(turns[:-1], edges, "left"))
+            counts[0] += turns_held
+            yield from _columns(at, part_ids[:-1], numbers[:-1], counts[:-1], buffer, edges[:-1], low, high)
+            opened = int(edges[-2])
+            rest = np.searchsorted(low, opened, "left")
+            held, conv, part, turns_held = buffer[opened:].copy(), part_ids[-1], numbers[-1], int(counts[-1])
+            low_held, high_held = low[rest:] - opened, high[rest:] - opened
+        if turns_held:
+            yield from _columns(at, [conv], [part], np.array([turns_held]), held, np.array([0, len(held)]), low_held, high_held)
 
     return arrow_map(dealt.sortWithinPartitions(*order).select("conv_id", "role", "text"), run, FORMATTED)
 

@@ -111,6 +111,44 @@ def test_conversations_read_back(rows, large, part_bytes):
         assert formatted.count() == len(want)
 
 
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=6).map("".join), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_texts_are_escaped_together_as_one_by_one(texts):
+    import pyarrow as pa
+
+    data, offsets = chatformat._escaped(pa.array(texts, pa.string()))
+    got = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+    assert got == [chatformat.escape(t.encode()) for t in texts]
+    assert [chatformat.unescape(g).decode() for g in got] == texts
+
+
+@pytest.mark.parametrize("per_batch", [1, 3])
+def test_conversations_go_on_over_batches(spark, rows, per_batch):
+    data = [(c if c else None, i, "assistant" if i % 2 else "user", "<|im_end|>" * (i % 3) + "x" * (i * c % 23), 1, "x") for c in range(12) for i in range(1 + c * 2 % 7)]
+    columns = ["conv_id", "part", "n_turns", "formatted", "loss_start", "loss_end"]
+
+    def parts(size):
+        got = chatformat.format_conversations(rows(data, CHAT), 1024, size).select(columns).collect()
+        return sorted((repr(r.conv_id), r.part, r.n_turns, bytes(r.formatted), r.loss_start, r.loss_end) for r in got)
+
+    whole, cut = parts(1 << 22), parts(90)
+    known = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    try:
+        assert parts(1 << 22) == whole and parts(90) == cut
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", known)
+    assert len(whole) == 12 < len(cut)
+    joined = {}
+    for conv, _, turns, blob, starts, ends in cut:
+        held = joined.setdefault(conv, [0, b"", []])
+        assert len(blob) <= 90 or turns == 1
+        held[2] += [blob[a:b] for a, b in zip(starts, ends)]
+        held[0], held[1] = held[0] + turns, held[1] + blob
+    assert [(conv, 0, *held[:2]) for conv, held in sorted(joined.items())] == [w[:4] for w in whole]
+    assert all(joined[w[0]][2] == [w[3][a:b] for a, b in zip(w[4], w[5])] for w in whole)
+
+
 def test_no_conversations(rows):
     assert chatformat.digests(chatformat.format_conversations(rows([], CHAT))).count() == 0
 

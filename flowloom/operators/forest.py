@@ -170,7 +170,8 @@ def assign_to_trees(df: DataFrame, keys: list[str], rows: int, trees: int, sampl
     """Rows repeated for the trees that sample them; most rows of a large input are dropped here.
 
     The expected draws per row are ``trees * sample_size / rows``; draws and tree ids come from
-    hashes of the row's key, so a retried task picks the same rows.
+    hashes of the row's key, so a retried task picks the same rows. A row's trees differ: they lie a step apart
+    that shares no divisor with the number of trees, so a tree's sample is drawn without replacement.
     """
     if rows <= sample_size:
         return df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
@@ -179,12 +180,15 @@ def assign_to_trees(df: DataFrame, keys: list[str], rows: int, trees: int, sampl
     rate = trees * (sample_size + 3.2 * math.sqrt(sample_size)) / rows
     whole, part = int(rate), rate - int(rate)
     u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    draws = F.lit(whole) + (u < part).cast("int")
+    draws = F.least(F.lit(trees), F.lit(whole) + (u < part).cast("int"))
+    steps = F.array(*[F.lit(s) for s in range(1, trees + 1) if math.gcd(s, trees) == 1])
+    step = F.get(steps, F.pmod(F.xxhash64(*keys, F.lit(seed + 2)), F.size(steps)).cast("int"))
+    first = F.pmod(F.xxhash64(*keys, F.lit(seed + 3)), F.lit(trees))
     picked = df.withColumn("_k", draws).where(F.col("_k") > 0)
     slots = F.explode(F.sequence(F.lit(1), F.col("_k")))
     hashed = F.xxhash64(*keys, F.col("_i"), F.lit(seed + 1))
     return (picked.withColumn("_i", slots).withColumn("_draw", hashed)
-            .withColumn("tree", F.pmod("_draw", F.lit(trees)).cast("int")).drop("_k", "_i"))
+            .withColumn("tree", F.pmod(first + F.col("_i") * step, F.lit(trees)).cast("int")).drop("_k", "_i"))
 
 
 def train_nodes(df: DataFrame, names: list[str], keys: list[str], rows: int, trees: int = 300,

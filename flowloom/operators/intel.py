@@ -97,12 +97,19 @@ def enrich_with(df: DataFrame, key: str, fn: Callable[[pd.Series], pd.DataFrame]
     return distinct.mapInPandas(call, schema)
 
 
-def compact_intel(provider: Column, payload: Column, keep: dict[str, list[str]], budget: int = 6000) -> Column:
-    """Per provider only the listed payload fields (``payload`` is JSON), cut to ``budget``."""
+def compact_intel(provider: Column, payload: Column, keep: dict[str, list[str]], budget: int | None = None) -> Column:
+    """Per provider only the listed payload fields (``payload`` is JSON).
+
+    With a ``budget`` an answer of more characters is left out as a whole and its length stands for it, so what
+    is returned always parses.
+    """
     out = payload
     for name, fields in keep.items():
         slim = F.to_json(F.struct(*[F.get_json_object(payload, f"$.{f}").alias(f) for f in fields]))
         out = F.when(provider == name, slim).otherwise(out)
     error = F.get_json_object(payload, "$.error")
-    failed = F.to_json(F.struct(F.substring(error, 1, 80).alias("error")))
-    return F.substring(F.when(error.isNotNull(), failed).otherwise(out), 1, budget)
+    failed = F.to_json(F.struct(error.alias("error")))
+    whole = F.when(error.isNotNull(), failed).otherwise(out)
+    if budget is None:
+        return whole
+    return F.when(F.length(whole) > budget, F.to_json(F.struct(F.length(whole).alias("omitted_chars")))).otherwise(whole)

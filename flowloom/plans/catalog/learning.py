@@ -65,6 +65,22 @@ def dataset(t):
         (c("l_tax") * 5e5).alias("Fwd IAT Mean"), label.alias("attack_label"))
 
 
+@query("src_10_training_runs", """
+SELECT 'an' || o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'failed' ELSE 'running' END AS status, (o_orderkey % 97)/100 AS recall, (o_orderkey % 13)/100 AS f1 FROM orders""")
+def _(t):
+    """Each analysis as a run document, written and read back with the metrics of its verification phase."""
+    import uuid
+
+    from flowloom.session import shared_dir
+
+    out = f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex[:10]}"
+    metrics = F.create_map(F.lit("recall"), (c("total_flows") / 100).cast("string"), F.lit("f1"), (c("total_findings") / 100).cast("string"))
+    phases = F.array(F.struct(F.lit("train").alias("name"), F.lit(None).cast("map<string,string>").alias("metrics")),
+                     F.struct(F.lit("verify").alias("name"), metrics.alias("metrics")))
+    t.analyses.select(c("analysis_id").alias("run_id"), c("created_at").cast("string").alias("started_at"), "status", phases.alias("phases")).write.json(out)
+    return labelled.documents_of_runs(t.spark.read.schema(labelled.RUN_SCHEMA).json(out)).select("run_id", "status", "recall", "f1")
+
+
 @query("ml_02_compact_features_from_dataset", """
 SELECT (cast(l_orderkey AS bigint)*8+l_linenumber)*1000000 + (l_partkey % 1000)*1000 + cast(floor(l_extendedprice*100+0.5) AS bigint) % 1000 AS flow_id,
  (l_partkey % 1000)::double AS dst_port, round(ln(1+greatest(l_quantity*1000*b,0)/1000),4) AS duration_ms_log, l_quantity::double AS fwd_packets, l_linenumber::double AS bwd_packets,

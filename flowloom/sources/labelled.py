@@ -39,15 +39,22 @@ def on_day(df: DataFrame, ts: str, day: str) -> DataFrame:
     return df.where((F.col(ts) >= start) & (F.col(ts) < end))
 
 
-def all_training_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All training-run documents, newest first, with the metrics of their verification phase."""
-    schema = ("run_id STRING, started_at STRING, status STRING, "
+RUN_SCHEMA = ("run_id STRING, started_at STRING, status STRING, "
               "phases ARRAY<STRUCT<name: STRING, status: STRING, metrics: MAP<STRING, STRING>>>")
-    runs = spark.read.option("multiLine", "true").schema(schema).json(path)
+
+
+def documents_of_runs(runs: DataFrame) -> DataFrame:
+    """Run documents (``RUN_SCHEMA``) as rows with the metrics of their verification phase."""
     verify = F.get(F.filter("phases", lambda p: p["name"].contains("verif")), F.lit(0))
     metric = {m: F.try_element_at(verify["metrics"], F.lit(m)).cast("double").alias(m)
               for m in ("accuracy", "precision", "recall", "f1")}
-    return runs.select("run_id", "started_at", "status", *metric.values()).orderBy(F.desc("started_at"), F.asc("run_id"))
+    return runs.select("run_id", "started_at", "status", *metric.values())
+
+
+def all_training_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All training-run documents, one a file, newest first, with the metrics of their verification phase."""
+    runs = spark.read.option("multiLine", "true").schema(RUN_SCHEMA).json(path)
+    return documents_of_runs(runs).orderBy(F.desc("started_at"), F.asc("run_id"))
 
 
 def training_runs(spark: SparkSession, path: str, newest: int = 10) -> DataFrame:

@@ -366,3 +366,18 @@ def test_context_is_written_once_and_expires(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ctx")).count() == 100
     run.process(batch(50_000), 2)
     assert {b for _, b, _ in held()} == {"batch=2"}
+
+
+def test_compact_intel_always_parses(spark):
+    from flowloom.operators.intel import compact_intel
+
+    long = "x" * 300
+    df = spark.createDataFrame([("vt", json.dumps({"score": 3, "extra": long})), ("otx", json.dumps({"note": long})),
+                                ("abuse", json.dumps({"error": long})), ("otx", None)], "provider string, payload string")
+
+    def shown(budget):
+        out = df.select(compact_intel(F.col("provider"), F.col("payload"), {"vt": ["score"]}, budget).alias("j")).collect()
+        return [r.j and json.loads(r.j) for r in out]
+
+    assert shown(None) == [{"score": "3"}, {"note": long}, {"error": long}, None]
+    assert shown(100) == [{"score": "3"}, {"omitted_chars": 312}, {"omitted_chars": 312}, None]

@@ -156,3 +156,19 @@ def test_stratified_sample_is_the_sample_of_each_stratum(spark):
     got = {r.id for r in E.stratified_sample(df, 300, ["id"]).collect()}
     want = {r.id for v, n in ((True, 60), (False, 240)) for r in E.sample_rows(df.where(F.col("is_attack") == v), n, ["id"]).collect()}
     assert got == want
+
+
+def test_no_row_enters_a_tree_twice(spark):
+    for rows, trees, wanted in ((3000, 12, 2000), (3000, 7, 2900), (50_000, 1, 400), (20_000, 30, 256)):
+        drawn = IF.assign_to_trees(spark.range(rows), ["id"], rows, trees, wanted).groupBy("tree", "id").count()
+        assert drawn.where("count > 1").isEmpty()
+        sizes = {r.tree: r["count"] for r in drawn.groupBy("tree").count().collect()}
+        assert set(sizes) == set(range(trees)) and min(sizes.values()) >= 0.97 * wanted
+
+
+def test_all_training_runs_and_the_newest(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"run_{i:02}.json").write_text('{"run_id": "r%02d", "started_at": "2026-01-%02d", "status": "done"}' % (i, i + 1))
+    path = str(tmp_path / "run_*.json")
+    assert [r.run_id for r in labelled.all_training_runs(spark, path).collect()] == [f"r{i:02}" for i in reversed(range(12))]
+    assert [r.run_id for r in labelled.training_runs(spark, path, 3).collect()] == ["r11", "r10", "r09"]

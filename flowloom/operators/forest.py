@@ -22,6 +22,7 @@ from flowloom.session import broadcast_if_small, ship, stored
 
 NODE_SCHEMA = "tree INT, node INT, feature INT, threshold DOUBLE, path DOUBLE"
 MAX_MODEL_BYTES = 512 << 20
+NODE_BYTES = 20  # a packed node: feature, threshold and path
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -148,7 +149,7 @@ def _pack(node_rows: pd.DataFrame, names: list[str], sample_size: int) -> Forest
     trees = int(node_rows["tree"].nunique())
     depth = int(np.floor(np.log2(node_rows["node"].to_numpy() + 1)).max())
     width = 2 ** (depth + 1) - 1
-    if trees * width * 20 > MAX_MODEL_BYTES:
+    if trees * width * NODE_BYTES > MAX_MODEL_BYTES:
         raise ValueError("forest too large to hand to every executor; use fewer trees or smaller samples")
     index = node_rows["tree"].rank(method="dense").to_numpy().astype(int) - 1
     feature = np.zeros((trees, width), dtype=np.int32)
@@ -216,8 +217,12 @@ def train_nodes(df: DataFrame, names: list[str], keys: list[str], rows: int, tre
 
 
 def load_forest(nodes: DataFrame, names: list[str], sample_size: int) -> Forest:
-    """The node table on the driver: at most trees x (2 x sample_size - 1) rows."""
-    return _pack(nodes.toPandas(), names, sample_size)
+    """The node table on the driver: at most trees x (2 x sample_size - 1) rows, and never more than a model may have."""
+    most = MAX_MODEL_BYTES // NODE_BYTES
+    rows = nodes.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError("forest too large to hand to every executor; use fewer trees or smaller samples")
+    return _pack(rows, names, sample_size)
 
 
 def score(df: DataFrame, forest: Forest, out: str = "decision") -> DataFrame:

@@ -172,3 +172,10 @@ def test_all_training_runs_and_the_newest(spark, tmp_path):
     path = str(tmp_path / "run_*.json")
     assert [r.run_id for r in labelled.all_training_runs(spark, path).collect()] == [f"r{i:02}" for i in reversed(range(12))]
     assert [r.run_id for r in labelled.training_runs(spark, path, 3).collect()] == ["r11", "r10", "r09"]
+
+
+def test_a_forest_beyond_the_bound_is_not_collected(spark, monkeypatch):
+    nodes = spark.range(50).selectExpr("0 AS tree", "int(id) AS node", "-1 AS feature", "0D AS threshold", "1D AS path")
+    monkeypatch.setattr(IF, "MAX_MODEL_BYTES", 40 * IF.NODE_BYTES)
+    with pytest.raises(ValueError):
+        IF.load_forest(nodes, ["a"], 16)

@@ -4,8 +4,8 @@ Documents are cut into passages of 24 words, encoded as word numbers of the benc
 frequencies count all passages. A randomised decomposition of the TF-IDF passages gives the latent space:
 every task multiplies its passages into a random sketch (A^T A) G, the sketches are summed, and the right
 singular vectors follow from the sum alone. The benchmark's own passages enter with the same total energy as
-the corpus. The decomposition is fitted on a hash sample of about ``FIT_PASSAGES`` passages and scaled by the
-energy of these passages; every passage of every document is then projected. Windows of two passages are compared by cosine with the benchmark
+the corpus. The decomposition is fitted on all passages of the corpus and scaled by their energy; every
+passage of every document is then projected. Windows of two passages are compared by cosine with the benchmark
 segments of up to 24 words, windows of three with the longer ones, in blocks. A window is a candidate if its
 cosine reaches a floor, or if its product with the segment reaches a share of the segment's own square, which
 other words in the window do not dilute. Items that occur word by word, whatever their length, are found by
@@ -36,7 +36,6 @@ from flowloom.llm.common import arrow_map, text_of, with_row_key
 from flowloom.session import stored
 
 PASSAGE = 24
-FIT_PASSAGES = 1 << 18
 SEGMENT = 48
 RANK = 96
 EXTRA = 16
@@ -48,6 +47,8 @@ ANSWER_SHARE = 0.5
 STRETCH = 1.25
 BLOCK_BYTES = 1 << 18
 SLICE_WORDS = 1 << 18
+COMMON = 256
+FIT_PASSAGES = 512  # multiplied at a time while fitting; all passages are fitted on
 RESULT = "doc_id bigint, item_id bigint, item_words int, matched_words int, similarity double"
 
 
@@ -167,35 +168,39 @@ def _energy(matrix: np.ndarray, idf: np.ndarray) -> float:
     return total
 
 
-def _sampled(ids: np.ndarray, held: np.ndarray, matrix: np.ndarray, share: float) -> np.ndarray:
-    """The passages drawn by their document's id, their place in it and their words."""
-    first = np.cumsum(held) - held
-    place = np.arange(len(matrix)) - np.repeat(first, held)
-    multipliers = bytewords.mix(np.arange(1, PASSAGE + 1, dtype=np.uint64))
-    code = bytewords.mix((matrix.astype(np.uint64) * multipliers).sum(axis=1, dtype=np.uint64) + np.uint64(1))
-    code = bytewords.mix(code + bytewords.mix(np.repeat(ids.astype(np.uint64), held) + np.uint64(1)))
-    code = bytewords.mix(code + bytewords.mix(place.astype(np.uint64) + np.uint64(1)))
-    return matrix[code < np.uint64(int(share * 2.0**64))]
+def _places(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``COMMON`` most frequent words, and per word its place among them; the others and foreign words share the last place."""
+    common = np.argsort(idf, kind="stable")[:COMMON]
+    place = np.full(len(idf) + 1, len(common))
+    place[common] = np.arange(len(common))
+    return common, place
 
 
-def _gram_sketch(matrix: np.ndarray, idf: np.ndarray, table: np.ndarray, into: np.ndarray) -> None:
-    """Adds (A^T A) G of these passages to ``into``; ``table`` is G weighted by idf, with a zero row."""
-    foreign = len(idf)
-    for at in range(0, len(matrix), 512):
-        part = matrix[at:at + 512]
+def _gram_sketch(matrix: np.ndarray, idf: np.ndarray, table: np.ndarray, places: tuple[np.ndarray, np.ndarray], into: np.ndarray) -> None:
+    """Adds (A^T A) G of these passages to ``into``; ``table`` is G weighted by idf, with a zero row.
+
+    The back step takes frequent words as a dense product and sums the rows of the others, word by word.
+    """
+    foreign, (common, place) = len(idf), places
+    width = len(common) + 1
+    for at in range(0, len(matrix), FIT_PASSAGES):
+        part = matrix[at:at + FIT_PASSAGES]
         flat = part.ravel()
-        own = np.flatnonzero(flat != foreign)
+        projected, spot = _project(part, table), place[flat]
+        counts = np.bincount(spot + np.arange(len(flat)) // PASSAGE * width, minlength=len(part) * width).reshape(-1, width)
+        into[common] += (counts[:, :-1].astype(np.float32).T @ projected) * idf[common, None]
+        own = np.flatnonzero((spot == width - 1) & (flat != foreign))
         own = own[np.argsort(flat[own], kind="stable")]
         if not len(own):
             continue
         word = flat[own]
         first = np.flatnonzero(np.r_[True, np.diff(word) > 0])
-        back = np.add.reduceat(_project(part, table)[own // PASSAGE], first, axis=0)
+        back = np.add.reduceat(projected[own // PASSAGE], first, axis=0)
         into[word[first]] += back * idf[word[first], None]
 
 
-def sketch(encoded: DataFrame, idf: np.ndarray, random: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """The sum of all tasks' sketches over a hash sample of ``share`` of the passages, and the sample's energy.
+def sketch(encoded: DataFrame, idf: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, float]:
+    """The sum of all tasks' sketches over all passages, and the passages' energy.
 
     Tasks hand on slices of rows, and adding tasks hold one slice each; the energy is a slice of its own.
     """
@@ -209,13 +214,11 @@ def sketch(encoded: DataFrame, idf: np.ndarray, random: np.ndarray, share: float
     def partial(batches):
         idf, random = shared.value
         table = np.vstack([random * idf[:, None], np.zeros((1, width), np.float32)])
+        places = _places(idf)
         total, energy = np.zeros((size, width), np.float64), 0.0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a, b, matrix, held in _passages(batch, size):
-                if share < 1.0:
-                    matrix = _sampled(ids[a:b], held, matrix, share)
-                _gram_sketch(matrix, idf, table, total)
+            for _, _, matrix, _ in _passages(batch, size):
+                _gram_sketch(matrix, idf, table, places, total)
                 energy += _energy(matrix, idf)
         parts = [total[a:b] for a, b in zip(borders[:-1], borders[1:])] + [np.array([energy])]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices + 1, dtype=np.int32)),
@@ -249,7 +252,7 @@ def latent_space(encoded: DataFrame, items: Items, seed: int = 5) -> Latent:
     idf = (np.log((2.0 + passages) / (1.0 + held)) ** 2).astype(np.float32)
     width = min(size, RANK + EXTRA)
     random = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
-    corpus, whole = sketch(encoded, idf, random, min(1.0, FIT_PASSAGES / max(1, passages)))
+    corpus, whole = sketch(encoded, idf, random)
     pieces, owner = [], []
     for k, words in enumerate(items.words):
         for piece in np.array_split(words, -(-len(words) // SEGMENT)):

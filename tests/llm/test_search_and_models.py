@@ -269,3 +269,35 @@ def test_training_is_repeatable():
     texts, labels = [b"good words here", b"vile words here"] * 20, np.array([0, 1] * 20)
     one, two = toxicity.train(texts, labels), toxicity.train(texts, labels)
     assert (one.weights == two.weights).all() and one.bias == two.bias
+
+
+def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """The sketch is (A^T A) G of every passage's TF-IDF row, and the energy that of all of them."""
+    import pyarrow as pa
+
+    from flowloom.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    items = D.encode_items([1], pa.array([" ".join(words)]))
+    texts = [" ".join(rng.choice(words, size=int(n), p=np.arange(400, 0, -1) / 80200)) for n in rng.integers(1, 200, 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    encoded = D.encode(docs, items, "doc_id", "text")
+    passages = np.concatenate([m for b in encoded.toArrow().to_batches() for _, _, m, _ in D._passages(b, len(items.vocabulary))])
+    monkeypatch.setattr(D, "FIT_PASSAGES", 50, raising=False)
+    monkeypatch.setattr(D, "COMMON", 64, raising=False)
+    seen, inner = {}, D.sketch
+
+    def spy(encoded, idf, random, *rest):
+        seen.update(idf=idf, random=random, found=inner(encoded, idf, random, *rest))
+        return seen["found"]
+
+    monkeypatch.setattr(D, "sketch", spy)
+    D.latent_space(encoded, items)
+    dense = np.zeros((len(passages), len(seen["idf"]) + 1))
+    np.add.at(dense, (np.repeat(np.arange(len(passages)), D.PASSAGE), passages.ravel()), 1.0)
+    dense = dense[:, :-1] * seen["idf"]
+    corpus, energy = seen["found"]
+    want = dense.T @ (dense @ seen["random"])
+    assert len(passages) > 400 and abs(energy / (dense ** 2).sum() - 1) < 1e-5
+    assert np.abs(corpus - want).max() < 1e-4 * np.abs(want).max()

@@ -301,8 +301,13 @@ def _(t):
     """The workflow's threshold table against a count of its scored rows per threshold."""
     _, out = training.run(forest_input(t), FOREST_FEATURES, ["flow_id"], trees=50, sample_size=512)
     hit, bad, grid = c("score") >= c("threshold"), c("is_attack"), out["sweep"].select("threshold")
-    counts = out["scored"].join(F.broadcast(grid)).groupBy("threshold").agg(  # 25 thresholds
-        F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(bad).alias("attacks"), F.count_if(~bad).alias("benign"))
+    rows = out["scored"].groupBy("score", "is_attack").agg(F.count(F.lit(1)).alias("n"))  # scores have two digits
+
+    def total(cond):
+        return F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0))
+
+    counts = rows.join(F.broadcast(grid)).groupBy("threshold").agg(  # 25 thresholds
+        total(hit & bad).alias("tp"), total(hit & ~bad).alias("fp"), total(bad).alias("attacks"), total(~bad).alias("benign"))
     before = Window.orderBy("threshold")
     near = [F.abs(c(name) - value) < 1e-4 for name, value in (
         ("recall", c("tp") / c("attacks")), ("benign_fp_rate", c("fp") / c("benign")), ("precision", F.coalesce(F.try_divide(c("tp"), c("tp") + c("fp")), F.lit(0.0))))]

@@ -179,3 +179,25 @@ def test_a_forest_beyond_the_bound_is_not_collected(spark, monkeypatch):
     monkeypatch.setattr(IF, "MAX_MODEL_BYTES", 40 * IF.NODE_BYTES)
     with pytest.raises(ValueError):
         IF.load_forest(nodes, ["a"], 16)
+
+
+def test_workflow_scores_each_row_once(spark, monkeypatch):
+    names, options = ["a", "b", "c", "d"], {"trees": 20, "sample_size": 128}
+    df = planted(spark, 1200, 20)
+    first = training.train(df.where("Label = 'BENIGN'"), names, ["row_id"], **options)
+    apart = {tuple(r) for r in training.evaluate(first, df, ["row_id"])["scored"].collect()}
+    calls, inner = [], IF.score
+    monkeypatch.setattr(IF, "score", lambda *a, **k: calls.append(1) or inner(*a, **k))
+    model, out = training.run(df, names, ["row_id"], **options)
+    assert len(calls) == 1
+    assert (model.forest.offset, model.d_min, model.d_max) == (first.forest.offset, first.d_min, first.d_max)
+    assert {tuple(r) for r in out["scored"].collect()} == apart
+
+
+def test_cleaning_tests_each_feature_once(spark):
+    df = spark.range(5).select("id", *[F.log1p(F.col("id") + i).alias(f"f{i}") for i in range(4)])
+    plan = FT.clean_dataset(df, [f"f{i}" for i in range(4)])._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and sum(line.count("LOG1P") for line in filters) == 4
+    odd = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, None), (3, float("nan")), (4, float("-inf")), (5, -2.0)], "k int, v double")
+    assert sorted(map(tuple, FT.clean_dataset(odd, ["v"]).collect())) == [(1, 1.0), (5, -2.0)]

@@ -16,14 +16,26 @@ def persist_analysis(path: str, analysis_id: str, **tables: DataFrame) -> None:
     persist_analyses(path, **{name: df.withColumn("analysis_id", F.lit(analysis_id)) for name, df in tables.items()})
 
 
+#: Analyses that a task writes side by side, and the bytes each may buffer; beyond it rows are sorted by analysis.
+OPEN_ANALYSES, BUFFER_BYTES = 48, 8 << 20
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def persist_analyses(path: str, **tables: DataFrame) -> None:
     """Write tables that carry their ``analysis_id``, all analyses in one partitioned write each.
 
-    Only the partitions of analyses that have rows are replaced.
+    Only the partitions of analyses that have rows are replaced. Rows are not sorted by analysis first,
+    which would spill a large table: a task keeps a file open for each of its analyses.
     """
     for name, df in tables.items():
-        (df.write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(f"{path}/{name}"))
+        conf = df.sparkSession.conf
+        before = conf.get(_WRITERS, None)
+        conf.set(_WRITERS, str(OPEN_ANALYSES))
+        try:
+            (df.write.mode("overwrite").option("parquet.block.size", BUFFER_BYTES)
+             .option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(f"{path}/{name}"))
+        finally:
+            conf.unset(_WRITERS) if before is None else conf.set(_WRITERS, before)
 
 
 def write_daily_json(stream: DataFrame, path: str, checkpoint: str, ts: str = "time",

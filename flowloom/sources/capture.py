@@ -208,6 +208,7 @@ def _range_decoder():
                 read, at = np.frombuffer(data, np.uint8), np.array(found, np.int64)
                 for a in range(0, len(at), FRAMES_PER_BATCH):
                     yield _records(row["path"], row["first_seq"] + a, read, row["start"], at[a:a + FRAMES_PER_BATCH], known, marks, schema)
+                del data, read, found, at  # before the next range is read
 
     return decode
 

@@ -34,7 +34,7 @@ _SECTION, _INTERFACE, _PACKET = 0x0A0D0D0A, 1, 6
 # fixed values: kinds of blocks in use
 _BLOCK_KINDS = [_SECTION, _INTERFACE, 2, 3, 4, 5, _PACKET, 7, 8, 9, 10, 0xBAD, 0x40000BAD]
 
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20  # a task holds one range and its records
 CHAIN = 24  # plausible records in a row that make a beginning
 LARGEST_RECORD = 1 << 18
 AHEAD = 1 << 20  # bytes read beyond a range to follow a chain

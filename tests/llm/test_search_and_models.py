@@ -285,7 +285,6 @@ def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
     encoded = D.encode(docs, items, "doc_id", "text")
     passages = np.concatenate([m for b in encoded.toArrow().to_batches() for _, _, m, _ in D._passages(b, len(items.vocabulary))])
     monkeypatch.setattr(D, "FIT_PASSAGES", 50, raising=False)
-    monkeypatch.setattr(D, "COMMON", 64, raising=False)
     seen, inner = {}, D.sketch
 
     def spy(encoded, idf, random, *rest):

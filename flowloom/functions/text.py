@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowloom.functions.net import bound
+
 
 def array_entropy(values: Column) -> Column:
     """Shannon entropy (bits) of an array's elements; 0 for an empty or null array.
@@ -16,11 +18,14 @@ def array_entropy(values: Column) -> Column:
     def weight(r: Column) -> Column:
         return F.when(r > 1, r * F.log2(r) - F.when(r > 2, (r - 1) * F.log2(r - 1)).otherwise(0.0)).otherwise(0.0)
 
-    ordered = F.sort_array(values)
-    ranks = F.transform(ordered, lambda v, i: (i + 2 - F.array_position(ordered, v)).cast("double"))
-    total = F.aggregate(F.filter(ranks, lambda r: r > 1), F.lit(0.0), lambda acc, r: acc + weight(r))
-    n = F.size(values).cast("double")
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - total / n)).otherwise(F.lit(0.0))
+    def entropy(ordered: Column) -> Column:
+        ranks = F.transform(ordered, lambda v, i: (i + 2 - F.array_position(ordered, v)).cast("double"))
+        total = F.aggregate(F.filter(ranks, lambda r: r > 1), F.lit(0.0), lambda acc, r: acc + weight(r))
+        n = F.size(ordered).cast("double")
+        return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - total / n)).otherwise(F.lit(0.0))
+
+    # bound: an array named inside a lambda is built and sorted again for each of its elements
+    return bound(F.sort_array(values), entropy)
 
 
 def characters(text: Column) -> Column:
@@ -32,10 +37,13 @@ def shannon_entropy(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    size = F.length(text)
-    return F.when(
-        size >= 2, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(text, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
+    def cut(value: Column) -> Column:
+        size = F.length(value)
+        return F.when(
+            size >= 2, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(value, i, F.lit(2)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bound(text, cut)
 
 
 def bigram_entropy(text: Column) -> Column:
@@ -67,7 +75,7 @@ def strip_port(host: Column) -> Column:
 
 
 def looks_like_domain(value: Column) -> Column:
-    from flowloom.functions.net import bound, is_ip
+    from flowloom.functions.net import is_ip
 
     def named(v: Column) -> Column:
         # an address holds a colon or ends in a digit; only such text is parsed

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +37,13 @@ def _with_rule_fields(hits: DataFrame, rule_id: Column, analysis_id: Column) ->
     )
 
 
+def evidence_of(hits: DataFrame, without: Sequence[str] = ()) -> Column:
+    return F.to_json(F.struct(*[c for c in hits.columns if c != "flow_id" and c not in without]))
+
+
 def as_findings(hits: DataFrame, rule_id: str, analysis_id: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rule metadata times hit evidence; the evidence is every column but the flow id and ``by``."""
-    evidence = F.to_json(F.struct(*[c for c in hits.columns if c != "flow_id" and c not in by]))
+    evidence = evidence_of(hits, by)
     flow = F.col("flow_id") if "flow_id" in hits.columns else F.lit(None).cast("bigint")
     rows = hits.select(*by, flow.alias("flow_id"), evidence.alias("evidence"))
     return _with_rule_fields(rows, F.lit(rule_id), analysis_id if analysis_id is not None else F.lit("all"))
@@ -55,7 +60,7 @@ def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: D
     With ``by`` each value of those columns is an analysis of its own: groups, rates and means do not
     mix, and the findings carry the values as their analysis id.
 
-    Rules that look at single flows share one pass; the others aggregate on their own keys. Flows built from
+    Rules that look at single flows share one pass, and so do the two kinds of beacon; the others aggregate on their own keys. Flows built from
     packets show some of their names only; ``names`` (``flow_id``, ``kind``, ``value``) has them all, and the
     rules about names read it where it is given.
     """
@@ -68,8 +73,7 @@ def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: D
         return R.arp_requests(frame, **params.get("arp_requests", {}))
 
     grouped = {
-        "PORTSCAN-001": R.horizontal_scan, "PORTSCAN-002": R.host_sweep, "BEACON-001": R.beacons,
-        "BEACON-002": R.slow_beacons, "DNSTUNNEL-002": R.dns_rate, "DNSTUNNEL-003": R.entropic_labels,
+        "PORTSCAN-001": R.horizontal_scan, "PORTSCAN-002": R.host_sweep, "DNSTUNNEL-002": R.dns_rate, "DNSTUNNEL-003": R.entropic_labels,
         "DGATOP-001": R.generated_domains, "EXFIL-001": R.exfiltration, "LATERAL-001": R.lateral_movement,
     }
     looked_up = flows if names is None else names.where("kind = 'dns'").select(
@@ -77,6 +81,10 @@ def rule_findings(flows: DataFrame, arp: DataFrame | None = None, observables: D
     about_names = ("DNSTUNNEL-002", "DNSTUNNEL-003", "DGATOP-001")
     frames = [_with_rule_fields(R.single_flow_hits(flows, **args(R.single_flow_hits)), F.col("rule_id"), aid)]
     frames += [as_findings(fn(looked_up if rid in about_names else flows, **args(fn)), rid, aid, by) for rid, fn in grouped.items()]
+    paces = {"BEACON-001": R.Pace(**params.get("beacons", {})), "BEACON-002": replace(R.SLOW, **params.get("slow_beacons", {}))}
+    paced = R.paced_connections(flows, paces, by)
+    frames.append(_with_rule_fields(paced.select(*by, "flow_id", "rule_id", evidence_of(paced, [*by, "rule_id"]).alias("evidence")),
+                                    F.col("rule_id"), aid))
     if arp is not None:
         frames += [as_findings(requests(arp), "ARPSPOOFING-001", aid, by),
                    as_findings(R.arp_storm(arp, **args(R.arp_storm)), "ARPSPOOFING-002", aid, by)]

@@ -137,38 +137,12 @@ def _text_class(text: Column) -> Column:
         ip_number(F.substring_index(base, ":", -1)), lambda number: known(base, number))), F.lit(0))
 
 
-def _octets(network) -> str:
-    """Regular expression for the first octets of the addresses in an IPv4 network, up to the last one that is not free."""
-    pairs = zip(network.network_address.packed, network.broadcast_address.packed)
-    fixed = ["|".join(map(str, range(low, high + 1))) for low, high in pairs if (low, high) != (0, 255)]
-    return r"\.".join(f"(?:{o})" for o in fixed) + (r"\." if len(fixed) < 4 else r"(?!\d)")
-
-
-def _starts(networks: list[str]) -> str:
-    return "^(?:" + "|".join(_octets(n) for n in map(ipaddress.ip_network, networks)) + ")"
-
-
-# a line end may follow an address, of the kinds that a cast to a number takes for space
-_V4_END = r"(?:\r\n|[\r\n])?\z"
-_V4_BODY = _V4[1:-1] + _V4_END
-_V4_INTERNAL = (rf"^(?!(?:{'|'.join(_octets(ipaddress.ip_network(n)) for n in _V4_PUBLIC_WITHIN)}))"
-                rf"(?={_starts(_V4_PRIVATE + _V4_MULTICAST)[1:]}){_V4_BODY}")
-
-
 def _may_be_internal(text: Column) -> Column:
     """Whether text starts like an address of the networks above; others need no closer look."""
     firsts: set[int] = set()
     for network in map(ipaddress.ip_network, _V4_PRIVATE + _V4_MULTICAST):
         firsts.update(range(network.network_address.packed[0], network.broadcast_address.packed[0] + 1))
-    return F.substring_index(text, ".", 1).isin(*map(str, sorted(firsts)))
-
-
-def _v4_text_class(text: Column) -> Column:
-    """Class of text without a colon, told from its octets as they stand, without the number."""
-    return F.when(~text.rlike("^" + _V4_BODY), 0).when(~_may_be_internal(text), V4).when(
-        text.rlike(_starts(_V4_MULTICAST)), V4 | MULTICAST | INTERNAL).when(~text.rlike(_V4_INTERNAL), V4).when(
-        text.rlike(_starts(_V4_LOOPBACK)), V4 | LOOPBACK | PRIVATE | INTERNAL).when(
-        text.rlike(_starts(_V4_LINK_LOCAL)), V4 | LINK_LOCAL | PRIVATE | INTERNAL).otherwise(V4 | PRIVATE | INTERNAL)
+    return text.contains(":") | F.substring_index(text, ".", 1).isin(*map(str, sorted(firsts)))
 
 
 def address_class(ip: Column) -> Column:
@@ -177,9 +151,7 @@ def address_class(ip: Column) -> Column:
     Empty counts as internal, unparsable text has no bits and so counts as external. Tables that many
     tests read keep it as a column, see :func:`with_address_classes`.
     """
-    text = F.trim(ip)
-    return F.when(ip.isNull() | (text == ""), EMPTY | INTERNAL).when(~text.contains(":"), _v4_text_class(text)).otherwise(
-        bound(text, _text_class))
+    return F.when(ip.isNull() | (F.trim(ip) == ""), EMPTY | INTERNAL).otherwise(bound(F.trim(ip), _text_class))
 
 
 def class_column(name: str) -> str:
@@ -216,8 +188,7 @@ def is_ip(value: Column) -> Column:
 def is_internal_ip(ip: Column) -> Column:
     """Not public Internet. Empty counts as internal, unparsable text as external."""
     text = F.trim(ip)
-    return F.when(ip.isNull() | (text == ""), True).when(text.contains(":"), has(bound(text, _text_class), INTERNAL)).otherwise(
-        _may_be_internal(text) & text.rlike(_V4_INTERNAL))
+    return F.when(ip.isNull() | (text == ""), True).otherwise(_may_be_internal(text) & has(bound(text, _text_class), INTERNAL))
 
 
 def is_external_ip(ip: Column) -> Column:

@@ -130,13 +130,11 @@ def suppress_reason(strict: bool = True) -> Column:
     if not strict:
         return listed
     src, dst = F.col("src_ip"), F.col("dst_ip")
-    return F.coalesce(
-        F.when(net.is_local_only(src, dst), "local-only endpoints"),
-        F.when(net.is_internal_ip(dst), "internal destination"),
-        F.when(F.col("is_cdn"), "known CDN endpoint"),
-        F.when(net.is_lan_service(dst, F.col("dst_port"), F.col("protocol")), "LAN service traffic"),
-        listed,
-    )
+    # each address is looked at once, the source only behind an internal destination; LAN services
+    # (net.is_lan_service) have internal destinations, so they are named as such
+    inside = F.when(net.is_internal_ip(src), "local-only endpoints").otherwise("internal destination")
+    return F.when(net.is_internal_ip(dst), inside).otherwise(
+        F.coalesce(F.when(F.col("is_cdn"), "known CDN endpoint"), listed))
 
 
 def with_suppression(flows: DataFrame, strict: bool = True) -> DataFrame:

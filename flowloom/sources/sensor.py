@@ -10,13 +10,29 @@ from flowloom.functions import net, values
 from flowloom.schemas import SENSOR_EVENT
 
 
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _bare(line: Column) -> Column:
+    """A line without the framing of an array: an opening bracket, and what follows the record's end.
+
+    Trimming does it for lines that end with a record; the regular expression, which looks at every
+    character, is left for the others.
+    """
+    pattern = r"^\s*\[?\s*(?=[{\"])|(?<=[}\"])[\s,\]]+$"
+    ended = F.rtrim(line, F.lit(_BLANK + ",]"))
+    plain = ended.startswith("{") | ended.startswith('"')
+    return (F.when(~(ended.endswith("}") | ended.endswith('"')), F.regexp_replace(line, pattern, ""))
+            .when(plain, ended).otherwise(F.regexp_replace(ended, r"^\s*\[?\s*(?=[{\"])", "")))
+
+
 def parse_lines(lines: DataFrame, column: str = "value", schema: str = SENSOR_EVENT) -> DataFrame:
     """Events from text lines, batch or stream.
 
     Takes plain JSON lines, the lines of a JSON array (framing brackets and trailing commas) and
     JSON packed into a JSON string. Lines that hold no event are skipped.
     """
-    bare = F.regexp_replace(F.col(column), r"^\s*\[?\s*(?=[{\"])|(?<=[}\"])[\s,\]]+$", "")
+    lines, bare = lines.select(_bare(F.col(column)).alias("_bare")), F.col("_bare")
     quoted = F.get_json_object(F.concat(F.lit('{"s":'), bare, F.lit("}")), "$.s")
     text = F.when(bare.startswith('"'), quoted).otherwise(bare)
     # As part of an array, a record followed by anything but another record fails to parse, and a
@@ -146,6 +162,11 @@ def to_display(events: DataFrame, info_chars: int = 120) -> DataFrame:
         shown.alias("info"), severity.alias("severity"), F.col("_kind").alias("event_type"), F.lit("suricata").alias("source"))
 
 
+def routed(events: DataFrame) -> DataFrame:
+    """The events that :func:`to_flows` and :func:`to_alerts` read."""
+    return events.where(F.col("event_type").isin("flow", "alert"))
+
+
 def route(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two typed branches of one event stream: flows and alerts."""
     return to_flows(events), to_alerts(events)

@@ -119,7 +119,7 @@ class LivePath:
         return {"scored": scored, "alerts": alerts, "incidents": self.incidents(alerts), "counts": self.counts(scored, alerts)}
 
     def process(self, batch: DataFrame, batch_id: int, out: str) -> None:
-        events = batch.persist()  # read as flows and as hits
+        events = sensor.routed(batch).persist()  # read as flows and as hits
         hits = self.hits(events)
         scored = rolling.Rolling(self.judged, "ts_us", self.entropy_us, f"{out}/scored", f"{out}/context/flows",
                                  columns=_ENTROPY_NEEDS).process(self.flows(events), batch_id)
